@@ -6,8 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from assayer.functions import match
-from assayer.functions.text import BOX_OPEN, answer_placement, boxed_last, occurrences
+from assayer.functions import markers as M, match
+from assayer.functions.text import BOX_OPEN, answer_placement, boxed_last, occurrences, parts_present
 
 
 def run_names(wide: DataFrame, suffix: str = "_text") -> list[str]:
@@ -252,3 +252,8 @@ def score(solution: DataFrame, submission: DataFrame) -> DataFrame:
     joined = solution.select("row_id", "expected").join(submission.select("row_id", F.col("box").alias("got")), "row_id", "left")
     good = F.coalesce(match.match_metric(F.col("expected"), F.col("got")), F.lit(False))
     return joined.agg(F.count("*").alias("n"), ones(good).alias("correct"), share(good).alias("score"))
+
+
+def contains_markers(lowered: Column) -> Column:
+    """Distinct cross-template markers of the numeric and numeral types."""
+    return parts_present(lowered, M.DRIFT["unit"])

@@ -107,9 +107,9 @@ def pairs(kind: str, name: str | None = None, source: str = "traces") -> str:
     if kind == "equation":
         skip = "not contains(lower(line), 'example') and not contains(lower(line), 'determine')"
     return f"""{name or 'pairs'} as materialized (
-  select row_id, row_number() over (partition by row_id order by at) - 1 as pos,
+  select row_id, row_number() over (partition by row_id order by line_no) - 1 as pos,
          regexp_extract(line, {q(pattern)}, 1) as lhs, {strip(f'regexp_extract(line, {q(pattern)}, 2)')} as rhs
-  from (select row_id, generate_subscripts(ls, 1) as at, {strip('unnest(ls)')} as line
+  from (select row_id, generate_subscripts(ls, 1) as line_no, {strip('unnest(ls)')} as line
         from (select row_id, string_split(prompt, chr(10)) as ls from {source} where type = '{kind}') l0) l1
   where regexp_matches(line, {q(pattern)}) and {skip})"""
 
@@ -118,8 +118,8 @@ def targets(kind: str, name: str | None = None, source: str = "traces") -> str:
     pattern = TARGET_PATTERNS[kind]
     extra = " and not contains(line, '->') and contains(lower(line), 'decrypt')" if kind == "cipher" else ""
     return f"""{name or 'targets'} as materialized (
-  select p.row_id, any_value(p.expected) as expected, {strip(f'arg_max(regexp_extract(line, {q(pattern)}, 1), at)')} as target
-  from {source} p join (select row_id, generate_subscripts(ls, 1) as at, {strip('unnest(ls)')} as line
+  select p.row_id, any_value(p.expected) as expected, {strip(f'arg_max(regexp_extract(line, {q(pattern)}, 1), line_no)')} as target
+  from {source} p join (select row_id, generate_subscripts(ls, 1) as line_no, {strip('unnest(ls)')} as line
         from (select row_id, string_split(prompt, chr(10)) as ls from {source} where type = '{kind}') l0) l1 using (row_id)
   where regexp_matches(line, {q(pattern)}){extra} group by p.row_id)"""
 
@@ -178,10 +178,10 @@ learned as materialized (select row_id, src, dst, votes from (
   qualify row_number() over (partition by row_id, src order by votes desc, first) = 1)"""
 CIPHER = f"{pairs('cipher', 'cpairs')}, {targets('cipher', 'ctargets')}, {LEARNED}"
 
-STATED = f"""hits as (select row_id, run, generate_subscripts(hs, 1) as at, unnest(hs) as hit from (
+STATED = f"""hits as (select row_id, run, generate_subscripts(hs, 1) as hit_no, unnest(hs) as hit from (
   select row_id, run, regexp_extract_all(text, {q(M.STATED_MAPPING)}, 0) as hs from ev where type = 'cipher') h0),
-stated as materialized (select row_id, run, src, arg_min(dst, at) as dst from (
-  select row_id, run, at, lower(regexp_extract(hit, {q(M.STATED_MAPPING)}, 1)) as src, lower(regexp_extract(hit, {q(M.STATED_MAPPING)}, 2)) as dst from hits) h1
+stated as materialized (select row_id, run, src, arg_min(dst, hit_no) as dst from (
+  select row_id, run, hit_no, lower(regexp_extract(hit, {q(M.STATED_MAPPING)}, 1)) as src, lower(regexp_extract(hit, {q(M.STATED_MAPPING)}, 2)) as dst from hits) h1
   group by row_id, run, src),
 grades as materialized (select row_id, run, count(*) as table_size, count(*) filter (where s.dst = t.dst) as table_correct,
   count(*) filter (where t.dst is not null and s.dst <> t.dst) as table_wrong,

@@ -102,10 +102,10 @@ def strip_tags(spark, sf):
     return tagged.select("row_id", F.md5(T.strip_tags(F.col("text"))).alias("digest"))
 
 
-@register("think_block", f"""with {P.EVAL}, at as (select row_id, run, text, position('<think>' in text) as o, position('</think>' in text) as c from ev)
+@register("think_block", f"""with {P.EVAL}, marks as (select row_id, run, text, position('<think>' in text) as o, position('</think>' in text) as c from ev)
   select row_id, run, md5(case when o > 0 and c >= o + 7 then substr(text, o + 7, c - o - 7)
     when o > 0 and position(chr(92) || 'boxed' in substr(text, o + 7)) > 0 then substr(substr(text, o + 7), 1, position(chr(92) || 'boxed' in substr(text, o + 7)) - 1)
-    when o > 0 then '' when c > 0 then substr(text, 1, c - 1) else '' end) as digest from at""")
+    when o > 0 then '' when c > 0 then substr(text, 1, c - 1) else '' end) as digest from marks""")
 def think_block(spark, sf):
     return long_eval(spark, sf).select("row_id", "run", F.md5(T.think_block(F.col("text"))).alias("digest"))
 
