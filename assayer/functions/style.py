@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from assayer.functions import markers as M
-from assayer.functions.text import BOX_OPEN, boxed_last, count_matches, last_match, occurrences, strip, think_block, words
+from assayer.functions.text import BOX_OPEN, count_matches, last_match, occurrences, strip, think_block, words
 
 
 def marker_count(lowered: Column, dictionary: Sequence[str]) -> Column:
@@ -19,8 +19,9 @@ def marker_count(lowered: Column, dictionary: Sequence[str]) -> Column:
     return total
 
 
-def confidence(text: Column) -> Column:
-    lowered = F.lower(text)
+def confidence(text: Column, lowered: Column | None = None) -> Column:
+    """Stated confidence; pass the lower-cased text as a column of its own to lower it once per row."""
+    lowered = F.lower(text) if lowered is None else lowered
     base = F.when(F.contains(text, F.lit(BOX_OPEN)), F.lit(0.7)).otherwise(F.lit(0.3))
     score = base + F.lit(0.1) * marker_count(lowered, M.CONFIDENT)
     score = score + F.lit(-0.1) * marker_count(lowered, M.DOUBTFUL)
@@ -29,11 +30,8 @@ def confidence(text: Column) -> Column:
     return F.when(text.isNull() | (text == ""), F.lit(0.5)).otherwise(clamped)
 
 
-def style_metrics(text: Column) -> dict[str, Column]:
-    """Deterministic style columns of one text (the copy ratio is separate, see ``copy_ratio``)."""
-    text = F.coalesce(text, F.lit(""))
-    lowered = F.lower(text)
-    block = think_block(text)
+def style_metrics(text: Column, lowered: Column, block: Column) -> dict[str, Column]:
+    """Deterministic style columns of one text from its lower-case form and think block."""
     chunks = F.filter(F.split(block, "\n"), lambda c: strip(c) != "")
     chunk_chars = F.aggregate(chunks, F.lit(0).cast("bigint"), lambda acc, c: acc + F.char_length(c))
     high, low = marker_count(lowered, M.STYLE_HIGH), marker_count(lowered, M.STYLE_LOW)
@@ -86,4 +84,13 @@ def copy_ratio(text: Column, boxed: Column | None = None) -> Column:
             .otherwise(partial(needle, F.when(open_case, rest))))
 
 
-__all__ = ["boxed_last", "confidence", "copy_ratio", "marker_count", "style_metrics"]
+def with_confidence(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("_low", F.lower("text")).withColumn("confidence", confidence(F.col("text"), F.col("_low"))).drop("_low")
+
+
+def with_style(rows: DataFrame, *keep: str) -> DataFrame:
+    """``keep`` columns and the style metrics; the lowered text and the think block are computed once per row."""
+    filled = rows.withColumn("text", F.coalesce("text", F.lit("")))
+    ready = filled.select(*keep, "text", F.lower("text").alias("_low"), think_block(F.col("text")).alias("_block"))
+    metrics = style_metrics(F.col("text"), F.col("_low"), F.col("_block"))
+    return ready.select(*keep, *[c.alias(n) for n, c in metrics.items()])

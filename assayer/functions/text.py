@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, functions as F
@@ -56,8 +57,8 @@ def parts_present(text: Column, parts: Sequence[str]) -> Column:
 
 
 def occurrences(text: Column, part: str) -> Column:
-    """Non-overlapping occurrences of an ASCII part; byte lengths are constant-time and exact for the difference."""
-    return ((F.octet_length(text) - F.octet_length(F.replace(text, F.lit(part), F.lit("")))) / F.lit(len(part))).cast("int")
+    """Non-overlapping occurrences of a part. The containment test is a plain byte scan, so only hits are counted."""
+    return F.when(F.contains(text, F.lit(part)), F.regexp_count(text, F.lit(re.escape(part)))).otherwise(0)
 
 
 def last_match(text: Column, pattern: str, group: int = 1) -> Column:

@@ -11,6 +11,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
+from assayer.session import spread
+
 TYPES = ["binary", "cipher", "equation", "gravity", "roman", "unit"]
 ALPHABET = "abcdefghijklmnopqrstuvwxyz"
 
@@ -33,6 +35,12 @@ class Dialect:
             return f"regexp_extract_all(lower({text}), '[a-z]+', 0)"
         return f"regexp_extract_all(lower({text}), '[a-z]+')"
 
+    def joined(self, count: int, variable: str, expression: str, separator: str) -> str:
+        """Texts of an expression over 0 .. count - 1, joined; one lambda instead of ``count`` copies of the expression."""
+        if self.name == "spark":
+            return f"array_join(transform(sequence(0, {count - 1}), {variable} -> {expression}), {separator})"
+        return f"array_to_string(list_transform(range({count}), lambda {variable}: {expression}), {separator})"
+
     def size(self, array: str) -> str:
         return f"size({array})" if self.name == "spark" else f"len({array})"
 
@@ -95,60 +103,57 @@ def _equation_output(dialect: Dialect, a: str, b: str) -> str:
 def puzzles_sql(dialect: Dialect, documents: str = "documents") -> str:
     """``row_id, v, type, source, lang, body, prompt, expected, target, shift`` from the document table."""
     d = dialect
-    binary_pairs = [_cat(_bits(x), "' -> '", _bits(_byte_output(d, x)))
-                    for x in (f"((v * 37 + {i * 53 + i * i * 11}) % 256)" for i in range(8))]
+    x = "((v * 37 + i * 53 + i * i * 11) % 256)"
+    binary_pairs = d.joined(8, "i", _cat(_bits(x), "' -> '", _bits(_byte_output(d, x))), NL)
     binary_target = "((v * 91 + 29) % 256)"
     sign = d.item(d.split("'+,-,*,/'", ","), "v % 4 + 1")
 
     def hidden(expr: str) -> str:
         return f"(case when v % 5 = 4 then translate({expr}, '0123456789', '@#$%&!?~;<') else {expr} end)"
 
-    def equation_side(i: int) -> tuple[str, str]:
-        return f"((v * 7 + {i * 13}) % 90 + 10)", f"((v * 11 + {i * 17}) % 90 + 10)"
+    def equation_side(i: str | int) -> tuple[str, str]:
+        return f"((v * 7 + {i} * 13) % 90 + 10)", f"((v * 11 + {i} * 17) % 90 + 10)"
 
-    equation_pairs = []
-    for i in range(4):
-        a, b = equation_side(i)
-        equation_pairs.append(_cat(hidden(_cat(_text(d, a), sign, _text(d, b))), "' = '", hidden(_equation_output(d, a, b))))
+    left, right = equation_side("i")
+    equation_pairs = d.joined(4, "i", _cat(hidden(_cat(_text(d, left), sign, _text(d, right))), "' = '",
+                                           hidden(_equation_output(d, left, right))), NL)
     target_a, target_b = equation_side(9)
     g = "(500 + (v * 13) % 1000)"
 
     def fallen(t: str) -> str:
         return d.div(f"{g} * {t} * {t}", 20000)
 
-    times = [f"(100 + (v * 17 + {i * 37}) % 400)" for i in range(5)]
+    time = "(100 + (v * 17 + i * 37) % 400)"
     target_time = "(120 + (v * 23) % 500)"
-    gravity_pairs = [_cat("'t = '", _cents(d, t), "'s, distance = '", _cents(d, fallen(t)), "' m'") for t in times]
+    gravity_pairs = d.joined(5, "i", _cat("'t = '", _cents(d, time), "'s, distance = '", _cents(d, fallen(time)), "' m'"), NL)
     slope = "(50 + (v * 7) % 300)"
-    lengths = [f"(100 + (v * 29 + {i * 83}) % 5000)" for i in range(5)]
+    length = "(100 + (v * 29 + i * 83) % 5000)"
     target_length = "(150 + (v * 41) % 4000)"
-    unit_pairs = [_cat(_cents(d, x), "' m becomes '", _cents(d, d.div(f"{x} * {slope}", 100))) for x in lengths]
+    unit_pairs = d.joined(5, "i", _cat(_cents(d, length), "' m becomes '", _cents(d, d.div(f"{length} * {slope}", 100))), NL)
     number = "(1 + (v * 97) % 3999)"
     shifted = f"substr('{ALPHABET}{ALPHABET}', cast(shift + 1 as int), 26)"
 
-    def word(k: int) -> str:
-        return f"coalesce({d.item('words', f'(v * 31 + {k * 977}) % greatest(n_words, 1) + 1')}, 'alice')"
-
     def plain(first: int, count: int) -> str:
-        return _cat(*[p for k in range(first, first + count) for p in ("' '", word(k))][1:])
+        word = d.item("words", f"(v * 31 + (k + {first}) * 977) % greatest(n_words, 1) + 1")
+        return d.joined(count, "k", f"coalesce({word}, 'alice')", "' '")
 
     examples = [_cat(f"translate({plain(4 * i, 4)}, '{ALPHABET}', {shifted})", "' -> '", plain(4 * i, 4),
                      "case when v % 7 = 3 then ' x' else '' end" if i == 2 else "''") for i in range(3)]
     secret = f"translate({plain(12, 3)}, '{ALPHABET}', {shifted})"
 
     prompts = {
-        "binary": _lines("'A hidden bit manipulation rule maps 8-bit numbers.'", "'Pairs of input -> output:'", *binary_pairs,
+        "binary": _lines("'A hidden bit manipulation rule maps 8-bit numbers.'", "'Pairs of input -> output:'", binary_pairs,
                          _cat("'Now, determine the output for: '", _bits(binary_target))),
         "cipher": _lines("'A secret encryption is used on text.'", "'Some example lines:'", *examples,
                          _cat("'Now, decrypt the following text: '", "secret")),
-        "equation": _lines("'Hidden transformation rules are applied to equations.'", *equation_pairs,
+        "equation": _lines("'Hidden transformation rules are applied to equations.'", equation_pairs,
                            _cat("'Now, determine the result for: '", hidden(_cat(_text(d, target_a), sign, _text(d, target_b))))),
-        "gravity": _lines("'The gravitational constant has been changed.'", *gravity_pairs,
+        "gravity": _lines("'The gravitational constant has been changed.'", gravity_pairs,
                           _cat("'Now, find the falling distance for t = '", _cents(d, target_time), "'s given d = 0.5*g*t^2.'")),
         "roman": _lines("'Numbers are written in a Wonderland numeral system.'", "'11 -> XI'", "'15 -> XV'",
                         f"case when v % 2 = 0 then {_cat(chr(39) + 'Now, write the number ' + chr(39), _text(d, number), chr(39) + ' in it.' + chr(39))} "
                         f"else {_cat(chr(39) + 'Now, what arabic number is ' + chr(39), roman(d, number), chr(39) + '?' + chr(39))} end"),
-        "unit": _lines("'A secret unit conversion is applied to measurements.'", *unit_pairs,
+        "unit": _lines("'A secret unit conversion is applied to measurements.'", unit_pairs,
                        _cat("'Now, convert the following measurement: '", _cents(d, target_length), "' m'")),
     }
     answers = {
@@ -213,13 +218,10 @@ def traces_sql(dialect: Dialect, documents: str = "documents") -> str:
             f"when {i} then '{text.replace(chr(39), chr(39) * 2)}'" if d.name == "ansi" else f"when {i} then \"{text}\""
             for i, text in enumerate(_REMARKS)) + " end"
         working = "case type " + " ".join(f"when '{t}' then '{w}'" for t, w in _WORKINGS.items()) + " end"
-        letters = []
-        for j in range(12):
-            letter = f"((v + {2 * j}) % 26)"
-            letters.append(_cat(f"substr('{ALPHABET}', cast(({letter} + shift) % 26 + 1 as int), 1)", "' -> '",
-                                f"substr('{ALPHABET}', cast(({letter} + case when {x} in (3, 5) then 1 else 0 end) % 26 + 1 as int), 1)",
-                                NL))
-        table = f"case when type = 'cipher' and {x} not in (2, 7) then {_cat(*letters)} else '' end"
+        letter = "((v + 2 * j) % 26)"
+        mapping = _cat(f"substr('{ALPHABET}', cast(({letter} + shift) % 26 + 1 as int), 1)", "' -> '",
+                       f"substr('{ALPHABET}', cast(({letter} + case when {x} in (3, 5) then 1 else 0 end) % 26 + 1 as int), 1)")
+        table = f"case when type = 'cipher' and {x} not in (2, 7) then {_cat(d.joined(12, 'j', mapping, NL), NL)} else '' end"
         echo = f"case when {x} in (0, 1, 2, 4, 6) then {_cat('prompt', NL)} else '' end"
         opening = f"case when {x} in (4, 5) then '' else {_cat(chr(39) + '<think>' + chr(39), NL)} end"
         closing = f"case when {x} in (5, 6) then '' else {_cat(chr(39) + '</think>' + chr(39), NL)} end"
@@ -237,9 +239,14 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The document table, spread over the slots when it is a single small file."""
+    return spread(read(spark, sf_dir, "documents"), "doc_id")
+
+
 def puzzles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql(puzzles_sql(SPARK, "{documents}"), documents=read(spark, sf_dir, "documents"))
+    return spark.sql(puzzles_sql(SPARK, "{documents}"), documents=documents(spark, sf_dir))
 
 
 def traces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql(traces_sql(SPARK, "{documents}"), documents=read(spark, sf_dir, "documents"))
+    return spark.sql(traces_sql(SPARK, "{documents}"), documents=documents(spark, sf_dir))

@@ -30,7 +30,7 @@ _LABELLED = """labelled as (select doc_id as row_id, lang as type, source, quali
 
 
 def labelled(spark, sf):
-    docs = D.read(spark, sf, "documents").select(F.col("doc_id").alias("row_id"), F.col("lang").alias("type"), "source")
+    docs = D.documents(spark, sf).select(F.col("doc_id").alias("row_id"), F.col("lang").alias("type"), "source")
     flags = D.read(spark, sf, "labels").select(F.col("doc_id").alias("row_id"), (F.col("quality") == 1).alias("a_ok"), (F.col("toxic") == 0).alias("b_ok"))
     return docs.join(flags, "row_id")
 
@@ -108,7 +108,7 @@ SCORED = f"{P.EVAL}, scored as materialized (select row_id, type, run, ok, text,
 
 
 def scored(spark, sf):
-    return long_eval(spark, sf).withColumn("confidence", style.confidence(F.col("text")))
+    return style.with_confidence(long_eval(spark, sf))
 
 
 @register("confidence", f"with {SCORED} select row_id, run, round(confidence, 9) as confidence from scored")
@@ -153,8 +153,7 @@ _STYLE_DOUBLES = ["confidence_ratio", "numeric_density"]
 
 
 def styled(spark, sf):
-    rows = long_eval(spark, sf)
-    return rows.select("row_id", "type", "run", "text", *[c.alias(n) for n, c in style.style_metrics(F.col("text")).items()])
+    return style.with_style(long_eval(spark, sf), "row_id", "type", "run")
 
 
 @register("style_metrics", f"""with {STYLED} select row_id, run, {', '.join(f'cast({c} as bigint) as {c}' for c in _STYLE_INTS)},
@@ -173,9 +172,10 @@ def fingerprint_means(spark, sf):
   {', '.join(f'cast(sum({P.count_parts("low", m)}) as bigint) as {n}' for n, m in (('confident', M.CONFIDENT), ('doubtful', M.DOUBTFUL), ('declarative', M.DECLARATIVE), ('attempts', M.ATTEMPT)))}
   from low group by run, type""")
 def marker_counts(spark, sf):
-    low = F.lower("text")
+    low = F.col("low")
     families = (("confident", M.CONFIDENT), ("doubtful", M.DOUBTFUL), ("declarative", M.DECLARATIVE), ("attempts", M.ATTEMPT))
-    return long_eval(spark, sf).groupBy("run", "type").agg(*[F.sum(style.marker_count(low, m)).alias(n) for n, m in families])
+    rows = long_eval(spark, sf).select("run", "type", F.lower("text").alias("low"))
+    return rows.groupBy("run", "type").agg(*[F.sum(style.marker_count(low, m)).alias(n) for n, m in families])
 
 
 _REST = r"regexp_replace(text, '\\boxed\{([^{}]*)\}', '', 'g')"
@@ -275,26 +275,26 @@ def score_submission(spark, sf):
 
 @register("restrict_to", "select doc_id as row_id, source from documents where doc_id in (select doc_id from labels)")
 def restrict_to(spark, sf):
-    docs = D.read(spark, sf, "documents").select(F.col("doc_id").alias("row_id"), "source")
+    docs = D.documents(spark, sf).select(F.col("doc_id").alias("row_id"), "source")
     return J.restrict_to(docs, D.read(spark, sf, "labels").select(F.col("doc_id").alias("row_id")))
 
 
 @register("remaining", "select doc_id as row_id, source from documents where doc_id not in (select doc_id from labels)")
 def remaining(spark, sf):
-    docs = D.read(spark, sf, "documents").select(F.col("doc_id").alias("row_id"), "source")
+    docs = D.documents(spark, sf).select(F.col("doc_id").alias("row_id"), "source")
     return J.remaining(docs, D.read(spark, sf, "labels").select(F.col("doc_id").alias("row_id")))
 
 
 @register("id_difference", "select doc_id from documents except select doc_id from labels")
 def id_difference(spark, sf):
-    return D.read(spark, sf, "documents").select("doc_id").exceptAll(D.read(spark, sf, "labels").select("doc_id"))
+    return D.documents(spark, sf).select("doc_id").exceptAll(D.read(spark, sf, "labels").select("doc_id"))
 
 
 @register("teacher_union", """with t as (select doc_id as row_id, md5(text) as digest, 0 as teacher from documents where doc_id % 3 <> 0
   union all select doc_id, md5(text || '+'), 1 from documents where doc_id % 4 <> 1)
   select row_id, arg_min(digest, teacher) as digest, min(teacher) as teacher, count(distinct teacher) > 1 as overlap from t group by row_id""")
 def teacher_union(spark, sf):
-    docs = D.read(spark, sf, "documents").select(F.col("doc_id").alias("row_id"), "text")
+    docs = D.documents(spark, sf).select(F.col("doc_id").alias("row_id"), "text")
     second = docs.where(F.col("row_id") % 4 != 1).withColumn("text", F.concat("text", F.lit("+")))
     return J.teacher_union(docs.where(F.col("row_id") % 3 != 0), second).select("row_id", F.md5("text").alias("digest"), "teacher", "overlap")
 

@@ -46,7 +46,7 @@ def answer_texts_sql(documents: str, number: str) -> str:
 
 
 def answer_texts(spark: SparkSession, sf: str) -> DataFrame:
-    return spark.sql(answer_texts_sql("{documents}", "cast(doc_id as string)"), documents=D.read(spark, sf, "documents"))
+    return spark.sql(answer_texts_sql("{documents}", "cast(doc_id as string)"), documents=D.documents(spark, sf))
 
 
 ANSWER_TEXTS = "texts as materialized (" + answer_texts_sql("documents", "cast(doc_id as varchar)") + ")"
@@ -98,7 +98,7 @@ _TAGGED = """select doc_id as row_id, concat('<|start|>ask<|tool_call|>call', te
 @register("strip_tags", "with tagged as (" + _TAGGED.format(documents="documents") + f""") select row_id, md5({P.strip(
     "regexp_replace(list_extract(string_split('<|start|>ask' || substr(text, position('<|assistant|>' in text)), '<|assistant|>'), -1), '<\\|[^|]*\\|>', '', 'g')")}) as digest from tagged""")
 def strip_tags(spark, sf):
-    tagged = spark.sql(_TAGGED, documents=D.read(spark, sf, "documents"))
+    tagged = spark.sql(_TAGGED, documents=D.documents(spark, sf))
     return tagged.select("row_id", F.md5(T.strip_tags(F.col("text"))).alias("digest"))
 
 
