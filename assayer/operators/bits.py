@@ -7,6 +7,8 @@ than a mask holds gets several chunks, and a rule must hold in each.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 CHUNK = 62
@@ -47,9 +49,13 @@ def simple_rules() -> list[tuple[str, str, int, int, int]]:
 
 
 def rule_literals(rules: list[tuple[str, str, int, int, int]]) -> Column:
-    """The rule table as one constant array, so applying it is a narrow generator and never a join."""
-    names = ["rule", "kind", "op", "a", "b", "c"]
-    return F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(names, (i, *r))]) for i, r in enumerate(rules)])
+    """The rule table as one constant array, so applying it is a narrow generator and never a join.
+
+    It is passed as one folded text constant. A leading entry that fits everything counts the chunks of a row.
+    """
+    table = [dict(rule=-1, kind="ANY", op="ANY", a=0, b=0, c=0)]
+    table += [dict(rule=i, kind=k, op=o, a=a, b=b, c=c) for i, (k, o, a, b, c) in enumerate(rules)]
+    return F.from_json(F.lit(json.dumps(table)), "array<struct<rule:int,kind:string,op:string,a:int,b:int,c:int>>")
 
 
 def evaluate(ins: Column, full: Column) -> Column:
@@ -90,13 +96,14 @@ def matching_rules(masks: DataFrame, rules: list[tuple[str, str, int, int, int]]
     tested = tried.select("row_id", "rule", "kind", "op", "a", "b", "c", "outs", value.alias("value"))
     hits = F.lit(0)
     for k in range(8):
-        hits = hits + F.when(F.get("outs", F.lit(k)) == F.col("value"), 1 << k).otherwise(0)
+        hits = hits + F.when((F.col("rule") < 0) | (F.get("outs", F.lit(k)) == F.col("value")), 1 << k).otherwise(0)
     found = tested.select("row_id", "rule", "kind", "op", "a", "b", "c", hits.alias("hits")).where(F.col("hits") != 0)
-    chunks = masks.groupBy("row_id").agg(F.count("*").alias("chunks"))
     merged = found.groupBy("row_id", "rule", "kind", "op", "a", "b", "c").agg(
         F.bit_and("hits").alias("hits"), F.count("*").alias("seen"))
-    whole = merged.join(chunks, "row_id").where((F.col("seen") == F.col("chunks")) & (F.col("hits") != 0))
-    return whole.drop("seen", "chunks")
+    # At most one line per rule and row is left, so the window over a row is bounded by the rule table.
+    chunks = F.max(F.when(F.col("rule") < 0, F.col("seen"))).over(Window.partitionBy("row_id"))
+    whole = merged.withColumn("chunks", chunks)
+    return whole.where((F.col("rule") >= 0) & (F.col("seen") == F.col("chunks")) & (F.col("hits") != 0)).drop("seen", "chunks")
 
 
 def bit_rules(pairs: DataFrame, rules: list[tuple[str, str, int, int, int]] | None = None) -> DataFrame:

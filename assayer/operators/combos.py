@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 # Canonical scan order.
@@ -12,8 +14,9 @@ COMBINATIONS = [(o, p, f) for o in ORDERS for p in OPERATIONS for f in FORMATS]
 
 
 def combination_literals() -> Column:
-    names = ["combo", "operand_order", "operation", "format"]
-    return F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(names, (i, *c))]) for i, c in enumerate(COMBINATIONS)])
+    """All combinations as one folded constant array."""
+    table = [dict(combo=i, operand_order=o, operation=p, format=f) for i, (o, p, f) in enumerate(COMBINATIONS)]
+    return F.from_json(F.lit(json.dumps(table)), "array<struct<combo:int,operand_order:string,operation:string,format:string>>")
 
 
 def apply_combination(expression: Column, order: Column, operation: Column, fmt: Column) -> Column:
