@@ -1 +1,225 @@
+"""Registered queries: document filters, deduplication, redaction, contamination and classifiers."""
+
+from __future__ import annotations
+
+import pandas as pd
+from pyspark.sql import functions as F
+
+from assayer.operators import classifiers as C, contamination as N, dedup as U, filters as X, redaction as R
+from assayer.plans import curation as Q, derive as D
+from registry import parts as P
+
 QUERIES: dict = {}
+
+
+def register(name: str, sql: str | None = None):
+    def add(function):
+        QUERIES[name] = (function, sql)
+        return function
+    return add
+
+
+def docs(spark, sf):
+    return D.documents(spark, sf)
+
+
+_WORDS = "list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '')"
+_FILLED = "list_filter(string_split(text, chr(10)), lambda l: trim(l, ' ') <> '')"
+_UNIQ = lambda x: f"len(list_distinct({x}))"
+
+
+def _removed(pattern: str) -> str:
+    return f"(length(text) - length(regexp_replace(text, {P.q(pattern)}, '', 'g')))"
+
+
+def _ratio(a: str, b: str) -> str:
+    return f"coalesce({a} / nullif({b}, 0)::double, 0.0::double)"
+
+
+_MEASURES = {
+    "n_words": f"len({_WORDS})",
+    "repeated_lines": _ratio(f"(len(fl) - {_UNIQ('fl')})", "len(fl)"),
+    "symbol_ratio": _ratio(_removed("[#*~^{}<>|%$@]+"), f"len({_WORDS})"),
+    "url_ratio": _ratio(_removed(X.URL), "length(text)"),
+    "non_alnum": _ratio(_removed(r"[^\p{L}\p{N}\s]+"), "length(text)"),
+    "bullets": _ratio("len(list_filter(fl, lambda l: regexp_matches(l, '^\\s*[-*•]')))", "len(fl)"),
+    "whitespace": _ratio(_removed(r"\s+"), "length(text)"),
+    "parentheses": _ratio(_removed(r"[()\[\]]+"), "length(text)"),
+    "longest_word": f"coalesce(list_max(list_transform({_WORDS}, lambda w: length(w))), 0)",
+}
+_MEASURED = f"measured as materialized (select doc_id, text, source, {', '.join(f'{e} as {n}' for n, e in _MEASURES.items())} from (select *, {_FILLED} as fl from documents) d)"
+
+
+@register("document_measures", f"with {_MEASURED} select doc_id, cast(n_words as bigint) as n_words, cast(longest_word as bigint) as longest_word, "
+          + ", ".join(f"round({n}, 9) as {n}" for n in _MEASURES if n not in ("n_words", "longest_word")) + " from measured")
+def document_measures(spark, sf):
+    frame = X.with_measures(docs(spark, sf), "doc_id")
+    return frame.select("doc_id", F.col("n_words").cast("bigint").alias("n_words"), F.col("longest_word").cast("bigint").alias("longest_word"),
+                        *[F.round(n, 9).alias(n) for n in _MEASURES if n not in ("n_words", "longest_word")])
+
+
+def _keeps(name: str, condition_sql: str, condition):
+    @register(name, f"with {_MEASURED} select doc_id from measured where {condition_sql}")
+    def run(spark, sf):
+        return X.with_measures(docs(spark, sf), "doc_id").where(condition()).select("doc_id")
+
+
+_L = X.LIMITS
+_keeps("word_count_filter", f"n_words between {_L['min_words']} and {_L['max_words']}", lambda: F.col("n_words").between(_L["min_words"], _L["max_words"]))
+for _name, _column in (("repeated_lines_filter", "repeated_lines"), ("symbol_word_ratio_filter", "symbol_ratio"), ("url_ratio_filter", "url_ratio"), ("non_alnum_filter", "non_alnum"),
+                       ("bullets_filter", "bullets"), ("whitespace_filter", "whitespace"), ("parentheses_filter", "parentheses"), ("long_word_filter", "longest_word")):
+    _keeps(_name, f"{_column} <= {_L[_column]}::double", lambda c=_column: F.col(c) <= _L[c])
+
+
+def _language_sql() -> str:
+    count = lambda stop: "len(list_filter(tokens, lambda w: w in (" + ", ".join(P.q(s) for s in stop) + ")))"
+    scores = ", ".join(f"{count(stop)} as s_{lang}" for lang, stop in X.STOP_WORDS.items())
+    best = "greatest(" + ", ".join(f"s_{lang}" for lang in X.STOP_WORDS) + ")"
+    chain = " ".join(f"when s_{lang} = {best} then '{lang}'" for lang in sorted(X.STOP_WORDS))
+    return (f"tokenised as (select doc_id, lang, text, regexp_extract_all(lower(text), '\\p{{L}}+') as tokens from documents), lscored as (select *, {scores} from tokenised), "
+            f"languages as materialized (select doc_id, lang, case when {best} = 0 then 'und' {chain} end as language from lscored)")
+
+
+@register("language_filter", f"with {_language_sql()} select doc_id, language from languages where language in ('en', 'fr')")
+def language_filter(spark, sf):
+    return X.language_filter(docs(spark, sf), ["en", "fr"]).select("doc_id", "language")
+
+
+@register("language_agreement", f"with {_language_sql()} select lang, language, count(*) as n from languages group by 1, 2")
+def language_agreement(spark, sf):
+    return docs(spark, sf).select("lang", X.detect_language(F.col("text")).alias("language")).groupBy("lang", "language").agg(F.count("*").alias("n"))
+
+
+@register("exact_dedup", "select doc_id, min(doc_id) over (partition by md5(text)) as keeper, count(*) over (partition by md5(text)) as copies from documents")
+def exact_dedup(spark, sf):
+    return U.exact_dedup(docs(spark, sf))
+
+
+@register("fuzzy_dedup")
+def fuzzy_dedup(spark, sf):
+    return U.fuzzy_dedup(docs(spark, sf))
+
+
+@register("semantic_dedup")
+def semantic_dedup(spark, sf):
+    return U.semantic_dedup(D.read(spark, sf, "embeddings").select("vec_id", "embedding"))
+
+
+def _redacted_sql() -> str:
+    current, counts = "text", []
+    for name, pattern in R.ENTITIES.items():
+        counts.append(f"len(regexp_extract_all({current}, {P.q(pattern)}, 0)) as {name.lower()}")
+        current = f"regexp_replace({current}, {P.q(pattern)}, '<{name}>', 'g')"
+    return f"select doc_id, {', '.join(counts)}, md5({current}) as digest from documents"
+
+
+@register("pii_redact", _redacted_sql())
+def pii_redact(spark, sf):
+    frame = R.pii_redact(docs(spark, sf))
+    return frame.select("doc_id", *[F.col(n.lower()).cast("bigint").alias(n.lower()) for n in R.ENTITIES], F.md5("text").alias("digest"))
+
+
+@register("quality_classifier")
+def quality_classifier(spark, sf):
+    return C.quality_classifier(docs(spark, sf), D.read(spark, sf, "labels")).select("doc_id", F.round("score", 4).alias("score"))
+
+
+@register("toxicity_filter")
+def toxicity_filter(spark, sf):
+    return C.toxicity_filter(docs(spark, sf), D.read(spark, sf, "labels")).select("doc_id", F.round("score", 4).alias("score"))
+
+
+_LIM = Q.LIMITS
+_STAGED = f"""with {_MEASURED}, {_language_sql()}, ruled as (select doc_id, md5(text) as digest, case when n_words < {_LIM['min_words']} or n_words > {_LIM['max_words']} then 'word_count'
+  when repeated_lines > {_LIM['repeated_lines']}::double then 'repeated_lines' when symbol_ratio > {_LIM['symbol_ratio']}::double then 'symbol_ratio' when url_ratio > {_LIM['url_ratio']}::double then 'url_ratio'
+  when language <> 'en' then 'language' end as stage from measured join languages using (doc_id)),
+  staged as (select doc_id, case when stage is not null then stage when doc_id = min(doc_id) over (partition by digest, stage is null) then 'kept' else 'exact_copy' end as stage from ruled)"""
+
+
+@register("curation_stages", f"{_STAGED} select doc_id, stage from staged")
+def curation_stages(spark, sf):
+    return Q.staged(docs(spark, sf), ["en"])
+
+
+@register("curation_funnel", f"{_STAGED} select stage, count(*) as documents from staged group by stage")
+def curation_funnel(spark, sf):
+    return Q.stage_counts(Q.staged(docs(spark, sf), ["en"]))
+
+
+@register("curated_documents")
+def curated_documents(spark, sf):
+    return Q.curated(docs(spark, sf), ["en", "de", "fr", "es"]).select("doc_id", F.md5("text").alias("digest"))
+
+
+_GRAMS = lambda table, key: f"""(select distinct {key}, md5(array_to_string(tokens[i:i + 7], ' ')) as gram from (
+  select {key}, tokens, unnest(range(1, len(tokens) - 6)) as i from (select {key}, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+') as tokens from {table}) a) b)"""
+_OVERLAP = f"""owned as materialized (select gram, min(item_id) as item_id from {_GRAMS('benchmark', 'item_id')} g group by gram), sizes as (select item_id, count(*) as owned from owned group by 1),
+  found_overlaps as materialized (select doc_id, o.item_id, count(*) as hits, count(*) / any_value(owned) as share from {_GRAMS('documents', 'doc_id')} d join owned o using (gram) join sizes s on s.item_id = o.item_id group by 1, 2)"""
+
+
+@register("benchmark_overlap", f"with {_OVERLAP} select doc_id, item_id, hits, round(share, 9) as share from found_overlaps")
+def benchmark_overlap(spark, sf):
+    return N.overlap(docs(spark, sf), D.read(spark, sf, "benchmark")).withColumn("share", F.round("share", 9))
+
+
+@register("decontaminate", f"with {_OVERLAP} select doc_id from documents where doc_id not in (select doc_id from found_overlaps where share >= 0.5::double)")
+def decontaminate(spark, sf):
+    return N.decontaminate(docs(spark, sf), D.read(spark, sf, "benchmark")).select("doc_id")
+
+
+@register("template_leakage", """with l as (select distinct doc_id, trim(unnest(string_split(text, chr(10))), ' ') as line from documents)
+  select md5(line) as line, count(*) as documents from l where length(line) >= 5 group by 1 having count(*) >= 0.01::double * (select count(*) from documents)""")
+def template_leakage(spark, sf):
+    return X.template_leakage(docs(spark, sf)).select(F.md5("line").alias("line"), "documents")
+
+
+@register("regeneration_diff", """with o as (select doc_id, md5(text) as before from documents where doc_id % 19 <> 3), n as (select case when doc_id % 50 = 9 then doc_id + 1000000000 else doc_id end as doc_id,
+  md5(case when doc_id % 3 = 0 then text || '.' else text end) as after from documents where doc_id % 23 <> 4),
+  b as (select * from o full join n using (doc_id)), c as (select count(*) as total, count(*) filter (where before is null) as added, count(*) filter (where after is null) as removed, count(*) filter (where before <> after) as changed from b)
+  select *, round(changed / (total - added - removed), 9) as changed_share, changed / (total - added - removed) > 0.3::double as alert from c""")
+def regeneration_diff(spark, sf):
+    base = docs(spark, sf).select("doc_id", "text")
+    new = base.where(F.col("doc_id") % 23 != 4).select(F.when(F.col("doc_id") % 50 == 9, F.col("doc_id") + 1000000000).otherwise(F.col("doc_id")).alias("doc_id"),
+                                                        F.when(F.col("doc_id") % 3 == 0, F.concat("text", F.lit("."))).otherwise(F.col("text")).alias("text"))
+    return X.regeneration_diff(base.where(F.col("doc_id") % 19 != 3), new).withColumn("changed_share", F.round("changed_share", 9))
+
+
+@register("ngram_repetition", """with t as (select doc_id, list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda w: w <> '') as ws from documents),
+  g as (select doc_id, list_transform(range(1, len(ws) - 1), lambda i: array_to_string(ws[i:i + 2], ' ')) as gs from t)
+  select doc_id, round(coalesce(1 - len(list_distinct(gs)) / nullif(len(gs), 0)::double, 0), 9) as repetition from g""")
+def ngram_repetition(spark, sf):
+    return X.with_ngram_repetition(docs(spark, sf), 3, "doc_id").withColumn("repetition", F.round("repetition", 9))
+
+
+@register("map_batches", "select event_id, value * 2 + 1 as doubled, upper(event_type) as label from events where value > 20")
+def map_batches(spark, sf):
+    rows = D.read(spark, sf, "events").select("event_id", "value", "event_type")
+
+    def double(batch: pd.DataFrame) -> pd.DataFrame:
+        kept = batch[batch["value"] > 20]
+        return pd.DataFrame({"event_id": kept["event_id"], "doubled": kept["value"] * 2 + 1, "label": kept["event_type"].str.upper()})
+
+    return C.map_batches(rows, double, "event_id bigint, doubled double, label string")
+
+
+@register("map_filter_flat_map", "select conv_id, turn, unnest(regexp_extract_all(lower(text), '[a-z]{6,}')) as word from conversations where role = 'user'")
+def map_filter_flat_map(spark, sf):
+    rows = D.read(spark, sf, "conversations").where(F.col("role") == "user")
+    return rows.select("conv_id", "turn", F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{6,}"), F.lit(0))).alias("word"))
+
+
+@register("batch_inference", """select vec_id, label, round(list_sum(list_transform(range(1, len(embedding) + 1), lambda i: embedding[i]::double * ((i * 37) % 11 - 5) / 10.0::double)), 6) as score from embeddings""")
+def batch_inference(spark, sf):
+    def build():
+        import numpy as np
+        weights = ((np.arange(1, 4097) * 37) % 11 - 5) / 10.0
+        return lambda batch: pd.Series([float(np.asarray(v, dtype=np.float64) @ weights[: len(v)]) for v in batch])
+
+    predict = C.batch_inference(build)
+    return D.read(spark, sf, "embeddings").select("vec_id", "label", F.round(predict(F.col("embedding")), 6).alias("score"))
+
+
+@register("repartition", "select event_type, count(*) as n, round(sum(value), 4) as total from events group by event_type")
+def repartition(spark, sf):
+    rows = D.read(spark, sf, "events").repartition(16, "event_id")
+    return rows.groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
