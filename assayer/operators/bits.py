@@ -128,16 +128,22 @@ def bit_apply(chosen: DataFrame, targets: DataFrame) -> DataFrame:
     return targets.join(packed, "row_id", "left").withColumn("predicted", answer).drop("n", "byte")
 
 
-def bit_difficulty(puzzle_ids: DataFrame, chosen: DataFrame, pairs: DataFrame) -> DataFrame:
-    """SIMPLE if all eight bits have a rule or there are no pairs at all, else HARD; with the rule kinds in bit order."""
-    kinds = chosen.groupBy("row_id").agg(
-        F.count("*").alias("n"), *[F.max(F.when(F.col("bit") == k, F.col("kind"))).alias(f"k{k}") for k in range(8)])
-    counted = pairs.groupBy("row_id").agg(F.count("*").alias("n_pairs"))
-    joined = puzzle_ids.join(counted, "row_id", "left").join(kinds, "row_id", "left")
+def solve_and_describe(chosen: DataFrame, rows: DataFrame) -> DataFrame:
+    """``row_id, true_answer, difficulty, rule_kinds`` from the chosen rules in one aggregation.
+
+    SIMPLE if all eight bits have a rule or there are no pairs at all, else HARD. ``rows``: ``row_id, target, n_pairs``.
+    """
+    one_bits = F.transform(F.sequence(F.lit(1), F.lit(8)), lambda j: F.substring(F.col("target"), j, F.lit(1)).try_cast("bigint"))
+    value = evaluate(F.col("ins"), F.lit(1).cast("bigint"))
+    values = chosen.join(rows.select("row_id", one_bits.alias("ins")), "row_id").select("row_id", "bit", "kind", value.alias("value"))
+    described = values.groupBy("row_id").agg(
+        F.count("*").alias("n"), F.count("value").alias("n_values"), F.sum(F.expr("shiftleft(value, 7 - bit)")).alias("byte"),
+        *[F.max(F.when(F.col("bit") == k, F.col("kind"))).alias(f"k{k}") for k in range(8)])
     has = F.coalesce(F.col("n_pairs"), F.lit(0)) > 0
-    difficulty = F.when(~has | (F.col("n") == 8), "SIMPLE").otherwise("HARD")
-    rule_kinds = F.when(has, F.array(*[F.coalesce(f"k{k}", F.lit("COMPLEX")) for k in range(8)])).otherwise(F.array().cast("array<string>"))
-    return joined.select(*puzzle_ids.columns, difficulty.alias("difficulty"), rule_kinds.alias("rule_kinds"))
+    kinds = F.when(has, F.array(*[F.coalesce(f"k{k}", F.lit("COMPLEX")) for k in range(8)])).otherwise(F.array().cast("array<string>"))
+    return rows.join(described, "row_id", "left").select(
+        "row_id", F.when((F.col("n") == 8) & (F.col("n_values") == 8), F.lpad(F.bin("byte"), 8, "0")).alias("true_answer"),
+        F.when(~has | (F.col("n") == 8), "SIMPLE").otherwise("HARD").alias("difficulty"), kinds.alias("rule_kinds"))
 
 
 def unique_bits(valid: DataFrame) -> DataFrame:

@@ -169,10 +169,13 @@ def vocabulary_share(rows: DataFrame, vocabulary: DataFrame) -> DataFrame:
             .agg((F.count_if(F.col("known")) / F.count("*")).alias("vocabulary_share")))
 
 
-def grade_chains(flagged: DataFrame, vocabulary: DataFrame | None = None) -> DataFrame:
-    """Steps, first failure, counts and chain score. ``flagged`` is the verdict table (facts and cipher flags joined)."""
-    if vocabulary is not None:
-        flagged = flagged.join(vocabulary_share(flagged, vocabulary), ["row_id", "run"], "left")
+def grade_chains(flagged: DataFrame, shares: DataFrame | None = None) -> DataFrame:
+    """Steps, first failure, counts and chain score.
+
+    ``flagged`` is the verdict table (facts and cipher flags joined), ``shares`` the vocabulary shares of its answers.
+    """
+    if shares is not None:
+        flagged = flagged.join(shares, ["row_id", "run"], "left")
     elif "vocabulary_share" not in flagged.columns:
         flagged = flagged.withColumn("vocabulary_share", F.lit(None).cast("double"))
     steps = None

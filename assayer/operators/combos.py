@@ -58,15 +58,10 @@ def combination_scan(pairs: DataFrame, targets: DataFrame, fewest: int = 3) -> D
                          got.alias("predicted"), F.coalesce(got == F.col("expected"), F.lit(False)).alias("verified"))
 
 
-def equation_subtype(pairs: DataFrame, ids: DataFrame) -> DataFrame:
+def equation_subtype(pairs: Column) -> Column:
     """Digit share of the operand characters above 0.7: SYMBOL-DIGIT, else CIPHER-DIGIT; UNKNOWN without pairs."""
-    digits, chars = F.lit(0), F.lit(0)
-    usable = F.char_length("lhs") >= 5
-    for position in (1, 2, 4, 5):
-        digits = digits + F.when(usable & F.substring("lhs", position, 1).rlike("^[0-9]$"), 1).otherwise(0)
-    chars = F.when(usable, 4).otherwise(0)
-    counted = pairs.groupBy("row_id").agg(F.sum(digits).alias("digits"), F.sum(chars).alias("chars"))
-    joined = ids.join(counted, "row_id", "left")
-    kind = (F.when(F.coalesce(F.col("chars"), F.lit(0)) == 0, "UNKNOWN")
-            .when(F.col("digits") / F.nullif(F.col("chars"), F.lit(0)) > 0.7, "SYMBOL-DIGIT").otherwise("CIPHER-DIGIT"))
-    return joined.withColumn("subtype", kind).drop("digits", "chars")
+    sides = F.filter(F.transform(pairs, lambda p: p["lhs"]), lambda lhs: F.char_length(lhs) >= 5)
+    operands = F.array_join(F.transform(sides, lambda lhs: F.concat(F.substring(lhs, 1, 2), F.substring(lhs, 4, 2))), "")
+    digits = F.char_length(F.regexp_replace(operands, "[^0-9]", ""))
+    return (F.when(F.coalesce(F.char_length(operands), F.lit(0)) == 0, "UNKNOWN")
+            .when(digits / F.nullif(F.char_length(operands), F.lit(0)) > 0.7, "SYMBOL-DIGIT").otherwise("CIPHER-DIGIT"))

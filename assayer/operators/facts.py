@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from assayer.functions.numerals import roman_decode, roman_encode
 from assayer.operators import bits, combos, substitution
-from assayer.operators.pairs import pairs_from_prompts, prompt_pairs, prompt_target
+from assayer.operators.pairs import prompt_pairs, prompt_target
+from assayer.session import cut_lineage
 
 # Question patterns of numeral prompts.
 NUMERAL_ASKS = [r"(?i)write the number\s+([0-9]+)", r"(?i)what.*?(?:arabic\s+)?number\s+is\s+([IVXLCDM]+)",
@@ -23,28 +24,12 @@ def numeral_target(prompt: Column) -> tuple[Column, Column]:
     return direction, target
 
 
-def binary_facts(puzzles: DataFrame) -> DataFrame:
-    """``row_id, true_answer, difficulty, rule_kinds`` of the 8-bit puzzles."""
-    pairs = pairs_from_prompts(puzzles, "binary")
-    rows = puzzles.where(F.col("type") == "binary").select("row_id", prompt_target(F.col("prompt"), "binary").alias("target"))
-    chosen = bits.first_rules(bits.bit_rules(pairs))
-    graded = bits.bit_difficulty(rows, chosen, pairs)
-    answered = bits.bit_apply(chosen, rows.where(F.col("target").isNotNull())).select("row_id", F.col("predicted").alias("true_answer"))
-    return graded.join(answered, "row_id", "left").drop("target")
+def parsed(puzzles: DataFrame) -> DataFrame:
+    """``row_id, type, expected, pairs, target, direction``: every prompt parsed once.
 
-
-def cipher_facts(puzzles: DataFrame) -> DataFrame:
-    table = substitution.learn_substitution(pairs_from_prompts(puzzles, "cipher"))
-    return substitution.as_map(table, "true_table")
-
-
-def equation_facts(puzzles: DataFrame) -> DataFrame:
-    ids = puzzles.where(F.col("type") == "equation").select("row_id")
-    return combos.equation_subtype(pairs_from_prompts(puzzles, "equation"), ids)
-
-
-def puzzle_facts(puzzles: DataFrame) -> DataFrame:
-    """Everything the graders need besides the text, keyed by row id."""
+    The parsed table is small beside the reasoning texts and feeds several jobs, so it is written once instead of
+    parsing the prompts again in every branch.
+    """
     kind, prompt = F.col("type"), F.col("prompt")
     pairs, target = None, None
     for name in ("binary", "cipher", "equation", "gravity", "unit"):
@@ -52,12 +37,29 @@ def puzzle_facts(puzzles: DataFrame) -> DataFrame:
         pairs = F.when(kind == name, p) if pairs is None else pairs.when(kind == name, p)
         target = F.when(kind == name, t) if target is None else target.when(kind == name, t)
     direction, numeral = numeral_target(prompt)
-    base = puzzles.select(
-        "row_id", "type", "prompt", "expected", pairs.alias("pairs"), target.when(kind == "roman", numeral).alias("target"),
-        F.when(kind == "roman", direction).alias("direction"))
+    return cut_lineage(puzzles.select("row_id", "type", "expected", pairs.alias("pairs"), target.when(kind == "roman", numeral).alias("target"),
+                                      F.when(kind == "roman", direction).alias("direction")))
+
+
+def long_pairs(table: DataFrame, kind: str) -> DataFrame:
+    rows = table.where(F.col("type") == kind).select("row_id", F.posexplode("pairs").alias("pos", "pair"))
+    return rows.select("row_id", "pos", "pair.lhs", "pair.rhs")
+
+
+def binary_facts(table: DataFrame) -> DataFrame:
+    """``row_id, true_answer, difficulty, rule_kinds`` of the 8-bit puzzles of a parsed table."""
+    rows = table.where(F.col("type") == "binary").select("row_id", "target", F.size("pairs").alias("n_pairs"))
+    return bits.solve_and_describe(bits.first_rules(bits.bit_rules(long_pairs(table, "binary"))), rows)
+
+
+def puzzle_facts(puzzles: DataFrame) -> DataFrame:
+    """Everything the graders need besides the text, keyed by row id."""
+    table = parsed(puzzles)
+    true_tables = substitution.as_map(substitution.learn_substitution(long_pairs(table, "cipher")), "true_table")
     numeral_answer = F.when(F.col("direction") == "arabic_to_roman", roman_encode(F.col("target").try_cast("bigint"))).when(
         F.col("direction") == "roman_to_arabic", roman_decode(F.col("target")).cast("string"))
-    facts = (base.join(binary_facts(puzzles), "row_id", "left").join(cipher_facts(puzzles), "row_id", "left")
-             .join(equation_facts(puzzles), "row_id", "left"))
-    return facts.withColumn("true_answer", F.when(F.col("type") == "roman", numeral_answer).otherwise(F.col("true_answer"))).withColumn(
-        "true_table", F.coalesce("true_table", F.create_map().cast("map<string,string>"))).drop("type", "prompt", "expected")
+    joined = table.join(binary_facts(table), "row_id", "left").join(true_tables, "row_id", "left")
+    return joined.withColumns({
+        "true_answer": F.when(F.col("type") == "roman", numeral_answer).otherwise(F.col("true_answer")),
+        "true_table": F.coalesce("true_table", F.create_map().cast("map<string,string>")),
+        "subtype": F.when(F.col("type") == "equation", combos.equation_subtype(F.col("pairs")))}).drop("type", "expected")

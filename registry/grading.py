@@ -113,7 +113,7 @@ def vocabulary(spark, sf):
 
 
 def graded(spark, sf):
-    return C.grade_chains(judged(spark, sf), vocabulary(spark, sf))
+    return C.grade_chains(judged(spark, sf), C.vocabulary_share(long_eval(spark, sf), vocabulary(spark, sf)))
 
 
 def _chain_sql() -> str:
@@ -268,7 +268,7 @@ _SOURCES = f"""kinded as (select row_id, list_sort(list(distinct kind)) as kinds
 def training_examples(spark, sf):
     """Half of the puzzles as tagged training rows; a third of the binary ones carry no rule kinds."""
     rows = D.puzzles(spark, sf).where(F.col("row_id") % 2 == 0)
-    kinds = X.binary_facts(rows).select("row_id", F.filter("rule_kinds", lambda k: k != "COMPLEX").alias("rule_kinds"))
+    kinds = X.binary_facts(X.parsed(rows)).select("row_id", F.filter("rule_kinds", lambda k: k != "COMPLEX").alias("rule_kinds"))
     joined = rows.select("row_id", "source", "type").join(kinds, "row_id", "left")
     return joined.withColumn("rule_kinds", F.when(F.col("row_id") % 3 == 0, F.array().cast("array<string>")).otherwise(F.col("rule_kinds")))
 
@@ -285,7 +285,7 @@ def training_sources(spark, sf):
   count(*) filter (where outcome = 'improvement') - count(*) filter (where outcome = 'regression') as net from credits group by source""")
 def attribute_changes(spark, sf):
     pairs = E.paired(long_eval(spark, sf), "a", "b")
-    kinds = X.binary_facts(D.puzzles(spark, sf)).select("row_id", F.array_sort(F.array_distinct(F.filter("rule_kinds", lambda k: k != "COMPLEX"))).alias("row_kinds"))
+    kinds = X.binary_facts(X.parsed(D.puzzles(spark, sf))).select("row_id", F.array_sort(F.array_distinct(F.filter("rule_kinds", lambda k: k != "COMPLEX"))).alias("row_kinds"))
     changed = pairs.withColumn("outcome", E.outcome(F.col("a_ok"), F.col("b_ok"))).where(F.col("outcome").isin("improvement", "regression"))
     changed = changed.join(kinds, "row_id", "left").withColumn("row_kinds", F.coalesce("row_kinds", F.array().cast("array<string>")))
     return J.attribute(changed, J.training_sources(training_examples(spark, sf)))

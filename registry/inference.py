@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from assayer.functions import match, numerals
-from assayer.operators import bits, combos, pairs as A, substitution as S
+from assayer.operators import bits, combos, facts as X, pairs as A, substitution as S
 from assayer.plans import derive as D
 from registry import parts as P
 
@@ -226,8 +226,7 @@ def bit_apply(spark, sf):
           "select t.row_id, b.bit, coalesce(c.kind, 'COMPLEX') as kind from targets t, (select unnest(range(8)) as bit) b left join chosen c on c.row_id = t.row_id and c.bit = b.bit) z group by row_id) "
           "select row_id, difficulty, kinds from binary_facts join listed using (row_id)")
 def bit_difficulty(spark, sf):
-    pairs, targets = both(spark, sf, "binary")
-    out = bits.bit_difficulty(targets.select("row_id"), bits.first_rules(bits.bit_rules(pairs)), pairs)
+    out = X.binary_facts(X.parsed(D.puzzles(spark, sf)))
     return out.select("row_id", "difficulty", F.array_join("rule_kinds", ",").alias("kinds"))
 
 
@@ -363,5 +362,5 @@ _SUBTYPE = """chars as (select row_id, unnest([substr(lhs, 1, 1), substr(lhs, 2,
 
 @register("equation_subtype", f"with {P.TRACES}, {P.pairs('equation')}, {P.targets('equation')}, {_SUBTYPE} select row_id, subtype from subtypes")
 def equation_subtype(spark, sf):
-    pairs, targets = both(spark, sf, "equation")
-    return combos.equation_subtype(pairs, targets.select("row_id"))
+    rows = D.puzzles(spark, sf).where(F.col("type") == "equation")
+    return rows.select("row_id", combos.equation_subtype(A.prompt_pairs(F.col("prompt"), "equation")).alias("subtype"))
