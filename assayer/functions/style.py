@@ -8,15 +8,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from assayer.functions import markers as M
-from assayer.functions.text import BOX_OPEN, count_matches, last_match, occurrences, strip, think_block, words
+from assayer.functions.text import BOX_OPEN, count_matches, last_match, occurrences_of, strip, think_block, words
 
 
 def marker_count(lowered: Column, dictionary: Sequence[str]) -> Column:
     """Occurrences summed over a family. Overlaps between markers count for each, as intended."""
-    total = F.lit(0)
-    for marker in dictionary:
-        total = total + occurrences(lowered, marker)
-    return total
+    return occurrences_of(lowered, dictionary)
 
 
 def confidence(text: Column, lowered: Column | None = None) -> Column:

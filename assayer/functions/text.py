@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, functions as F
 
@@ -40,20 +40,33 @@ def strip(text: Column) -> Column:
     return F.btrim(text, F.lit(BLANKS))
 
 
+def constants(parts: Sequence[str]) -> Column:
+    """Constant text array; one folded literal keeps plans and generated code small."""
+    return F.split(F.lit("\x01".join(parts)), "\x01")
+
+
+def with_value(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often the body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def contains_any(text: Column, parts: Sequence[str]) -> Column:
     """True when one of the parts occurs."""
-    found = F.lit(False)
-    for part in parts:
-        found = found | F.contains(text, F.lit(part))
-    return found
+    return with_value(text, lambda t: F.exists(constants(parts), lambda part: F.contains(t, part)))
 
 
 def parts_present(text: Column, parts: Sequence[str]) -> Column:
     """Number of distinct parts that occur in the text."""
-    total = F.lit(0)
-    for part in parts:
-        total = total + F.contains(text, F.lit(part)).cast("int")
-    return total
+    return with_value(text, lambda t: F.size(F.filter(constants(parts), lambda part: F.contains(t, part))))
+
+
+def occurrences_of(text: Column, parts: Sequence[str]) -> Column:
+    """Non-overlapping occurrences summed over parts. Containment is a plain byte scan, so only hits are counted."""
+    def count(t: Column, part: Column) -> Column:
+        removed = F.octet_length(t) - F.octet_length(F.replace(t, part, F.lit("")))
+        return F.when(F.contains(t, part), (removed / F.nullif(F.octet_length(part), F.lit(0))).cast("int")).otherwise(0)
+
+    return with_value(text, lambda t: F.aggregate(constants(parts), F.lit(0), lambda total, part: total + count(t, part)))
 
 
 def occurrences(text: Column, part: str) -> Column:
