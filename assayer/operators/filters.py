@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from assayer.functions.text import words
+from assayer.functions.text import with_value, words
 
 # Limits of the documented filters; the last five are ours, the guide only names those filters.
 LIMITS = {"min_words": 50, "max_words": 100000, "repeated_lines": 0.3, "symbol_ratio": 0.3, "url_ratio": 0.2,
@@ -60,24 +60,23 @@ def first_failure(limits: dict[str, float] = LIMITS) -> Column:
     return chain
 
 
-def language_scores(text: Column) -> dict[str, Column]:
-    """Stop-word hits per language. Membership in a constant set is hashed, so the cost is one pass per language."""
-    tokens = F.regexp_extract_all(F.lower(text), F.lit(r"\p{L}+"), F.lit(0))
+def detect_language(text: Column) -> Column:
+    """Language with most stop words, the first by name on ties, ``und`` without any.
 
-    def hits(stop: list[str]) -> Column:
-        return F.size(F.filter(tokens, lambda w: w.isin(*stop)))
+    The words are cut once; membership in a constant set is hashed, so the cost is one pass per language.
+    """
+    tokens = F.regexp_extract_all(F.lower(text), F.lit(r"\p{L}+"), F.lit(0))
+    names = sorted(STOP_WORDS)
 
-    return {lang: hits(stop) for lang, stop in STOP_WORDS.items()}
+    def hits(t: Column, stop: list[str]) -> Column:
+        return F.size(F.filter(t, lambda w: w.isin(*stop)))
 
+    def pick(counts: Column) -> Column:
+        best = F.array_max(counts)
+        position = (F.array_position(counts, best) - 1).cast("int")
+        return F.when(best == 0, "und").otherwise(F.get(F.array(*[F.lit(n) for n in names]), position))
 
-def detect_language(text: Column) -> Column:
-    """Language with most stop words, the first by name on ties, ``und`` without any."""
-    scores = language_scores(text)
-    best = F.greatest(*scores.values())
-    chain = F.when(best == 0, "und")
-    for lang in sorted(scores):
-        chain = chain.when(scores[lang] == best, lang)
-    return chain
+    return with_value(tokens, lambda t: with_value(F.array(*[hits(t, STOP_WORDS[n]) for n in names]), pick))
 
 
 def language_filter(docs: DataFrame, targets: Sequence[str]) -> DataFrame:

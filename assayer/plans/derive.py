@@ -11,7 +11,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
-from assayer.session import spread
+from assayer.session import scratch_path, spread
 
 TYPES = ["binary", "cipher", "equation", "gravity", "roman", "unit"]
 ALPHABET = "abcdefghijklmnopqrstuvwxyz"
@@ -244,9 +244,18 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spread(read(spark, sf_dir, "documents"), "doc_id")
 
 
-def puzzles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql(puzzles_sql(SPARK, "{documents}"), documents=documents(spark, sf_dir))
+_STORED: dict[tuple[str, str], str] = {}
 
 
 def traces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql(traces_sql(SPARK, "{documents}"), documents=documents(spark, sf_dir))
+    """The derived evaluation table, written once per application and folder so that queries scan stored columns."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _STORED:
+        path = scratch_path(spark, "traces")
+        spark.sql(traces_sql(SPARK, "{documents}"), documents=documents(spark, sf_dir)).write.parquet(path)
+        _STORED[key] = path
+    return spark.read.parquet(_STORED[key])
+
+
+def puzzles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return traces(spark, sf_dir).select("row_id", "v", "type", "source", "lang", "prompt", "expected", "target")
