@@ -115,14 +115,14 @@ def sign_buckets(seed: int, bands: int, bits: int):
     return buckets
 
 
-def semantic_dedup(vectors: DataFrame, threshold: float = COSINE, bands: int = 24, seed: int = 7) -> DataFrame:
+def semantic_dedup(vectors: DataFrame, threshold: float = COSINE, bands: int = 48, seed: int = 7) -> DataFrame:
     """``vec_id, cluster``: similar vectors by sign buckets, exact cosine checks and connected components.
 
     The bits per bucket grow with the logarithm of the row count, so buckets keep a constant expected size of unrelated
     vectors. Equal vectors collapse first. Buckets are a probabilistic block; links are always checked exactly.
     """
     rows = vectors.count()
-    bits = max(8, math.ceil(math.log2(max(rows, 2) / 4)))
+    bits = max(8, math.ceil(math.log2(max(rows, 2)))) + 1
     digest = F.xxhash64("embedding")
     keepers = vectors.groupBy(digest.alias("digest"), "embedding").agg(F.min("vec_id").alias("keeper"))
     mapping = vectors.select("vec_id", digest.alias("digest"), "embedding").join(keepers, ["digest", "embedding"]).select("vec_id", "keeper")
