@@ -150,7 +150,7 @@ def puzzles_sql(dialect: Dialect, documents: str = "documents") -> str:
                            _cat("'Now, determine the result for: '", hidden(_cat(_text(d, target_a), sign, _text(d, target_b))))),
         "gravity": _lines("'The gravitational constant has been changed.'", gravity_pairs,
                           _cat("'Now, find the falling distance for t = '", _cents(d, target_time), "'s given d = 0.5*g*t^2.'")),
-        "roman": _lines("'Numbers are written in a Wonderland numeral system.'", "'11 -> XI'", "'15 -> XV'",
+        "roman": _lines("'Numbers are written in a hidden numeral system.'", "'11 -> XI'", "'15 -> XV'",
                         f"case when v % 2 = 0 then {_cat(chr(39) + 'Now, write the number ' + chr(39), _text(d, number), chr(39) + ' in it.' + chr(39))} "
                         f"else {_cat(chr(39) + 'Now, what arabic number is ' + chr(39), roman(d, number), chr(39) + '?' + chr(39))} end"),
         "unit": _lines("'A secret unit conversion is applied to measurements.'", unit_pairs,
