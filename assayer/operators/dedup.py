@@ -25,7 +25,7 @@ def exact_dedup(docs: DataFrame, method: str = "md5") -> DataFrame:
 
 def distinct_texts(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Documents of distinct texts, and the mapping of every document to the one kept for its text."""
-    mapping = exact_dedup(docs).select("doc_id", "keeper")
+    mapping = cut_lineage(exact_dedup(docs).select("doc_id", "keeper"))
     kept = mapping.where(F.col("doc_id") == F.col("keeper")).select("doc_id")
     return docs.join(kept, "doc_id", "left_semi"), mapping
 

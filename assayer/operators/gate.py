@@ -5,24 +5,31 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from assayer.functions.markers import HARD_GATES, SOFT_GATES
-from assayer.operators.evaluation import calibration, ece, ones
-
-
-def gate_inputs(rows: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
-    """One row of measures. ``rows``: ``type, ok, confidence, drift, boxed`` of one run; ``pairs``: both runs' flags."""
-    rate = lambda kind, empty: F.coalesce(F.avg(F.when(F.col("type") == kind, F.col("ok").cast("double"))), F.lit(empty))
-    measures = rows.agg(
-        F.coalesce(F.avg(F.col("ok").cast("double")), F.lit(0.0)).alias("total_accuracy"), rate("cipher", 1.0).alias("cipher_accuracy"),
-        rate("binary", 0.0).alias("binary_accuracy"), ones(F.col("drift")).alias("drift_flags"),
-        F.coalesce(F.avg(F.col("boxed").cast("double")), F.lit(0.0)).alias("format_share"))
-    measures = measures.withColumn("key", F.lit(1))
-    claims = calibration(rows).select("overclaim", F.lit(1).alias("key"))
-    error = ece(rows).select("ece", F.lit(1).alias("key"))
-    joined = measures.join(claims, "key").join(error, "key")
+from assayer.operators.evaluation import ones
+
+
+def gate_inputs(rows: DataFrame, pairs: DataFrame | None = None, bins: int = 10) -> DataFrame:
+    """One row of measures. ``rows``: ``type, ok, confidence, drift, boxed`` of one run; ``pairs``: both runs' flags.
+
+    Everything is counted per confidence bin in one pass over the rows; the bins then give the calibration error too.
+    """
+    ok, c, kind = F.col("ok"), F.col("confidence"), F.col("type")
+    index = F.greatest(F.lit(0), F.least(F.lit(bins - 1), F.floor(c * bins)))
+    counts = {"n": F.count("*"), "right": ones(ok), "stated": F.sum("confidence"), "n_cipher": ones(kind == "cipher"), "right_cipher": ones(ok & (kind == "cipher")),
+              "n_binary": ones(kind == "binary"), "right_binary": ones(ok & (kind == "binary")), "drift": ones(F.col("drift")), "boxed": ones(F.col("boxed")),
+              "over": ones(~ok & (c > 0.7))}
+    per_bin = rows.groupBy(index.alias("bin")).agg(*[expression.alias(name) for name, expression in counts.items()])
+    share = lambda part, whole, empty: F.coalesce(F.sum(part) / F.nullif(F.sum(whole), F.lit(0)), F.lit(empty))
+    gap = F.abs(F.col("right") / F.col("n") - F.col("stated") / F.col("n")) * F.col("n")
+    measures = per_bin.agg(
+        share("right", "n", 0.0).alias("total_accuracy"), share("right_cipher", "n_cipher", 1.0).alias("cipher_accuracy"),
+        share("right_binary", "n_binary", 0.0).alias("binary_accuracy"), F.coalesce(F.sum("drift"), F.lit(0)).alias("drift_flags"),
+        share("boxed", "n", 0.0).alias("format_share"), share("over", "n", 0.0).alias("overclaim"),
+        F.coalesce(F.sum(gap) / F.nullif(F.sum("n"), F.lit(0)), F.lit(0.0)).alias("ece"))
     if pairs is None:
-        return joined.withColumns({"improvements": F.lit(None).cast("bigint"), "regressions": F.lit(None).cast("bigint")}).drop("key")
+        return measures.withColumns({"improvements": F.lit(None).cast("bigint"), "regressions": F.lit(None).cast("bigint")})
     change = pairs.agg(ones(~F.col("a_ok") & F.col("b_ok")).alias("improvements"), ones(F.col("a_ok") & ~F.col("b_ok")).alias("regressions"))
-    return joined.join(change.withColumn("key", F.lit(1)), "key").drop("key")
+    return measures.withColumn("key", F.lit(1)).join(change.withColumn("key", F.lit(1)), "key").drop("key")
 
 
 def gates(measures: DataFrame, fixed_true: bool = False) -> DataFrame:

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window, functions as F
+from pyspark.sql import functions as F
 
 from assayer.operators import joins as J, selection as S
+from assayer.operators.quantiles import rank_in_order
 from assayer.plans import derive as D
 from registry import parts as P
 from registry.text import long_eval
@@ -20,8 +21,9 @@ def register(name: str, sql: str | None = None):
 
 
 # Candidate answers: the lines of an order in a total order; the truth comes from the order status.
-_ORDER = "l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_shipdate"
-_CAND = f"""cand as materialized (select l_orderkey as prompt_id, row_number() over (partition by l_orderkey order by {_ORDER}) - 1 as k, l_returnflag as answer,
+_LINE_KEY = """md5(concat_ws('-', l_partkey, l_suppkey, cast(l_quantity as bigint), cast(round(l_extendedprice * 100) as bigint), cast(round(l_discount * 100) as bigint),
+  cast(round(l_tax * 100) as bigint), l_returnflag, l_linestatus))"""
+_CAND = f"""cand as materialized (select l_orderkey as prompt_id, row_number() over (partition by l_orderkey order by l_linenumber, {_LINE_KEY}) - 1 as k, l_returnflag as answer,
   case o_orderstatus when 'F' then 'A' when 'O' then 'N' else 'R' end as expected, o_orderpriority as type, repeat(l_returnflag, cast(l_quantity as int)) || l_linestatus as text
   from lineitem join orders on o_orderkey = l_orderkey), judged as materialized (select *, answer = expected as ok from cand),
 prompts as (select o_orderkey as prompt_id, 'fallback ' || o_orderkey as fallback, case o_orderstatus when 'F' then 'A' when 'O' then 'N' else 'R' end as expected, o_orderpriority as type from orders)"""
@@ -35,9 +37,10 @@ def prompts(spark, sf):
 
 
 def candidates(spark, sf):
-    order = Window.partitionBy("l_orderkey").orderBy(*_ORDER.split(", "))
-    lines = D.read(spark, sf, "lineitem").withColumn("k", F.row_number().over(order) - 1).select(
-        F.col("l_orderkey").alias("prompt_id"), "k", F.col("l_returnflag").alias("answer"),
+    """Lines of an order numbered in a total order, ranked per salted part so that a huge order is no single task."""
+    read = D.read(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag", "l_quantity", "l_linestatus", F.expr(_LINE_KEY).alias("line_key"))
+    lines = rank_in_order(read, F.col("l_linenumber"), F.col("line_key"), ["l_orderkey"]).select(
+        F.col("l_orderkey").alias("prompt_id"), (F.col("rank") - 1).alias("k"), F.col("l_returnflag").alias("answer"),
         F.concat(F.repeat("l_returnflag", F.col("l_quantity").cast("int")), "l_linestatus").alias("text"))
     return lines.join(prompts(spark, sf).drop("fallback"), "prompt_id").withColumn("ok", F.col("answer") == F.col("expected"))
 
@@ -55,7 +58,7 @@ _LOOP = """loop as (select *, max(ok::int) over (partition by prompt_id order by
 
 
 @register("first_correct_with_limit", f"""with {_CAND}, {_LOOP}, t as (select prompt_id, text, k from made where ok qualify row_number() over (partition by prompt_id order by length(text) desc, k) = 1)
-  select m.prompt_id, count(*) as attempts, any_value(t.text) as best, cast(any_value(t.k) as int) as best_k from made m left join t using (prompt_id) group by m.prompt_id""")
+  select m.prompt_id, count(*) as attempts, any_value(t.text) as best, any_value(t.k) as best_k from made m left join t using (prompt_id) group by m.prompt_id""")
 def first_correct_with_limit(spark, sf):
     return S.first_correct_with_limit(candidates(spark, sf))
 
