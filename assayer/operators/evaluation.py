@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -15,17 +15,26 @@ def run_names(wide: DataFrame, suffix: str = "_text") -> list[str]:
 
 
 def unpivot_runs(wide: DataFrame) -> DataFrame:
-    """One row per (row, run). Runs come from the schema only; the table is scanned once."""
+    """One row per (row, run). Runs come from the schema only; the table is scanned once.
+
+    Only the run name goes through the generator; texts and boxes are picked above it, so columns a query does not use
+    (usually the long texts) are pruned from the scan.
+    """
     runs = run_names(wide) or run_names(wide, "_box")
     own = {f"{r}{s}" for r in runs for s in ("_text", "_box", "_ok")}
     keep = [c for c in wide.columns if c not in own]
-    entries = []
-    for run in runs:
-        box = F.col(f"{run}_box") if f"{run}_box" in wide.columns else boxed_last(F.col(f"{run}_text"))
-        text = F.col(f"{run}_text") if f"{run}_text" in wide.columns else F.lit(None).cast("string")
-        ok = F.col(f"{run}_ok").cast("boolean") if f"{run}_ok" in wide.columns else F.lit(None).cast("boolean")
-        entries.append(F.struct(F.lit(run).alias("run"), text.alias("text"), box.alias("box"), ok.alias("given_ok")))
-    long = wide.select(*keep, F.inline(F.array(*entries)))
+    named = wide.select("*", F.explode(F.array(*[F.lit(r) for r in runs])).alias("run"))
+
+    def pick(suffix: str, absent: Callable[[str], Column]) -> Column:
+        chain = None
+        for run in runs:
+            value = F.col(f"{run}{suffix}") if f"{run}{suffix}" in wide.columns else absent(run)
+            chain = F.when(F.col("run") == run, value) if chain is None else chain.when(F.col("run") == run, value)
+        return chain
+
+    empty = lambda kind: lambda run: F.lit(None).cast(kind)
+    long = named.select(*keep, "run", pick("_text", empty("string")).alias("text"), pick("_box", lambda run: boxed_last(F.col(f"{run}_text"))).alias("box"),
+                        pick("_ok", empty("boolean")).cast("boolean").alias("given_ok"))
     judged = F.coalesce(F.col("given_ok"), match.match_strict_binary(F.col("expected"), F.col("box")))
     return long.withColumn("ok", judged).drop("given_ok")
 

@@ -21,7 +21,7 @@ def register(name: str, sql: str | None = None):
 
 # Series: the events of a user by event number; the value is known for the first part and now and then after it.
 _POINTS = """select user_id as series, event_id as pos, value, case when event_id % 4 <> 1 and event_id % 100 < 60 then value end as known from {events}"""
-_CUT = """select user_id as series, event_id as pos, value, case when event_id < 600 + 20 * (user_id % 7) then value end as known from {events} where event_id < 1200 or event_id % 3 = 0"""
+_CUT = """select user_id as series, event_id as pos, value, case when event_id * 100 < (select max(event_id) from {events}) * (50 + user_id % 7) then value end as known from {events}"""
 _POINTS_SQL, _CUT_SQL = f"points as ({_POINTS.format(events='events')})", f"points as ({_CUT.format(events='events')})"
 
 
@@ -35,18 +35,18 @@ def const_hold(spark, sf):
 
 
 _FIT = f"""{_CUT_SQL}, ends as (select series, max(pos) as last_pos, arg_max(known, pos) as last_value from points where known is not null group by series),
-  fit as (select p.series, regr_slope(known, pos) as slope from points p join ends using (series) where known is not null and pos > last_pos - 400 group by p.series)"""
+  fit as (select p.series, regr_slope(known, pos) as slope from points p join ends using (series) where known is not null and pos > last_pos - 2000 group by p.series)"""
 
 
 @register("slope_extrapolate", f"""with {_FIT} select series, pos, round(last_value + coalesce(case when isnan(slope) then 0 else slope end, 0) * (pos - last_pos), 5) as extended from points join ends using (series) join fit using (series) where known is null and pos > last_pos""")
 def slope_extrapolate(spark, sf):
-    return S.slope_extrapolate(points(spark, sf, _CUT), 400).select("series", "pos", F.round("extended", 5).alias("extended"))
+    return S.slope_extrapolate(points(spark, sf, _CUT), 2000).select("series", "pos", F.round("extended", 5).alias("extended"))
 
 
 @register("slope_extrapolate_damped", f"""with {_FIT} select series, pos, round(last_value + coalesce(case when isnan(slope) then 0 else slope end, 0) * 200.0::double * (1 - pow(2.0::double, -(pos - last_pos) / 200.0::double)) / ln(2.0::double), 5) as extended
   from points join ends using (series) join fit using (series) where known is null and pos > last_pos""")
 def slope_extrapolate_damped(spark, sf):
-    return S.slope_extrapolate(points(spark, sf, _CUT), 400, half_life=200.0).select("series", "pos", F.round("extended", 5).alias("extended"))
+    return S.slope_extrapolate(points(spark, sf, _CUT), 2000, half_life=200.0).select("series", "pos", F.round("extended", 5).alias("extended"))
 
 
 _ERRORS = f"{_CUT_SQL}, ends as (select series, arg_max(known, pos) as last_value from points where known is not null group by series), errors as (select series, value - last_value as error from points join ends using (series) where known is null)"
