@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from assayer.llm import winnowing
+from assayer.llm import suffixes, winnowing
 
 QUERIES: dict = {}
 
@@ -42,3 +42,24 @@ def op1(spark, sf_dir):
     listed = F.array_join(F.sort_array(F.transform("items", lambda x: x.cast("string"))), ",")
     return found.select(F.col("id").alias("doc_id"), "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"),
                         F.sha2(listed, 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
+_OP6 = """with texts as materialized (select doc_id, hex(encode(coalesce(text, ''))) as h from documents),
+starts as (select doc_id, i, md5(substr(h, 2 * i + 1, 200)) as s from (select doc_id, h, unnest(range(0, len(h) // 2 - 99)) as i from texts)),
+again as materialized (select doc_id, i from (select doc_id, i, row_number() over (partition by s order by doc_id, i) as k from starts) where k > 1),
+marked as (select doc_id, i, case when i - lag(i) over (partition by doc_id order by i) <= 100 then 0 else 1 end as fresh from again),
+numbered as (select doc_id, i, sum(fresh) over (partition by doc_id order by i) as run from marked),
+spans as materialized (select doc_id, min(i) as low, max(i) + 100 as high from numbered group by doc_id, run),
+gaps as (select doc_id, g.high as a, lead(g.low) over (partition by doc_id order by g.low, g.high) as b from (select * from spans union all select doc_id, 0, 0 from texts) g),
+kept as (select t.doc_id, string_agg(substr(h, 2 * a + 1, 2 * (coalesce(b, len(h) // 2) - a)), '' order by a, b) as h from texts t join gaps using (doc_id) group by 1),
+sums as (select doc_id, sum(high - low) as n_removed, count(*) as n_spans from spans group by 1)
+select t.doc_id, cast(len(t.h) // 2 as bigint) as n_bytes, cast(coalesce(n_removed, 0) as bigint) as n_removed, cast(coalesce(n_spans, 0) as bigint) as n_spans, sha256(unhex(k.h)) as kept_sha256
+from texts t join kept k using (doc_id) left join sums using (doc_id)"""
+
+
+@register("op6_suffix_array_dedup", _OP6)
+def op6(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents")
+    found = suffixes.drop_repeats(docs.select(F.col("doc_id").alias("id"), "text"))
+    removed = F.aggregate("spans", F.lit(0).cast("bigint"), lambda n, s: n + s["end"] - s["start"])
+    return found.select(F.col("id").alias("doc_id"), "n_bytes", removed.alias("n_removed"), F.size("spans").cast("bigint").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
