@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from assayer.llm import suffixes, winnowing
+from assayer.llm import packing, suffixes, winnowing
 
 QUERIES: dict = {}
 
@@ -63,3 +63,17 @@ def op6(spark, sf_dir):
     found = suffixes.drop_repeats(docs.select(F.col("doc_id").alias("id"), "text"))
     removed = F.aggregate("spans", F.lit(0).cast("bigint"), lambda n, s: n + s["end"] - s["start"])
     return found.select(F.col("id").alias("doc_id"), "n_bytes", removed.alias("n_removed"), F.size("spans").cast("bigint").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def tokenizer_file(name: str) -> str:
+    """Path of a vocabulary file of the installed tokenizer package."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+@register("op3_minimum_bin_slack_packing")
+def op3(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents")
+    packed = packing.pack(docs.select(F.col("doc_id").alias("id"), "text"), tokenizer_file("word_bpe_49k.json"))
+    return packed.withColumnRenamed("id", "doc_id")
