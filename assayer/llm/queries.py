@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from assayer.llm import packing, suffixes, winnowing
+from assayer.llm import minhash, packing, suffixes, winnowing
 
 QUERIES: dict = {}
 
@@ -44,6 +44,13 @@ def op1(spark, sf_dir):
                         F.sha2(listed, 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
+@register("op5_probminhash_near_dedup")
+def op5(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents")
+    found = minhash.near_classes(docs.select(F.col("doc_id").alias("id"), "text"))
+    return found.select(F.col("id").alias("doc_id"), F.col("keeper").alias("cluster_id"), (F.col("id") == F.col("keeper")).alias("kept"))
+
+
 _OP6 = """with texts as materialized (select doc_id, hex(encode(coalesce(text, ''))) as h from documents),
 starts as (select doc_id, i, md5(substr(h, 2 * i + 1, 200)) as s from (select doc_id, h, unnest(range(0, len(h) // 2 - 99)) as i from texts)),
 again as materialized (select doc_id, i from (select doc_id, i, row_number() over (partition by s order by doc_id, i) as k from starts) where k > 1),
