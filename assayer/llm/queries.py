@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from assayer.llm import minhash, packing, suffixes, winnowing
+from assayer.llm import crossparse, minhash, packing, suffixes, winnowing
 
 QUERIES: dict = {}
 
@@ -84,3 +84,16 @@ def op3(spark, sf_dir):
     docs = read(spark, sf_dir, "documents")
     packed = packing.pack(docs.select(F.col("doc_id").alias("id"), "text"), tokenizer_file("word_bpe_49k.json"))
     return packed.withColumnRenamed("id", "doc_id")
+
+
+def fold(modulus: int):
+    """Remainder of the checksum of the document number, which deals documents out to learning and testing."""
+    return F.crc32(F.col("doc_id").cast("string")) % modulus
+
+
+@register("op7_cross_parsing_language")
+def op7(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents")
+    samples = crossparse.language_samples(docs.where(fold(3) != 1), text="text")
+    found = crossparse.identify_language(docs.select(F.col("doc_id").alias("id"), "text"), samples, text="text").withColumnRenamed("id", "doc_id")
+    return found.select("doc_id", (fold(3) == 1).alias("held_out"), "lang_pred", "score")
