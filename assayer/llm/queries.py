@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from assayer.llm import crossparse, minhash, packing, suffixes, winnowing
+from assayer.llm import crossparse, minhash, noisyor, packing, suffixes, winnowing
 
 QUERIES: dict = {}
 
@@ -97,3 +97,17 @@ def op7(spark, sf_dir):
     samples = crossparse.language_samples(docs.where(fold(3) != 1), text="text")
     found = crossparse.identify_language(docs.select(F.col("doc_id").alias("id"), "text"), samples, text="text").withColumnRenamed("id", "doc_id")
     return found.select("doc_id", (fold(3) == 1).alias("held_out"), "lang_pred", "score")
+
+
+def _labelled(spark, sf_dir: str, label: str, learn) -> DataFrame:
+    """``id, text, label`` of the documents that may be learned from."""
+    labels = read(spark, sf_dir, "labels").where(learn).select("doc_id", F.col(label).cast("int").alias("label")).where("label is not null")
+    return read(spark, sf_dir, "documents").select("doc_id", "text").join(labels, "doc_id").select(F.col("doc_id").alias("id"), "text", "label")
+
+
+@register("op9_noisy_or_toxicity")
+def op9(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents")
+    model = noisyor.fit_toxicity(_labelled(spark, sf_dir, "toxic", fold(4) != 2))
+    found = noisyor.score_toxicity(docs.select(F.col("doc_id").alias("id"), "text"), model).withColumnRenamed("id", "doc_id")
+    return found.select("doc_id", (fold(4) == 2).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), F.size("sentences").cast("bigint").alias("n_offending"))
