@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from assayer.llm import crossparse, minhash, noisyor, packing, suffixes, winnowing
+from assayer.llm import crossparse, linefield, minhash, noisyor, packing, suffixes, winnowing
 
 QUERIES: dict = {}
 
@@ -105,6 +105,14 @@ def _labelled(spark, sf_dir: str, label: str, learn) -> DataFrame:
     return read(spark, sf_dir, "documents").select("doc_id", "text").join(labels, "doc_id").select(F.col("doc_id").alias("id"), "text", "label")
 
 
+@register("op8_line_field_quality")
+def op8(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents")
+    model = linefield.fit_quality(_labelled(spark, sf_dir, "quality", fold(5) != 0))
+    found = linefield.score_quality(docs.select(F.col("doc_id").alias("id"), "text"), model).withColumnRenamed("id", "doc_id")
+    return found.select("doc_id", (fold(5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), "n_lines", "bad_lines")
+
+
 @register("op9_noisy_or_toxicity")
 def op9(spark, sf_dir):
     docs = read(spark, sf_dir, "documents")
