@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from assayer.llm import crossparse, linefield, minhash, noisyor, packing, suffixes, winnowing
+from assayer.llm import crossparse, linefield, minhash, noisyor, packing, prunedgraph, suffixes, winnowing
 
 QUERIES: dict = {}
 
@@ -72,6 +72,12 @@ def op6(spark, sf_dir):
     return found.select(F.col("id").alias("doc_id"), "n_bytes", removed.alias("n_removed"), F.size("spans").cast("bigint").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+@register("op2_pruned_graph_neighbours")
+def op2(spark, sf_dir):
+    vectors = read(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return prunedgraph.nearest(vectors, vectors.where(F.col("vec_id") % 50 == 0))
+
+
 def tokenizer_file(name: str) -> str:
     """Path of a vocabulary file of the installed tokenizer package."""
     import public_tokenizers
