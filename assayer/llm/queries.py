@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from assayer.llm import crossparse, linefield, minhash, noisyor, packing, prunedgraph, suffixes, winnowing
+from assayer.llm import archives, crossparse, linefield, minhash, noisyor, packing, prunedgraph, suffixes, winnowing
 
 QUERIES: dict = {}
 
@@ -44,6 +44,18 @@ def op1(spark, sf_dir):
                         F.sha2(listed, 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
+_BASE32 = "array_to_string(flatten(list_transform(range(8), lambda g: list_transform([15, 10, 5, 0], lambda s: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substr(h, 5 * g + 1, 5))::bigint >> s) & 31) + 1, 1)))), '')"
+_OP4 = f"""with digested as (select page_id, strlen(coalesce(html, '')) as payload_bytes, sha1(coalesce(html, '')) as h from pages),
+grouped as (select *, max(page_id) over (partition by h) as response from digested)
+select page_id, cast(payload_bytes as bigint) as payload_bytes, {_BASE32} as payload_digest, case when page_id = response then 'response' else 'revisit' end as record_type,
+  case when page_id <> response then response end as refers_to from grouped"""
+
+
+@register("op4_gzip_member_normaliser", _OP4)
+def op4(spark, sf_dir):
+    return archives.archive_round_trip(read(spark, sf_dir, "pages"))
+
+
 @register("op5_probminhash_near_dedup")
 def op5(spark, sf_dir):
     docs = read(spark, sf_dir, "documents")
