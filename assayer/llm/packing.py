@@ -14,7 +14,7 @@ from assayer.llm.tokens import WordEncoder
 from assayer.session import scratch_path
 
 LENGTH, END, RANKED = 2048, 0, 10_000
-_TEXT_BYTES = 8 << 20
+_TEXT_BYTES = 2 << 20
 
 
 def fullest(counts: dict[int, int], capacity: int) -> dict[int, int]:
