@@ -8,15 +8,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from assayer.llm.arrays import mix
+
 U = np.uint64
 SLICE_BITS = 5
 
 
 def _cells(hashes: np.ndarray, bits: int) -> list[np.ndarray]:
-    """Three bit numbers inside the slice that the top bits choose."""
-    base = (hashes >> U(64 - SLICE_BITS)) << U(bits - SLICE_BITS)
-    mask = U((1 << (bits - SLICE_BITS)) - 1)
-    return [(base | ((hashes >> U(shift)) & mask)).astype(np.int64) for shift in (0, 17, 31)]
+    """Three bit numbers inside the slice that the low bits choose. Mixed anew: fingerprints are minima, so their high bits are alike."""
+    base = (hashes & U((1 << SLICE_BITS) - 1)) << U(bits - SLICE_BITS)
+    mask, mixed = U((1 << (bits - SLICE_BITS)) - 1), mix(hashes)
+    return [(base | ((mixed >> U(shift)) & mask)).astype(np.int64) for shift in (0, 20, 40)]
 
 
 def bits_for(count: int, most: int = 28) -> int:
@@ -43,7 +45,7 @@ def build_filter(hashes: DataFrame, bits: int) -> np.ndarray:
         for k, cells in held.items():
             yield pa.RecordBatch.from_pydict({"part": pa.array([k], pa.int32()), "cells": pa.array([np.packbits(cells).tobytes()], pa.binary())})
 
-    spread = hashes.select(name).repartition(1 << SLICE_BITS, F.shiftrightunsigned(name, 64 - SLICE_BITS))
+    spread = hashes.select(name).repartition(1 << SLICE_BITS, F.col(name).bitwiseAND((1 << SLICE_BITS) - 1))
     out = np.zeros((1 << bits) // 8, dtype=np.uint8)
     width = len(out) >> SLICE_BITS
     for row in spread.mapInArrow(fill, "part int, cells binary").toLocalIterator():
