@@ -12,7 +12,7 @@ from assayer.llm.arrays import byte_values, flat, prefix_hashes, ranges, slices,
 from assayer.llm.membership import bits_for, build_filter, maybe
 from assayer.session import scratch_path
 
-SPAN, GRAM, CROWD, SHALLOW, CHUNK = 100, 20, 4096, 16, 20_000
+SPAN, GRAM, CROWD, SHALLOW, CHUNK = 100, 32, 4096, 16, 20_000
 _LOW = (1 << 24) - 1
 _BLOCK = 1 << 22
 
@@ -58,13 +58,13 @@ def _binary(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> pa.Arr
     return pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(data[ranges(starts, lengths)])])
 
 
-def _repeated_segments(texts: DataFrame, span: int, gram: int, cells) -> DataFrame:
-    """Segments whose anchor may occur again, with their bytes."""
+def _repeated_segments(texts: DataFrame, span: int, gram: int, cells, crowds, crowded: bool) -> DataFrame:
+    """Segments whose anchor may occur again, with their bytes: those of crowded anchors, or all others."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text"):
             data, offsets = flat(part.column(1))
             rows, starts, n, lead, hashes = _segments(data, offsets, span, gram)
-            kept = maybe(cells.value[0], cells.value[1], hashes)
+            kept = maybe(*cells.value, hashes) & (maybe(*crowds.value, hashes) == crowded)
             rows, starts, n, lead, hashes = rows[kept], starts[kept], n[kept], lead[kept], hashes[kept]
             prints = span_hashes(prefix_hashes(byte_values(data)), starts, starts + n + span - 1)
             yield pa.RecordBatch.from_pydict({
@@ -136,7 +136,7 @@ def blind_tries(words: np.ndarray, data: np.ndarray, at: np.ndarray, groups: np.
         leaders[node[::-1]] = active[::-1]
         lead = leaders[node]
         common = low.copy()
-        open_ = np.flatnonzero(lead != active)
+        open_ = np.flatnonzero((lead != active) & (low < span))
         common[lead == active] = span
         while len(open_):
             a, b = words[at[active[open_]] + common[open_]], words[at[lead[open_]] + common[open_]]
@@ -185,27 +185,42 @@ def repeated_starts(data: np.ndarray, offsets: np.ndarray, n: np.ndarray, lead:
     return segment[again], step[again]
 
 
-def _sort_segments(kind: str, span: int):
+def _runs(ids, at: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+    ids = ids.combine_chunks() if isinstance(ids, pa.ChunkedArray) else ids
+    ids = ids.chunk(0) if isinstance(ids, pa.ChunkedArray) else ids
+    return pa.RecordBatch.from_arrays([ids, pa.array(at, pa.int64()), pa.array(n, pa.int64())], ["id", "at", "n"])
+
+
+def _sort_segments(span: int):
     """Arrow function over segments that arrive ordered by anchor: runs ``id, at, n`` of starts to drop."""
     def runs(table: pa.Table) -> pa.RecordBatch:
-        batch = table.combine_chunks()
+        table = table.sort_by([("anchor", "ascending"), ("print", "ascending"), ("id", "ascending"), ("at", "ascending")]).combine_chunks()
+        anchor, prints, n, lead = (table.column(c).to_numpy().astype(np.int64) for c in ("anchor", "print", "n", "lead"))
+        # Equal segments: all but the earliest repeat as a whole, and only the earliest goes on.
+        copy = np.zeros(len(n), dtype=bool)
+        copy[1:] = (anchor[1:] == anchor[:-1]) & (prints[1:] == prints[:-1]) & (n[1:] == n[:-1]) & (lead[1:] == lead[:-1])
+        copies = table.filter(pa.array(copy)).select(["id", "at", "n"])
+        group = _dense(anchor)
+        keep = np.flatnonzero(~copy & (np.bincount(group, weights=~copy) > 1)[group])
+        batch = table.take(pa.array(keep)).combine_chunks()
+        anchor, n, lead = anchor[keep], n[keep], lead[keep]
+        if not len(keep):
+            return _runs(copies.column("id"), copies.column("at").to_numpy(), copies.column("n").to_numpy())
         column = batch.column("bytes")
         column = column.chunk(0) if isinstance(column, pa.ChunkedArray) else column
         offsets = np.frombuffer(column.buffers()[1], dtype=np.int32)[column.offset:column.offset + len(column) + 1].astype(np.int64)
         data = np.frombuffer(column.buffers()[2], dtype=np.uint8)
-        n, lead = (batch.column(c).to_numpy().astype(np.int64) for c in ("n", "lead"))
         order = pa.compute.sort_indices(batch.select(["id", "at"]), [("id", "ascending"), ("at", "ascending")]).to_numpy()
         rank = np.empty(len(order), dtype=np.int64)
         rank[order] = np.arange(len(order))
-        segment, step = repeated_starts(data, offsets, n, lead, batch.column("anchor").to_numpy(), rank, span)
+        segment, step = repeated_starts(data, offsets, n, lead, anchor, rank, span)
         order = np.lexsort((step, segment))
         segment, step = segment[order], step[order]
         first = np.flatnonzero(np.concatenate([[True], (segment[1:] != segment[:-1]) | (step[1:] != step[:-1] + 1)])) if len(segment) else segment
         lengths = np.diff(np.append(first, len(segment))) if len(segment) else segment
-        ids = batch.column("id").combine_chunks() if isinstance(batch.column("id"), pa.ChunkedArray) else batch.column("id")
-        ids = ids.take(pa.array(segment[first]))
+        ids = pa.concat_arrays([*copies.column("id").chunks, *batch.column("id").take(pa.array(segment[first])).chunks])
         at = batch.column("at").to_numpy()[segment[first]] + step[first]
-        return pa.RecordBatch.from_arrays([ids.combine_chunks() if isinstance(ids, pa.ChunkedArray) else ids, pa.array(at, pa.int64()), pa.array(lengths, pa.int64())], ["id", "at", "n"])
+        return _runs(ids, np.concatenate([copies.column("at").to_numpy(), at]), np.concatenate([copies.column("n").to_numpy(), lengths]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -229,7 +244,7 @@ def _sort_segments(kind: str, span: int):
     return run
 
 
-def _starts(kind: str, span: int):
+def _starts(span: int):
     """Arrow function that takes segments of crowded anchors apart: one line per start with a 128-bit print of its string."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -250,30 +265,25 @@ def _starts(kind: str, span: int):
 def repeated_runs(texts: DataFrame, span: int = SPAN, gram: int = GRAM, crowd: int = CROWD) -> DataFrame:
     """Runs ``id, at, n``: the ``span`` bytes from each of the ``n`` starts from ``at`` on also start earlier."""
     spark, kind = texts.sparkSession, texts.schema["id"].dataType.simpleString()
-    anchors = _anchor_counts(texts, span, gram).where(F.col("n") > 1)
     stored = scratch_path(spark, "anchors")
-    anchors.select("anchor").write.parquet(stored)
+    _anchor_counts(texts, span, gram).where(F.col("n") > 1).write.parquet(stored)
     anchors = spark.read.parquet(stored)
     bits = bits_for(anchors.count())
     cells = spark.sparkContext.broadcast((build_filter(anchors, bits), bits))
+    crowded = anchors.where(F.col("n") > crowd)
+    bits = bits_for(crowded.count(), most=24)
+    crowds = spark.sparkContext.broadcast((build_filter(crowded, bits), bits))
+    few = _repeated_segments(texts, span, gram, cells, crowds, False)
+    runs = few.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_sort_segments(span), f"id {kind}, at bigint, n bigint")
+    # Anchors of very many segments: equal segments meet as counts, the rest is split by string, so no task gathers an anchor.
     found = scratch_path(spark, "segments")
-    _repeated_segments(texts, span, gram, cells).write.parquet(found)
-    segments = spark.read.parquet(found)
-    # Equal segments meet as counts; only the earliest of each class goes on to be sorted, the others repeat as a whole.
-    classes = segments.groupBy("anchor", "print", "n", "lead").agg(F.min(F.struct("id", "at")).alias("first"))
-    joined = segments.join(classes, ["anchor", "print", "n", "lead"])
-    earliest = F.struct("id", "at").eqNullSafe(F.col("first"))
-    crowded = classes.groupBy("anchor").agg(F.count("*").alias("classes")).where(F.col("classes") > crowd).select("anchor", F.lit(True).alias("crowded"))
-    tagged = joined.withColumn("copy", ~earliest).select("id", "at", "n", "lead", "anchor", "copy", F.when(earliest, F.col("bytes")).alias("bytes"))
-    parted = scratch_path(spark, "classes")
-    tagged.write.parquet(parted)
-    tagged = spark.read.parquet(parted)
+    _repeated_segments(texts, span, gram, cells, crowds, True).write.parquet(found)
+    many = spark.read.parquet(found)
+    alike = ["anchor", "print", "n", "lead"]
+    classes = many.groupBy(*alike).agg(F.min(F.struct("id", "at")).alias("first"))
+    tagged = many.join(classes, alike).withColumn("copy", ~F.struct("id", "at").eqNullSafe(F.col("first")))
     copies = tagged.where("copy").select("id", "at", F.col("n").cast("bigint").alias("n"))
-    heads = tagged.where(~F.col("copy")).select("id", "at", "n", "lead", "anchor", "bytes").join(crowded, "anchor", "left")
-    few = heads.where(F.col("crowded").isNull()).select("id", "at", "n", "lead", "anchor", "bytes")
-    runs = few.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_sort_segments(kind, span), f"id {kind}, at bigint, n bigint")
-    # Anchors with very many classes are split by string: no task gathers them.
-    strings = heads.where("crowded").select("id", "at", "n", "bytes").mapInArrow(_starts(kind, span), f"id {kind}, at bigint, one bigint, two bigint")
+    strings = tagged.where("not copy").select("id", "at", "n", "bytes").mapInArrow(_starts(span), f"id {kind}, at bigint, one bigint, two bigint")
     owners = strings.groupBy("one", "two").agg(F.min(F.struct("id", "at")).alias("first"), F.count("*").alias("members")).where(F.col("members") > 1)
     again = strings.join(owners, ["one", "two"]).where(~F.struct("id", "at").eqNullSafe(F.col("first"))).select("id", "at", F.lit(1).cast("bigint").alias("n"))
     return copies.unionByName(runs).unionByName(again)
@@ -308,9 +318,9 @@ def drop_repeats(completions: DataFrame, span: int = SPAN, gram: int = GRAM, cro
     also starts earlier, in a lower id or before it in the same text; strings are judged on the input, overlaps count, matches never cross texts.
 
     Every string is filed under its anchor, the smallest ``gram``-byte hash in it. Anchors that occur once are dropped where they arise.
-    Equal segments collapse by combinable counts; the rest is sorted per anchor by deep-shallow sorting (multikey quicksort to a shallow
-    depth, blind tries below), and each group of equal strings keeps its earliest start. Anchors with more than ``crowd`` different segments
-    are split by string instead, so a passage in a third of all texts never meets in one task.
+    Equal segments collapse; the rest is sorted per anchor by deep-shallow sorting (multikey quicksort to a shallow depth, blind tries
+    below), and each group of equal strings keeps its earliest start. Anchors with more than ``crowd`` segments are counted by segment and
+    then by string instead, so a passage in a third of all texts never meets in one task.
 
     Null and empty texts have 0 bytes and no spans; shorter texts than ``span`` stay whole; of equal texts the lowest id stays; ids should
     be unique (rows that share an id share their spans); an empty table gives an empty result.
