@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from assayer.llm import archives, crossparse, linefield, minhash, noisyor, packing, prunedgraph, suffixes, winnowing
+from assayer.llm import archives, crossparse, editcounts, linefield, minhash, noisyor, packing, prunedgraph, suffixes, winnowing
 
 QUERIES: dict = {}
 
@@ -137,3 +137,11 @@ def op9(spark, sf_dir):
     model = noisyor.fit_toxicity(_labelled(spark, sf_dir, "toxic", fold(4) != 2))
     found = noisyor.score_toxicity(docs.select(F.col("doc_id").alias("id"), "text"), model).withColumnRenamed("id", "doc_id")
     return found.select("doc_id", (fold(4) == 2).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), F.size("sentences").cast("bigint").alias("n_offending"))
+
+
+@register("op10_edit_aware_token_counts")
+def op10(spark, sf_dir):
+    docs = editcounts.redaction_edits(read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text"))
+    tokenizer = tokenizer_file("word_bpe_49k.json")
+    found = editcounts.apply_edits(editcounts.token_trees(docs, tokenizer), tokenizer)
+    return found.select(F.col("id").alias("doc_id"), "n_bytes", "n_before", "n_tokens", "n_edits", "n_encoded")
