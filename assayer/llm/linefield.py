@@ -148,15 +148,15 @@ def field_fit(codes: np.ndarray, row: np.ndarray, labels: np.ndarray, weights: n
     return theta, stay
 
 
-def fit_quality(graded: DataFrame, per_class: int = PER_CLASS, longest: int = LONGEST, steps: int = STEPS, ridge: float = RIDGE) -> dict | None:
-    """Line model from ``id, text, label`` (1 for good texts), or None where a label is missing.
+def fit_quality(completions: DataFrame, verdicts: DataFrame, per_class: int = PER_CLASS, longest: int = LONGEST, steps: int = STEPS, ridge: float = RIDGE) -> dict | None:
+    """Line model from ``id, text`` and ``id, label`` (1 for good texts), or None where a label is missing.
 
     Learns from at most ``per_class`` rows of each label in one task that holds this bounded sample; classes weigh as in the whole table.
     """
-    totals = {r.label: r.n for r in graded.where(F.col("label").isNotNull() & F.col("text").isNotNull()).groupBy("label").agg(F.count("*").alias("n")).collect()}
+    sample, totals = bounded_sample(completions, verdicts, per_class, longest)
     if not totals.get(0) or not totals.get(1):
         return None
-    sample = bounded_sample(graded.select("id", "text", F.col("label").cast("int").alias("label")), per_class, longest).select("text", "label")
+    sample = sample.select("text", "label")
 
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features, rows, labels, base = [], [], [], 0

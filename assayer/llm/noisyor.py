@@ -37,18 +37,22 @@ def sentence_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, .
 
 
 def noisy_or_fit(words: np.ndarray, sentence: np.ndarray, text_of: np.ndarray, labels: np.ndarray, weights: np.ndarray, n_words: int, steps: int, sparsity: float) -> tuple[np.ndarray, float]:
-    """Word weights and bias of the sentence model: proximal Adam on the noisy-or likelihood of the texts, with an L1 penalty on words."""
+    """Word weights and bias of the sentence model: proximal Adam on the noisy-or likelihood of the texts, with an L1 penalty on words.
+
+    Only sentences with one of the words can be toxic, so that long texts do not gather toxicity by their number of sentences.
+    """
     n_sentences, n_texts = len(text_of), len(labels)
+    evident = np.bincount(sentence, minlength=n_sentences) > 0
     w, bias = np.zeros(n_words), -5.0
     m, v, mb, vb = np.zeros(n_words), np.zeros(n_words), 0.0, 0.0
     share = weights / weights.sum()
     for step in range(1, steps + 1):
         score = bias + np.bincount(sentence, weights=w[words], minlength=n_sentences)
-        p = 1 / (1 + np.exp(-np.clip(score, -30, 30)))
+        p = evident / (1 + np.exp(-np.clip(score, -30, 30)))
         clean = np.bincount(text_of, weights=np.log1p(-np.minimum(p, 1 - 1e-12)), minlength=n_texts)
         toxic = -np.expm1(clean)
         # Derivative of the loss by each sentence score: p for clean texts, -p (1 - P) / P for toxic ones.
-        slope = np.where(labels[text_of] == 1, -p * np.exp(clean)[text_of] / np.maximum(toxic[text_of], 1e-12), p) * share[text_of]
+        slope = np.where(labels[text_of] == 1, -p * np.exp(clean)[text_of] / np.maximum(toxic[text_of], 1e-3), p) * share[text_of]
         g, gb = np.bincount(words, weights=slope[sentence], minlength=n_words), slope.sum()
         m, v, mb, vb = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g, 0.9 * mb + 0.1 * gb, 0.99 * vb + 0.01 * gb * gb
         rate = 0.15 / (np.sqrt(v / (1 - 0.99 ** step)) + 1e-4)
@@ -58,17 +62,16 @@ def noisy_or_fit(words: np.ndarray, sentence: np.ndarray, text_of: np.ndarray, l
     return w, float(bias)
 
 
-def fit_toxicity(flagged: DataFrame, per_class: int = PER_CLASS, longest: int = LONGEST, least_texts: int = LEAST_TEXTS, screen: float = SCREEN, steps: int = STEPS, sparsity: float = SPARSITY) -> dict[int, float]:
-    """Sentence model from ``id, text, label`` (1 for toxic texts): hash of a word or word beginning to weight, and the bias under 0.
+def fit_toxicity(completions: DataFrame, flags: DataFrame, per_class: int = PER_CLASS, longest: int = LONGEST, least_texts: int = LEAST_TEXTS, screen: float = SCREEN, steps: int = STEPS, sparsity: float = SPARSITY) -> dict[int, float]:
+    """Sentence model from ``id, text`` and ``id, label`` (1 for toxic texts): hash of a word or word beginning to weight, and the bias under 0.
 
     Learns from at most ``per_class`` rows of each label, in one task that holds this bounded sample; classes weigh as in the whole table.
     Features of fewer than ``least_texts`` texts, or whose share of toxic and of clean texts differs by less than ``screen`` standard
     errors, are left out. Without rows of both labels the model finds nothing toxic.
     """
-    totals = {r.label: r.n for r in flagged.where(F.col("label").isNotNull() & F.col("text").isNotNull()).groupBy("label").agg(F.count("*").alias("n")).collect()}
+    sample, totals = bounded_sample(completions, flags, per_class, longest)
     if not totals.get(0) or not totals.get(1):
         return {0: -30.0}
-    sample = bounded_sample(flagged.select("id", "text", F.col("label").cast("int").alias("label")), per_class, longest)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text"):
@@ -116,7 +119,7 @@ def score_toxicity(completions: DataFrame, model: dict[int, float], offending: f
 
     ``completions`` holds ``id`` and ``text``; further columns are ignored. Returns ``id, score, sentences``: the noisy-or of the sentence
     probabilities, between 0 and 1, and ``start, end, score`` (bytes) of every sentence of probability ``offending`` or more. A sentence ends at
-    ``. ! ?`` or a line feed; its probability is logistic in the weights of its distinct words and their beginnings.
+    ``. ! ?`` or a line feed; its probability is logistic in the weights of its distinct words and their beginnings, and 0 where none of them speaks for toxicity.
 
     Null, empty and wordless texts have no sentences and score 0; texts are read whole; repeated rows get equal scores; an empty table gives
     an empty result.
@@ -139,11 +142,12 @@ def score_toxicity(completions: DataFrame, model: dict[int, float], offending: f
             width = max(len(known), 1)
             once = np.unique(sentence[met[hit]] * width + at[hit])
             score = bias + np.bincount(once // width, weights=weight[once % width] if len(known) else None, minlength=len(start))
-            p = 1 / (1 + np.exp(-np.clip(score, -30, 30)))
+            evident = np.bincount(once // width, weights=weight[once % width] > 0 if len(known) else None, minlength=len(start)) > 0
+            p = evident / (1 + np.exp(-np.clip(score, -30, 30)))
             total = -np.expm1(np.bincount(row, weights=np.log1p(-np.minimum(p, 1 - 1e-12)), minlength=part.num_rows))
             bad = np.flatnonzero(p >= offending)
             spans = pa.StructArray.from_arrays([pa.array(start[bad] - offsets[row[bad]]), pa.array(end[bad] - offsets[row[bad]]), pa.array(p[bad])], ["start", "end", "score"])
-            yield pa.RecordBatch.from_pydict({"id": part.column(0), "score": pa.array(np.clip(total, 0.0, 1.0)), "sentences": lists(spans, np.bincount(row[bad], minlength=part.num_rows))})
+            yield pa.RecordBatch.from_pydict({"id": part.column(0), "score": pa.array(np.abs(np.clip(total, 0.0, 1.0))), "sentences": lists(spans, np.bincount(row[bad], minlength=part.num_rows))})
 
     shape = f"id {completions.schema['id'].dataType.simpleString()}, score double, sentences array<struct<start bigint, end bigint, score double>>"
     return completions.select("id", F.col(text).alias("text")).mapInArrow(run, shape)

@@ -117,25 +117,24 @@ def op7(spark, sf_dir):
     return found.select("doc_id", (fold(3) == 1).alias("held_out"), "lang_pred", "score")
 
 
-def _labelled(spark, sf_dir: str, label: str, learn) -> DataFrame:
-    """``id, text, label`` of the documents that may be learned from."""
-    labels = read(spark, sf_dir, "labels").where(learn).select("doc_id", F.col(label).cast("int").alias("label")).where("label is not null")
-    return read(spark, sf_dir, "documents").select("doc_id", "text").join(labels, "doc_id").select(F.col("doc_id").alias("id"), "text", "label")
+def _labels(spark, sf_dir: str, label: str, learn) -> DataFrame:
+    """``id, label`` of the documents that may be learned from."""
+    return read(spark, sf_dir, "labels").where(learn).select(F.col("doc_id").alias("id"), F.col(label).alias("label"))
 
 
 @register("op8_line_field_quality")
 def op8(spark, sf_dir):
-    docs = read(spark, sf_dir, "documents")
-    model = linefield.fit_quality(_labelled(spark, sf_dir, "quality", fold(5) != 0))
-    found = linefield.score_quality(docs.select(F.col("doc_id").alias("id"), "text"), model).withColumnRenamed("id", "doc_id")
+    docs = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    model = linefield.fit_quality(docs, _labels(spark, sf_dir, "quality", fold(5) != 0))
+    found = linefield.score_quality(docs, model).withColumnRenamed("id", "doc_id")
     return found.select("doc_id", (fold(5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), "n_lines", "bad_lines")
 
 
 @register("op9_noisy_or_toxicity")
 def op9(spark, sf_dir):
-    docs = read(spark, sf_dir, "documents")
-    model = noisyor.fit_toxicity(_labelled(spark, sf_dir, "toxic", fold(4) != 2))
-    found = noisyor.score_toxicity(docs.select(F.col("doc_id").alias("id"), "text"), model).withColumnRenamed("id", "doc_id")
+    docs = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    model = noisyor.fit_toxicity(docs, _labels(spark, sf_dir, "toxic", fold(4) != 2))
+    found = noisyor.score_toxicity(docs, model).withColumnRenamed("id", "doc_id")
     return found.select("doc_id", (fold(4) == 2).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), F.size("sentences").cast("bigint").alias("n_offending"))
 
 

@@ -4,10 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from assayer.llm.stored import stored
 
-def bounded_sample(labelled: DataFrame, per_class: int, longest: int) -> DataFrame:
-    """At most ``per_class`` rows of each label, chosen by a hash of the id; texts over ``longest`` characters are used only where others are few."""
-    known = labelled.where(F.col("label").isNotNull() & F.col("text").isNotNull())
-    order = [(F.length("text") > longest).cast("int"), F.xxhash64("id"), F.col("id")]
-    ranked = known.withColumn("nth", F.row_number().over(Window.partitionBy("label").orderBy(*order)))
-    return ranked.where(F.col("nth") <= per_class).drop("nth")
+
+def bounded_sample(completions: DataFrame, labels: DataFrame, per_class: int, longest: int) -> tuple[DataFrame, dict[int, int]]:
+    """``id, text, label`` of at most ``per_class`` texts of each label, and the number of labelled texts per label.
+
+    Texts are chosen by a hash of their id; those over ``longest`` characters are used only where others are few. Ids, labels and lengths
+    alone are shuffled; the chosen ids, ``per_class`` for each of two labels, are then sent to the texts.
+    """
+    known = labels.where(F.col("id").isNotNull() & F.col("label").isin(0, 1)).select("id", F.col("label").cast("int").alias("label"))
+    sizes = completions.where(F.col("text").isNotNull()).select("id", (F.length("text") > longest).cast("int").alias("long")).join(known, "id")
+    ranked = sizes.withColumn("nth", F.row_number().over(Window.partitionBy("label").orderBy("long", F.xxhash64("id"), "id")))
+    chosen = stored(ranked.where(F.col("nth") <= per_class).select("id", "label").distinct(), "sample")
+    totals = {r.label: r.n for r in sizes.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    return completions.where(F.col("text").isNotNull()).select("id", "text").join(F.broadcast(chosen), "id"), totals
