@@ -220,7 +220,3 @@ def answer_placement(text: Column) -> Column:
 def words(text: Column) -> Column:
     """Whitespace-separated words without empty parts."""
     return F.filter(F.split(text, r"\s+"), lambda w: w != "")
-
-
-def word_count(text: Column) -> Column:
-    return F.size(words(text))

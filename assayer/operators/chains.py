@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from assayer.functions import markers as M, match
-from assayer.functions.text import contains_any, count_matches, parts_present, strip, words
+from assayer.functions.text import contains_any, count_matches, parts_present, strip, with_value, words
 
 
 def _step(name: str, passed: Column, score: Column | None = None, detail: Column | None = None) -> Column:
@@ -49,7 +49,7 @@ def binary_steps() -> Column:
     n_pairs = F.greatest(F.size("pairs"), F.lit(0))
     present = F.greatest(_pairs_found(lambda p: F.contains(F.col("text"), p["lhs"])), F.lit(0))
     per_bit = sum((count_matches(text, "(?i)" + p) for p in M.PER_BIT), F.lit(0))
-    gates = sum((count_matches(text, rf"\b{g}\b") + count_matches(text, rf"\b{g.lower()}\b") for g in word["gates"]), F.lit(0))
+    gates = count_matches(text, r"\b(?:" + "|".join(part for g in word["gates"] for part in (g, g.lower())) + r")\b")
     gates = gates + sum((count_matches(text, "(?i)" + p) for p in M.INPUT_MENTIONS), F.lit(0))
     matches_truth = F.coalesce(box == F.col("true_answer"), F.lit(False))
     language = F.lit(False)
@@ -72,7 +72,7 @@ def cipher_steps() -> Column:
     """Uses ``stated, table_size, shared_accuracy`` of the cipher flags and ``vocabulary_share``."""
     text, low, box = _parts()
     example_words = F.array_distinct(F.flatten(F.transform("pairs", lambda p: words(F.lower(p["lhs"])))))
-    found = F.greatest(F.size(F.filter(example_words, lambda w: F.contains(F.lower(F.col("text")), w))), F.lit(0))
+    found = F.greatest(with_value(low, lambda t: F.size(F.filter(example_words, lambda w: F.contains(t, w)))), F.lit(0))
     aligned = count_matches(text, M.CHAR_ALIGN)
     return F.array(
         _any("identify_type", F.lower(F.substring(text, 1, 500)), M.STEP_WORDS["cipher"]["type"]),

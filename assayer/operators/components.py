@@ -1,4 +1,4 @@
-"""Linking by bucket leaders and connected components, without pairs of everything with everything."""
+"""Classes of linked members of buckets, and connected components."""
 
 from __future__ import annotations
 
@@ -9,28 +9,29 @@ from pyspark.sql import DataFrame, functions as F
 from assayer.session import cut_lineage
 
 
-def leader_links(entries: DataFrame, verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """Verified links ``id, leader`` from ``bucket, id`` entries.
+def bucket_classes(entries: DataFrame, verify: Callable[[DataFrame], DataFrame], block: int = 512) -> DataFrame:
+    """``id, component`` of every member that has a verified link to another member of one of its ``bucket``s.
 
-    In every bucket the lowest id leads and each other member is verified against it, so a bucket of n members offers
-    n - 1 pairs. Members that fail form the bucket's next round under a leader of their own, until no bucket has two
-    members left: nothing is dropped or capped. ``verify`` receives ``id, leader`` pairs and returns the good ones. Each
-    round's state is cut to reliable storage.
+    First each member meets the lowest member of its buckets, which settles a bucket of copies with one comparison a
+    member. Buckets whose members are then still in several classes are compared in blocks of ``block`` members, only
+    across classes: no link that could join two classes is left out, and no task holds more than two blocks.
+    ``verify`` receives ``id, leader`` pairs and returns the good ones.
     """
-    links = None
-    current = cut_lineage(entries)
-    while True:
-        leaders = current.groupBy("bucket").agg(F.min("id").alias("leader"), F.count("*").alias("members")).where(F.col("members") > 1)
-        offered = current.join(leaders.select("bucket", "leader"), "bucket").where(F.col("id") != F.col("leader"))
-        offered = cut_lineage(offered)
-        if offered.isEmpty():
-            break
-        good = cut_lineage(verify(offered.select("id", "leader").distinct()))
-        links = good if links is None else links.unionByName(good)
-        current = offered.join(good, ["id", "leader"], "left_anti").select("bucket", "id")
-    if links is None:
-        return entries.select("id", F.col("id").alias("leader")).limit(0)
-    return links.distinct()
+    entries = cut_lineage(entries.distinct())
+    leaders = entries.groupBy("bucket").agg(F.min("id").alias("leader"), F.count("*").alias("members")).where(F.col("members") > 1)
+    offered = entries.join(leaders, "bucket").where(F.col("id") != F.col("leader")).select("id", "leader").distinct()
+    links = cut_lineage(verify(cut_lineage(offered)))
+    labels = connected_components(links)
+    live = entries.join(leaders.select("bucket"), "bucket", "left_semi").join(labels, "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("label"))
+    mixed = live.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    parted = cut_lineage(live.join(mixed.where(F.col("low") != F.col("high")), "bucket")
+                         .select("bucket", "id", "label", "blocks", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("own")))
+    mine = parted.select("bucket", "id", "label", "own", F.explode(F.sequence(F.col("own"), F.col("blocks") - 1)).alias("facing"))
+    theirs = parted.select("bucket", F.col("id").alias("leader"), F.col("label").alias("its"), F.explode(F.sequence(F.lit(0), F.col("own"))).alias("own"), F.col("own").alias("facing"))
+    across = (mine.join(theirs, ["bucket", "own", "facing"]).where((F.col("label") != F.col("its")) & ((F.col("own") < F.col("facing")) | (F.col("id") > F.col("leader"))))
+              .select(F.greatest("id", "leader").alias("id"), F.least("id", "leader").alias("leader")).distinct())
+    more = cut_lineage(verify(cut_lineage(across)))
+    return labels if more.isEmpty() else connected_components(links.unionByName(more))
 
 
 def connected_components(links: DataFrame) -> DataFrame:

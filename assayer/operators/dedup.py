@@ -9,11 +9,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from assayer.functions.text import words
-from assayer.operators.components import connected_components, leader_links
+from assayer.operators.components import bucket_classes
 from assayer.session import cut_lineage
 
 # Documented parameters.
-HASHES, BANDS, JACCARD, COSINE = 260, 20, 0.8, 0.85
+JACCARD, COSINE, RECALL = 0.8, 0.85, 0.9999
 
 
 def exact_dedup(docs: DataFrame, method: str = "md5") -> DataFrame:
@@ -31,38 +31,15 @@ def distinct_texts(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def shingle_hashes(tokens: Column, n: int) -> Column:
-    """Distinct 64-bit hashes of the word n-grams; a shorter text is one shingle."""
+    """Distinct 64-bit hashes of the word n-grams in hash order; a shorter text is one shingle, a text without words has none."""
     positions = F.sequence(F.lit(1), F.greatest(F.size(tokens) - (n - 1), F.lit(1)))
-    return F.array_distinct(F.transform(positions, lambda i: F.xxhash64(F.slice(tokens, i, n))))
+    return F.when(F.size(tokens) > 0, F.array_sort(F.array_distinct(F.transform(positions, lambda i: F.xxhash64(F.slice(tokens, i, n))))))
 
 
-def band_hashes(seed: int = 1, hashes: int = HASHES, bands: int = BANDS):
-    """Arrow function from shingle hashes to one bucket hash per band (seeded min-hash)."""
-
-    @F.pandas_udf("array<bigint>")
-    def signatures(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        import hashlib
-
-        import numpy as np
-
-        random = np.random.default_rng(seed)
-        factors = random.integers(1, 2**63, size=hashes, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-        offsets = random.integers(0, 2**63, size=hashes, dtype=np.uint64)
-        rows = hashes // bands
-        for batch in batches:
-            out = []
-            for values in batch:
-                shingles = np.asarray(values, dtype=np.int64).view(np.uint64)
-                lowest = np.full(hashes, np.iinfo(np.uint64).max, dtype=np.uint64)
-                for start in range(0, len(shingles), 4096):
-                    part = shingles[start:start + 4096]
-                    mixed = (part ^ (part >> np.uint64(29)))[None, :] * factors[:, None] + offsets[:, None]
-                    lowest = np.minimum(lowest, mixed.min(axis=1))
-                out.append([int.from_bytes(hashlib.blake2b(bytes([b]) + lowest[b * rows:(b + 1) * rows].tobytes(), digest_size=8).digest(), "big", signed=True)
-                            for b in range(bands)])
-            yield pd.Series(out)
-
-    return signatures
+def prefix(sets: Column, threshold: float) -> Column:
+    """The smallest hashes of a set, as many as two sets at the threshold cannot avoid to share one of."""
+    size = F.size(sets)
+    return F.slice(sets, F.lit(1), size - F.ceil(F.lit(threshold) * size - 1e-9).cast("int") + 1)
 
 
 def jaccard_links(shingled: DataFrame, threshold: float):
@@ -75,18 +52,23 @@ def jaccard_links(shingled: DataFrame, threshold: float):
     return verify
 
 
-def fuzzy_dedup(docs: DataFrame, threshold: float = JACCARD, hashes: int = HASHES, bands: int = BANDS, shingle: int = 3, seed: int = 1) -> DataFrame:
-    """``doc_id, cluster``: near copies by min-hash bands, exact Jaccard checks and connected components.
+def fuzzy_dedup(docs: DataFrame, threshold: float = JACCARD, shingle: int = 3) -> DataFrame:
+    """``doc_id, cluster``: classes of texts whose shingle sets reach the Jaccard threshold, without loss.
 
-    Exact copies collapse first, so a text that fills a third of the corpus enters the bands once. Banding may miss a
-    pair near the threshold, as it does by design; a link is never accepted without the exact check.
+    Exact copies collapse first. Two sets at the threshold share one of their first hashes in any common order, so only
+    these prefixes are indexed; the hash order itself needs no counting of the corpus. Sizes further apart than the
+    threshold allows never meet, as buckets hold the sizes of one or two neighbouring steps of a geometric scale. Every
+    link is verified on the whole sets. Texts without words are copies of equal texts only.
     """
     texts, mapping = distinct_texts(docs)
     tokens = F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
     shingled = texts.select(F.col("doc_id").alias("id"), tokens.alias("tokens")).select("id", shingle_hashes(F.col("tokens"), shingle).alias("shingles"))
-    shingled = cut_lineage(shingled)
-    entries = shingled.select("id", F.explode(band_hashes(seed, hashes, bands)("shingles")).alias("bucket"))
-    clusters = connected_components(leader_links(entries, jaccard_links(shingled, threshold)))
+    shingled = cut_lineage(shingled.where(F.col("shingles").isNotNull()))
+    # Step k holds sizes in [t^-k, t^-(k+1)): sizes that differ by less than the threshold lie in the same or the next step.
+    step = F.floor(F.log(F.size("shingles").cast("double")) / F.log(F.lit(1 / threshold)) + 1e-9).cast("int")
+    entries = shingled.select("id", F.explode(F.array(step, step + 1)).alias("step"), prefix(F.col("shingles"), threshold).alias("first"))
+    entries = entries.select("id", F.explode(F.transform("first", lambda h: F.xxhash64(h, F.col("step")))).alias("bucket"))
+    clusters = bucket_classes(entries, jaccard_links(shingled, threshold))
     named = mapping.join(clusters.select(F.col("id").alias("keeper"), "component"), "keeper", "left")
     return named.select("doc_id", F.coalesce("component", "keeper").alias("cluster"))
 
@@ -115,25 +97,30 @@ def sign_buckets(seed: int, bands: int, bits: int):
     return buckets
 
 
-def semantic_dedup(vectors: DataFrame, threshold: float = COSINE, bands: int = 48, seed: int = 7) -> DataFrame:
+def bands_for(recall: float, threshold: float, bits: int) -> int:
+    """Bands of ``bits`` signs in which a pair at the threshold agrees at least once with probability ``recall``."""
+    agree = (1 - math.acos(threshold) / math.pi) ** bits
+    return math.ceil(math.log(1 - recall) / math.log(1 - agree))
+
+
+def semantic_dedup(vectors: DataFrame, threshold: float = COSINE, recall: float = RECALL, bits: int = 14, seed: int = 7) -> DataFrame:
     """``vec_id, cluster``: similar vectors by sign buckets, exact cosine checks and connected components.
 
-    The bits per bucket grow with the logarithm of the row count, so buckets keep a constant expected size of unrelated
-    vectors. Equal vectors collapse first. Buckets are a probabilistic block; links are always checked exactly.
+    ``recall`` is the probability that a pair at the threshold meets; the number of bands follows from it and from the
+    ``bits`` of a bucket, never from the row count, so results do not get less complete as the table grows. More bits
+    make smaller buckets and more bands. Equal vectors collapse first; links are always checked exactly.
     """
-    rows = vectors.count()
-    bits = max(8, math.ceil(math.log2(max(rows, 2)))) + 1
     digest = F.xxhash64("embedding")
     keepers = vectors.groupBy(digest.alias("digest"), "embedding").agg(F.min("vec_id").alias("keeper"))
     mapping = vectors.select("vec_id", digest.alias("digest"), "embedding").join(keepers, ["digest", "embedding"]).select("vec_id", "keeper")
     distinct = cut_lineage(keepers.select(F.col("keeper").alias("id"), "embedding"))
-    entries = distinct.select("id", F.explode(sign_buckets(seed, bands, bits)("embedding")).alias("bucket"))
+    entries = distinct.select("id", F.explode(sign_buckets(seed, bands_for(recall, threshold, bits), bits)("embedding")).alias("bucket"))
 
     def verify(pairs: DataFrame) -> DataFrame:
         mine, theirs = distinct.select("id", F.col("embedding").alias("u")), distinct.select(F.col("id").alias("leader"), F.col("embedding").alias("v"))
         joined = pairs.join(mine, "id").join(theirs, "leader")
         return joined.where(cosine(F.col("u"), F.col("v")) >= threshold).select("id", "leader")
 
-    clusters = connected_components(leader_links(entries, verify))
+    clusters = bucket_classes(entries, verify)
     named = mapping.join(clusters.select(F.col("id").alias("keeper"), "component"), "keeper", "left")
     return named.select("vec_id", F.coalesce("component", "keeper").alias("cluster"))

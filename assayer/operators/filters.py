@@ -52,14 +52,6 @@ def with_measures(docs: DataFrame, *keep: str) -> DataFrame:
     return docs.select(*keep, *[c.alias(n) for n, c in measures(F.col("text")).items()])
 
 
-def first_failure(limits: dict[str, float] = LIMITS) -> Column:
-    """Name of the first failing rule in cheap-first order, null for a pass. Needs the measure columns."""
-    chain = F.when((F.col("n_words") < limits["min_words"]) | (F.col("n_words") > limits["max_words"]), "word_count")
-    for name in ("repeated_lines", "symbol_ratio", "url_ratio", "non_alnum", "bullets", "whitespace", "parentheses", "longest_word"):
-        chain = chain.when(F.col(name) > limits[name], name)
-    return chain
-
-
 def detect_language(text: Column) -> Column:
     """Language with most stop words, the first by name on ties, ``und`` without any.
 

@@ -99,12 +99,6 @@ def preference_pairs(outputs: DataFrame, gold: DataFrame, fewest: int = 20, top_
     return wrong.unionByName(extra)
 
 
-def as_preference_messages(pairs: DataFrame) -> DataFrame:
-    message = lambda role, column: F.array(F.struct(F.lit(role).alias("role"), F.col(column).alias("content")))
-    return pairs.select(message("user", "prompt").alias("prompt"), message("assistant", "chosen").alias("chosen"),
-                        message("assistant", "rejected").alias("rejected"))
-
-
 def teacher_union(first: DataFrame, second: DataFrame) -> DataFrame:
     """Union of verified outputs by id, the first teacher preferred, with the overlap flagged."""
     tagged = first.select("row_id", "text", F.lit(0).alias("teacher")).unionByName(

@@ -16,12 +16,17 @@ def hash_key(seed: str, *columns: str) -> Column:
     return F.md5(F.concat_ws("-", F.lit(seed), *[F.col(c).cast("string") for c in columns]))
 
 
+def ordered_key(seed: str, key: str) -> Column:
+    """Hash order with the key itself behind it, so that every path breaks ties alike."""
+    return F.concat_ws("-", hash_key(seed, key), F.col(key).cast("string"))
+
+
 def sample_ranks(rows: DataFrame, group: list[str], seed: str, key: str, at_most: int) -> DataFrame:
     """Adds ``rank`` in hash order within groups, pruned before the shuffle for small quotas, salted for large ones."""
     if at_most <= PRUNED_RANKS:
-        order = Window.partitionBy(*group).orderBy(hash_key(seed, key), key)
+        order = Window.partitionBy(*group).orderBy(ordered_key(seed, key))
         return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= at_most)
-    return hash_rank(rows, hash_key(seed, key), group).where(F.col("rank") <= at_most)
+    return hash_rank(rows, ordered_key(seed, key), group).where(F.col("rank") <= at_most)
 
 
 def stratified_n(rows: DataFrame, n: int, seed: str, group: str = "type", key: str = "row_id", drop: str = "other") -> DataFrame:
@@ -40,8 +45,8 @@ def stratified_total(rows: DataFrame, total: int, groups: list[str], seed: str,
 def first_in_hash_order(rows: DataFrame, n: int, seed: str, key: str = "row_id") -> DataFrame:
     """Uniform ``n`` rows: per-task top-n for small n, salted ranks beyond."""
     if n <= PRUNED_RANKS:
-        return rows.orderBy(hash_key(seed, key), key).limit(n)
-    return hash_rank(rows, hash_key(seed, key)).where(F.col("rank") <= n).drop("rank")
+        return rows.orderBy(ordered_key(seed, key)).limit(n)
+    return hash_rank(rows, ordered_key(seed, key)).where(F.col("rank") <= n).drop("rank")
 
 
 reservoir = first_in_hash_order

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from assayer.functions import markers as M
-from assayer.functions.text import contains_any, words
+from assayer.functions.text import contains_any, with_value, words
 
 
 def learn_substitution(pairs: DataFrame) -> DataFrame:
@@ -49,13 +49,12 @@ def apply_substitution(targets: DataFrame, table: DataFrame) -> DataFrame:
 
 def stated_map(text: Column) -> Column:
     """Mappings stated in a text, the first per source letter; at most one entry per ASCII letter, built in the row."""
-    hits = F.regexp_extract_all(text, F.lit(M.STATED_MAPPING), F.lit(0))
     entry = lambda h: F.struct(F.lower(F.regexp_extract(h, M.STATED_MAPPING, 1)).alias("src"),
                                F.lower(F.regexp_extract(h, M.STATED_MAPPING, 2)).alias("dst"))
     alphabet = F.array(*[F.lit(c) for c in "abcdefghijklmnopqrstuvwxyz"])
-    entries = F.transform(hits, entry)
-    firsts = F.transform(alphabet, lambda c: F.get(F.filter(entries, lambda e: e["src"] == c), F.lit(0)))
-    return F.map_from_entries(F.filter(firsts, lambda e: e.isNotNull()))
+    firsts = lambda entries: F.transform(alphabet, lambda c: F.get(F.filter(entries, lambda e: e["src"] == c), F.lit(0)))
+    found = with_value(F.transform(F.regexp_extract_all(text, F.lit(M.STATED_MAPPING), F.lit(0)), entry), firsts)
+    return F.map_from_entries(F.filter(found, lambda e: e.isNotNull()))
 
 
 def table_grade(stated: Column, truth: Column) -> dict[str, Column]:

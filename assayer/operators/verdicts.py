@@ -95,15 +95,3 @@ def verdicts(rows: DataFrame, facts: DataFrame) -> DataFrame:
         "answer_matches_truth": F.when(F.col("type") == "binary", F.coalesce(strip(F.col("box")) == F.col("true_answer"), F.lit(False))),
         "template_markers": F.when(is_equation, parts_present(lowered, M.EQUATION_TEMPLATE)),
         "arithmetic_markers": F.when(is_equation, parts_present(lowered, M.EQUATION_ARITHMETIC))})
-
-
-def as_verdict_struct(judged: DataFrame) -> DataFrame:
-    """Verdict record per (row, run): common fields fixed, type-specific facts as text maps."""
-    text = lambda name: F.col(name).cast("string")
-    facts = {"binary": ["difficulty", "true_answer", "answer_matches_truth"], "equation": ["subtype", "template_markers", "arithmetic_markers"],
-             "cipher": ["table_size", "table_accuracy", "claim", "honesty", "vocab_fill", "word_accuracy"], "roman": ["direction", "true_answer"]}
-    chosen = None
-    for kind, names in facts.items():
-        entries = F.create_map(*[part for n in names for part in (F.lit(n), text(n))])
-        chosen = F.when(F.col("type") == kind, entries) if chosen is None else chosen.when(F.col("type") == kind, entries)
-    return judged.select("row_id", "type", "run", F.struct("correct", "failure_mode", chosen.alias("facts")).alias("verdict"))

@@ -11,11 +11,13 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_folder(spark: SparkSession) -> str:
     """Folder every executor can reach, as the cluster names it in ``spark.checkpoint.dir``.
 
-    Only where the setting is absent (local tests) is a fresh temporary folder made, and it is then
-    used for the whole session.
+    Only where the setting is absent on a local master (tests) is a fresh temporary folder made, and it is then used for the
+    whole session. On a cluster a folder of one machine would lose files, so the setting is required there.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="assayer-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder

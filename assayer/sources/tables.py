@@ -46,9 +46,15 @@ def write_chats(rows: DataFrame, clean: str, full: str) -> None:
 
 
 def read_dump(spark: SparkSession, path: str) -> DataFrame:
-    """Evaluation dump as rows: a document with ``rows`` (wrapped) or a bare list of row objects."""
+    """Evaluation dump as rows: documents with ``rows`` (wrapped) and bare lists of row objects, also mixed in one folder."""
     frame = spark.read.option("multiLine", True).json(path)
-    return frame.select(F.inline("rows")) if "rows" in frame.columns else frame
+    if "rows" not in frame.columns:
+        return frame
+    wrapped = frame.where(F.col("rows").isNotNull()).select(F.inline("rows"))
+    plain = [c for c in frame.columns if c not in ("rows", "meta")]
+    if not plain:
+        return wrapped
+    return wrapped.unionByName(frame.where(F.col("rows").isNull() & F.coalesce(*[F.col(c).cast("string") for c in plain]).isNotNull()).select(*plain), allowMissingColumns=True)
 
 
 def append_history(summary: DataFrame, path: str) -> None:

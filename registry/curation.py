@@ -95,14 +95,42 @@ def exact_dedup(spark, sf):
     return U.exact_dedup(docs(spark, sf))
 
 
-@register("fuzzy_dedup")
+def _classes_sql(nodes: str, key: str, links: str) -> str:
+    """Least member of the component of every node; ``links`` yields pairs (x, y)."""
+    return f"""sides as materialized (select x, y from ({links}) l union select y, x from ({links}) m),
+  reach as (select {key} as x, {key} as y from {nodes} union select r.x, s.y from reach r join sides s on s.x = r.y),
+  classes as (select x, min(y) as cluster from reach group by 1)"""
+
+
+def _near_sql(nodes: str) -> str:
+    """Components by Jaccard 0.8 of three-word shingles, from all pairs that share a shingle, and equal texts."""
+    return f"""listed as (select doc_id, text, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+') as tokens from {nodes}),
+  sets as materialized (select doc_id, hash(gram) as gram from (select distinct doc_id, unnest(case when len(tokens) >= 3 then list_transform(range(1, len(tokens) - 1), lambda i: array_to_string(tokens[i:i + 2], ' '))
+    when len(tokens) > 0 then [array_to_string(tokens, ' ')] else [] end) as gram from listed) g),
+  sized as (select doc_id, count(*) as n from sets group by 1),
+  met as materialized (select a.doc_id as x, b.doc_id as y, count(*) as shared from sets a join sets b on a.gram = b.gram and a.doc_id < b.doc_id group by 1, 2),
+  near as materialized (select x, y from met join sized p on p.doc_id = x join sized q on q.doc_id = y where shared / (p.n + q.n - shared)::double >= 0.8::double
+    union select a.doc_id, b.doc_id from listed a join listed b on md5(a.text) = md5(b.text) and a.doc_id < b.doc_id), {_classes_sql(nodes, 'doc_id', 'select x, y from near')}"""
+
+
+@register("fuzzy_dedup", f"with recursive {_near_sql('documents')} select x as doc_id, cluster from classes")
 def fuzzy_dedup(spark, sf):
     return U.fuzzy_dedup(docs(spark, sf))
 
 
-@register("semantic_dedup")
+# Every seventh vector gets a scaled and slightly turned copy, every fourteenth a second one, so that there are links to find.
+_PLANTED = """planted as materialized (select vec_id, list_transform(embedding, lambda x: x::double) as v from embeddings
+  union all select vec_id + 1000000000, list_transform(embedding, lambda x, i: (x * 1.5::double + case when i = 1 then 0.1::double else 0.0::double end)::float::double) from embeddings where vec_id % 7 = 0
+  union all select vec_id + 2000000000, list_transform(embedding, lambda x, i: (x * 0.5::double - case when i = 2 then 0.05::double else 0.0::double end)::float::double) from embeddings where vec_id % 14 = 0)"""
+
+
+@register("semantic_dedup", f"with recursive {_PLANTED}, close as materialized (select a.vec_id as x, b.vec_id as y from planted a join planted b on a.vec_id < b.vec_id where list_cosine_similarity(a.v, b.v) >= 0.85::double), "
+          f"{_classes_sql('planted', 'vec_id', 'select x, y from close')} select x as vec_id, cluster from classes")
 def semantic_dedup(spark, sf):
-    return U.semantic_dedup(D.read(spark, sf, "embeddings").select("vec_id", "embedding"))
+    vectors = D.read(spark, sf, "embeddings").select("vec_id", "embedding")
+    turned = lambda offset, factor, place, shift, every: vectors.where(F.col("vec_id") % every == 0).select(
+        (F.col("vec_id") + offset).alias("vec_id"), F.transform("embedding", lambda x, i: (x * F.lit(factor) + F.when(i == place, F.lit(shift)).otherwise(0.0)).cast("float")).alias("embedding"))
+    return U.semantic_dedup(vectors.unionByName(turned(1000000000, 1.5, 0, 0.1, 7)).unionByName(turned(2000000000, 0.5, 1, -0.05, 14)))
 
 
 def _redacted_sql() -> str:
@@ -119,23 +147,37 @@ def pii_redact(spark, sf):
     return frame.select("doc_id", *[F.col(n.lower()).cast("bigint").alias(n.lower()) for n in R.ENTITIES], F.md5("text").alias("digest"))
 
 
-@register("quality_classifier")
+def _scored_sql(label: str) -> str:
+    return f"""with listed as materialized (select doc_id, list_distinct(regexp_extract_all(lower(coalesce(text, '')), {P.q(C.TOKENS)})) as words from documents),
+  known as (select doc_id, {label} as y from labels where {label} is not null), totals as (select count(*) filter (where y = 1) as n1, count(*) filter (where y = 0) as n0 from documents join known using (doc_id)),
+  counted as (select word, count(*) filter (where y = 1) as c1, count(*) filter (where y = 0) as c0 from (select unnest(words) as word, y from listed join known using (doc_id)) w group by 1 having count(*) >= 5),
+  weighed as (select word, ln((c1 + 1) / (n1 + 2)::double) - ln((c0 + 1) / (n0 + 2)::double) as weight from counted, totals
+    where abs(c1 / n1::double - c0 / n0::double) >= 3.0::double * sqrt((c1 + c0) / (n1 + n0)::double * (1 - (c1 + c0) / (n1 + n0)::double) * (1 / n1::double + 1 / n0::double))),
+  sums as (select doc_id, sum(weight) as weight from (select doc_id, unnest(words) as word from listed) w join weighed using (word) group by 1),
+  scored as (select d.doc_id, 1 / (1 + exp(-(coalesce(weight, 0) + ln((n1 + 1) / (n0 + 1)::double)))) as score from documents d left join sums s using (doc_id), totals)"""
+
+
+@register("quality_classifier", f"{_scored_sql('quality')} select doc_id, round(score, 4) as score from scored where score > 0.5::double")
 def quality_classifier(spark, sf):
     return C.quality_classifier(docs(spark, sf), D.read(spark, sf, "labels")).select("doc_id", F.round("score", 4).alias("score"))
 
 
-@register("toxicity_filter")
+@register("toxicity_filter", f"{_scored_sql('toxic')} select doc_id, round(score, 4) as score from scored where score < 0.9::double")
 def toxicity_filter(spark, sf):
     return C.toxicity_filter(docs(spark, sf), D.read(spark, sf, "labels")).select("doc_id", F.round("score", 4).alias("score"))
 
 
 _LIM = Q.LIMITS
-_STAGED = f"""with {_MEASURED}, {_language_sql()}, ruled as (select doc_id, md5(text) as digest, case when n_words < {_LIM['min_words']} or n_words > {_LIM['max_words']} then 'word_count'
+def _staged_sql(languages: list[str], start: str = "with") -> str:
+    return f"""{start} {_MEASURED}, {_language_sql()}, ruled as (select doc_id, md5(text) as digest, case when n_words < {_LIM['min_words']} or n_words > {_LIM['max_words']} then 'word_count'
   when repeated_lines > {_LIM['repeated_lines']}::double then 'repeated_lines' when symbol_ratio > {_LIM['symbol_ratio']}::double then 'symbol_ratio' when url_ratio > {_LIM['url_ratio']}::double then 'url_ratio'
-  when language <> 'en' then 'language' end as stage from measured join languages using (doc_id)),
+  when language not in ({', '.join(P.q(x) for x in languages)}) then 'language' end as stage from measured join languages using (doc_id)),
   staged as (select doc_id, case when stage is not null then stage when doc_id = min(doc_id) over (partition by digest, stage is null) then 'kept' else 'exact_copy' end as stage from ruled)"""
 
 
+_STAGED = _staged_sql(["en"])
+
+
 @register("curation_stages", f"{_STAGED} select doc_id, stage from staged")
 def curation_stages(spark, sf):
     return Q.staged(docs(spark, sf), ["en"])
@@ -146,15 +188,23 @@ def curation_funnel(spark, sf):
     return Q.stage_counts(Q.staged(docs(spark, sf), ["en"]))
 
 
-@register("curated_documents")
+def _curated_sql() -> str:
+    text = "text"
+    for name, pattern in R.ENTITIES.items():
+        text = f"regexp_replace({text}, {P.q(pattern)}, '<{name}>', 'g')"
+    kept = "kept_documents as materialized (select d.* from documents d join staged s using (doc_id) where s.stage = 'kept')"
+    return f"{_staged_sql(['en', 'de', 'fr', 'es'], 'with recursive')}, {kept}, {_near_sql('kept_documents')} select k.doc_id, md5({text}) as digest from kept_documents k join classes c on c.x = k.doc_id where c.cluster = k.doc_id"
+
+
+@register("curated_documents", _curated_sql())
 def curated_documents(spark, sf):
     return Q.curated(docs(spark, sf), ["en", "de", "fr", "es"]).select("doc_id", F.md5("text").alias("digest"))
 
 
 _GRAMS = lambda table, key: f"""(select distinct {key}, md5(array_to_string(tokens[i:i + 7], ' ')) as gram from (
   select {key}, tokens, unnest(range(1, len(tokens) - 6)) as i from (select {key}, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+') as tokens from {table}) a) b)"""
-_OVERLAP = f"""owned as materialized (select gram, min(item_id) as item_id from {_GRAMS('benchmark', 'item_id')} g group by gram), sizes as (select item_id, count(*) as owned from owned group by 1),
-  found_overlaps as materialized (select doc_id, o.item_id, count(*) as hits, count(*) / any_value(owned) as share from {_GRAMS('documents', 'doc_id')} d join owned o using (gram) join sizes s on s.item_id = o.item_id group by 1, 2)"""
+_OVERLAP = f"""owned as materialized (select gram, item_id from {_GRAMS('benchmark', 'item_id')} g), sizes as (select item_id, count(*) as owned from owned group by 1),
+  found_overlaps as materialized (select doc_id, o.item_id, count(*)::bigint as hits, count(*) / any_value(owned) as share from {_GRAMS('documents', 'doc_id')} d join owned o using (gram) join sizes s on s.item_id = o.item_id group by 1, 2)"""
 
 
 @register("benchmark_overlap", f"with {_OVERLAP} select doc_id, item_id, hits, round(share, 9) as share from found_overlaps")
@@ -212,8 +262,14 @@ def map_filter_flat_map(spark, sf):
 def batch_inference(spark, sf):
     def build():
         import numpy as np
-        weights = ((np.arange(1, 4097) * 37) % 11 - 5) / 10.0
-        return lambda batch: pd.Series([float(np.asarray(v, dtype=np.float64) @ weights[: len(v)]) for v in batch])
+
+        def scores(batch: pd.Series) -> pd.Series:
+            flat, sizes = np.concatenate([np.zeros(0), *batch]).astype(np.float64), batch.map(len).to_numpy(dtype=np.int64)
+            own = np.repeat(np.arange(len(sizes)), sizes)
+            place = np.arange(1, len(flat) + 1) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            return pd.Series(np.bincount(own, weights=flat * (((place * 37) % 11 - 5) / 10.0), minlength=len(sizes)))
+
+        return scores
 
     predict = C.batch_inference(build)
     return D.read(spark, sf, "embeddings").select("vec_id", "label", F.round(predict(F.col("embedding")), 6).alias("score"))

@@ -4,6 +4,8 @@ import math
 import random
 import statistics
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from assayer.operators import components, dedup, evaluation, quantiles, redaction, selection, series
@@ -38,18 +40,13 @@ def test_components_of_a_chain(spark):
     assert got == {**{i: 0 for i in range(41)}, 100: 100, 101: 100}
 
 
-def test_leader_links_keep_every_member(spark):
-    """One hot bucket of three unlike groups: each member meets its own group's leader, without all pairs."""
-    entries = spark.range(300).select(F.lit(1).alias("bucket"), "id")
-    offered = []
-
-    def verify(pairs):
-        offered.append(pairs.count())
-        return pairs.where(F.col("id") % 3 == F.col("leader") % 3)
-
-    links = components.leader_links(entries, verify)
-    assert {r.id: r.leader for r in links.collect()} == {i: i % 3 for i in range(3, 300)}
-    assert sum(offered) < 1000
+def test_bucket_classes_keep_every_link(spark):
+    """One hot bucket of three unlike groups, chains that avoid the leader, and unlike members: no link is lost."""
+    entries = spark.range(300).select(F.lit(1).alias("bucket"), "id").unionByName(spark.range(400, 440).select(F.lit(2).alias("bucket"), "id"))
+    near = (F.col("id") < 300) & (F.col("id") % 3 == F.col("leader") % 3) | (F.col("id") >= 400) & (F.abs(F.col("id") - F.col("leader")) == 1) & (F.col("id") < 410)
+    for block in (512, 7):
+        got = {r.id: r.component for r in components.bucket_classes(entries, lambda pairs: pairs.where(near), block).collect()}
+        assert got == {**{i: i % 3 for i in range(300)}, **{i: 400 for i in range(400, 410)}}
 
 
 def jaccard_clusters(texts, threshold):
@@ -78,10 +75,60 @@ def jaccard_clusters(texts, threshold):
 def test_fuzzy_dedup_against_all_pairs(spark):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text")
     truth = jaccard_clusters({r.doc_id: r.text for r in docs.collect()}, 0.8)
-    got = {r.doc_id: r.cluster for r in dedup.fuzzy_dedup(docs, hashes=400, bands=100).collect()}
+    got = {r.doc_id: r.cluster for r in dedup.fuzzy_dedup(docs).collect()}
     assert got == truth
 
 
+def test_fuzzy_dedup_chain_unlike_members_and_wordless_texts(spark):
+    rng = random.Random(3)
+    word = lambda: "w" + str(rng.randint(0, 10**6))
+    base = [word() for _ in range(100)]
+    chain, texts = list(base), [" ".join(base)]
+    for k in range(3):
+        chain[20 * k + 5], chain[20 * k + 15] = f"a{k}", f"b{k}"
+        texts.append(" ".join(chain))
+    shared = [word() for _ in range(40)]
+    texts += [" ".join(shared + [word() for _ in range(40)]) for _ in range(200)]
+    rows = list(enumerate(texts)) + [(900, "!!!"), (901, "??? ---"), (902, "!!!"), (903, ""), (904, "")]
+    got = {r.doc_id: r.cluster for r in dedup.fuzzy_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    truth = jaccard_clusters({k: t for k, t in rows if k < 900}, 0.8)
+    assert {k: v for k, v in got.items() if k < 900} == truth and len({truth[k] for k in range(4)}) == 1
+    assert [got[k] for k in range(900, 905)] == [900, 901, 900, 903, 903]
+
+
+def test_recall_does_not_depend_on_bits():
+    for bits in (8, 14, 24):
+        bands = dedup.bands_for(0.999, 0.85, bits)
+        assert 0.999 <= 1 - (1 - (1 - math.acos(0.85) / math.pi) ** bits) ** bands < 0.9999
+
+
+def test_nested_benchmark_item_is_found(spark):
+    from assayer.operators import contamination
+    outer = " ".join(f"w{i}" for i in range(60))
+    bench = spark.createDataFrame([(1, outer), (2, " ".join(outer.split()[10:30]))], "item_id long, text string")
+    docs = spark.createDataFrame([(5, "x y z " + " ".join(outer.split()[10:30])), (6, "clean text of other words only and nothing else here")], "doc_id long, text string")
+    shares = {(r.doc_id, r.item_id): r.share for r in contamination.overlap(docs, bench).collect()}
+    assert shares == {(5, 1): 13 / 53, (5, 2): 1.0} and [r.doc_id for r in contamination.decontaminate(docs, bench).collect()] == [6]
+
+
+def test_mixed_dump_folder(spark, tmp_path):
+    import json
+
+    from assayer.sources import tables
+    (tmp_path / "a.json").write_text(json.dumps({"meta": {"seed": 1}, "rows": [{"type": "unit", "expected": "1"}]}))
+    (tmp_path / "b.json").write_text(json.dumps([{"type": "roman", "expected": "X"}, {"type": "roman", "expected": "V"}]))
+    assert sorted((r.type, r.expected) for r in tables.read_dump(spark, str(tmp_path)).collect()) == [("roman", "V"), ("roman", "X"), ("unit", "1")]
+
+
+def test_scratch_needs_a_shared_folder_on_clusters():
+    from types import SimpleNamespace
+
+    from assayer.session import shared_folder
+    cluster = SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=SimpleNamespace(master="spark://host:7077"))
+    with pytest.raises(ValueError):
+        shared_folder(cluster)
+
+
 def test_fuzzy_dedup_is_idempotent(spark):
     base = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon"
     rows = [(1, base), (2, base), (3, base + " phi"), (4, "something else entirely with other words in it")]
