@@ -1,34 +1,28 @@
-"""Exact medians and ranks that never gather an unbounded group in one task."""
+"""Exact medians and ranks that order only a small part of a large group together."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-SLICES = 1024
+WIDTH = 0.002
 
 
 def exact_median(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
     """Exact median per key.
 
-    Values are counted per (key, value), then per key and slice of the key's value range. The slices holding the middle
-    ranks are found on the small slice table, and only their values are ordered. Groups of one or two distinct slices
-    and groups of a billion values take the same path.
+    Approximate quantiles on either side of the middle, a combinable sketch, bound the values that can hold the middle
+    ranks. Values below the bounds are only counted, values above dropped, and the rest, about ``2 * WIDTH`` of a large
+    group however its values are spread, is counted per distinct value and put in order.
     """
-    counted = rows.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("n"))
-    span = counted.groupBy(*keys).agg(F.min(value).alias("low"), F.max(value).alias("high"), F.sum("n").alias("total"))
-    width = F.nullif(F.col("high") - F.col("low"), F.lit(0.0))
-    position = F.floor((F.col(value) - F.col("low")) / width * SLICES)
-    sliced = counted.join(span, keys).withColumn("slice", F.coalesce(F.least(position, F.lit(SLICES - 1)), F.lit(0)).cast("int"))
+    known = rows.where(F.col(value).isNotNull()).select(*keys, value)
+    bounds = known.groupBy(*keys).agg(F.count("*").alias("total"), F.percentile_approx(value, [0.5 - WIDTH, 0.5 + WIDTH], int(4 / WIDTH)).alias("bounds"))
+    low, high = F.get("bounds", F.lit(0)), F.get("bounds", F.lit(1))
+    inside = known.join(bounds, keys).where(F.col(value) <= high)
+    counted = inside.groupBy(*keys, F.when(F.col(value) >= low, F.col(value)).alias(value)).agg(F.count("*").alias("n"), F.first("total").alias("total"))
+    order = Window.partitionBy(*keys).orderBy(F.asc_nulls_first(value))
+    ranked = counted.withColumn("upto", F.sum("n").over(order)).withColumn("from", F.col("upto") - F.col("n"))
     # Middle ranks: both equal when the count is odd.
     left, right = F.floor((F.col("total") + 1) / 2), F.floor(F.col("total") / 2) + 1
-    per_slice = sliced.groupBy(*keys, "slice").agg(F.sum("n").alias("in_slice"), F.first("total").alias("total"))
-    running = Window.partitionBy(*keys).orderBy("slice")
-    cumulated = per_slice.withColumn("before", F.sum("in_slice").over(running) - F.col("in_slice"))
-    holds = lambda rank: (F.col("before") < rank) & (rank <= F.col("before") + F.col("in_slice"))
-    wanted = cumulated.where(holds(left) | holds(right)).select(*keys, "slice", "before")
-    kept = sliced.join(wanted, [*keys, "slice"])
-    inner = Window.partitionBy(*keys, "slice").orderBy(value)
-    ranked = kept.withColumn("upto", F.col("before") + F.sum("n").over(inner)).withColumn("from", F.col("upto") - F.col("n"))
     has = lambda rank: (F.col("from") < rank) & (rank <= F.col("upto"))
     middle = ranked.groupBy(*keys).agg(F.max(F.when(has(left), F.col(value))).alias("left_value"),
                                        F.max(F.when(has(right), F.col(value))).alias("right_value"))

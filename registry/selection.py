@@ -36,11 +36,13 @@ def prompts(spark, sf):
         F.when(status == "F", "A").when(status == "O", "N").otherwise("R").alias("expected"), F.col("o_orderpriority").alias("type"))
 
 
-def candidates(spark, sf):
-    """Lines of an order numbered in a total order, ranked per salted part so that a huge order is no single task."""
-    read = D.read(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag", "l_quantity", "l_linestatus", F.expr(_LINE_KEY).alias("line_key"))
-    lines = rank_in_order(read, F.col("l_linenumber"), F.col("line_key"), ["l_orderkey"]).select(
-        F.col("l_orderkey").alias("prompt_id"), (F.col("rank") - 1).alias("k"), F.col("l_returnflag").alias("answer"),
+def candidates(spark, sf, ranked: bool = True):
+    """Lines of an order, numbered in a total order where the query needs ``k``, per salted part so that a huge order is no single task."""
+    read = D.read(spark, sf, "lineitem")
+    if ranked:
+        read = rank_in_order(read.select("l_orderkey", "l_linenumber", "l_returnflag", "l_quantity", "l_linestatus", F.expr(_LINE_KEY).alias("line_key")), F.col("l_linenumber"), F.col("line_key"), ["l_orderkey"])
+    lines = read.select(
+        F.col("l_orderkey").alias("prompt_id"), *([(F.col("rank") - 1).alias("k")] if ranked else []), F.col("l_returnflag").alias("answer"),
         F.concat(F.repeat("l_returnflag", F.col("l_quantity").cast("int")), "l_linestatus").alias("text"))
     return lines.join(prompts(spark, sf).drop("fallback"), "prompt_id").withColumn("ok", F.col("answer") == F.col("expected"))
 
@@ -66,14 +68,14 @@ def first_correct_with_limit(spark, sf):
 @register("difficulty_band", f"""with {_CAND} select prompt_id, count(*) filter (where ok) as correct, count(*) as k, case when not bool_or(ok) then 'hard' when bool_and(ok) then 'easy' else 'between' end as band,
   round(avg(ok::int), 9) as correct_rate from judged group by 1""")
 def difficulty_band(spark, sf):
-    return S.difficulty_band(candidates(spark, sf)).withColumn("correct_rate", F.round("correct_rate", 9))
+    return S.difficulty_band(candidates(spark, sf, ranked=False)).withColumn("correct_rate", F.round("correct_rate", 9))
 
 
 @register("acceptance_stats", f"""with {_CAND}, g as (select prompt_id, type, count(*) filter (where ok) as c, count(*) as k from judged group by 1, 2)
   select case when grouping(type) = 1 then 'ALL' else type end as type, count(*) as processed, count(*) filter (where c > 0) as accepted, round(avg(c), 9) as mean_correct,
   count(*) filter (where c = 0) as fallbacks, round(sum(c) / sum(k), 9) as candidate_rate from g group by rollup(type)""")
 def acceptance_stats(spark, sf):
-    return S.acceptance_stats(candidates(spark, sf)).withColumns({c: F.round(c, 9) for c in ("mean_correct", "candidate_rate")})
+    return S.acceptance_stats(candidates(spark, sf, ranked=False)).withColumns({c: F.round(c, 9) for c in ("mean_correct", "candidate_rate")})
 
 
 _VOTE = """votes as (select prompt_id, answer, count(*) as votes, min(k) as first from judged group by 1, 2),
@@ -97,7 +99,7 @@ def vote_oracle_greedy(spark, sf):
   select count(*) as prompts, round(avg((c > 0)::int), 9) as pass_any, round(avg(c / n), 9) as win_rate, count(*) filter (where c = 0) as without,
   round(avg(case when n < 2 then (c > 0)::int when n - c < 2 then 1.0::double else 1 - (n - c) * (n - c - 1) / (n * (n - 1))::double end), 9) as pass_at_k from g""")
 def pass_at_k(spark, sf):
-    return S.pass_at_k(candidates(spark, sf), 2).withColumns({c: F.round(c, 9) for c in ("pass_any", "win_rate", "pass_at_k")})
+    return S.pass_at_k(candidates(spark, sf, ranked=False), 2).withColumns({c: F.round(c, 9) for c in ("pass_any", "win_rate", "pass_at_k")})
 
 
 @register("preference_pairs", f"""with {P.EVAL}, a as (select row_id, prompt, expected, text, {P.last_box('text')} as got from ev where run = 'a'),
@@ -212,5 +214,5 @@ def length_batches(spark, sf):
 @register("curriculum_order", f"""with {_CAND}, b as (select prompt_id, avg(ok::int) as correct_rate from judged group by 1)
   select prompt_id, ntile(7) over (order by -correct_rate, md5(cast(prompt_id as varchar))) as stage from b""")
 def curriculum_order(spark, sf):
-    bands = S.difficulty_band(candidates(spark, sf)).select("prompt_id", "correct_rate")
+    bands = S.difficulty_band(candidates(spark, sf, ranked=False)).select("prompt_id", "correct_rate")
     return S.curriculum_order(bands, 7).select("prompt_id", F.col("stage").cast("bigint").alias("stage"))

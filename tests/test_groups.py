@@ -15,6 +15,7 @@ from tests.conftest import SMALL
 def test_exact_median(spark):
     rng = random.Random(1)
     rows = [(k, rng.choice([1.0, 2.5, rng.random() * 100])) for k in range(5) for _ in range(k * 37 + 1)] + [(9, 4.0)] * 6
+    rows += [(10, rng.random()) for _ in range(20001)] + [(10, 1e12)] + [(11, -1e9), (11, 3.0)] + [(12, float(i % 3)) for i in range(9999)]
     got = {r.k: r.v for r in quantiles.exact_median(spark.createDataFrame(rows, "k int, v double"), ["k"], "v").collect()}
     assert got == {k: statistics.median(v for q, v in rows if q == k) for k in {q for q, _ in rows}}
 
