@@ -10,9 +10,9 @@ from pyspark.sql import DataFrame, functions as F
 
 from assayer.llm.arrays import byte_values, flat, prefix_hashes, ranges, slices, sliding_minimum, span_hashes
 from assayer.llm.membership import bits_for, build_filter, maybe
-from assayer.session import scratch_path
+from assayer.llm.stored import stored
 
-SPAN, GRAM, CROWD, SHALLOW, CHUNK = 100, 32, 4096, 16, 20_000
+SPAN, GRAM, CROWD, SHALLOW, CHUNK = 100, 32, 32_768, 16, 20_000
 _LOW = (1 << 24) - 1
 _BLOCK = 1 << 22
 
@@ -104,7 +104,7 @@ def multikey_quicksort(words: np.ndarray, at: np.ndarray, groups: np.ndarray, de
     first = np.flatnonzero(np.concatenate([[True], groups[order][1:] != groups[order][:-1]]))
     rank = np.empty(len(at), dtype=np.int64)
     rank[order] = np.repeat(first, np.diff(np.append(first, len(at))))
-    level, active = np.zeros(len(at), dtype=np.int64), order
+    level, active = np.zeros(len(at), dtype=np.int64), order if depth else order[:0]
     while len(active):
         active = active[np.argsort(rank[active], kind="stable")]
         own = rank[active]
@@ -163,6 +163,7 @@ def repeated_starts(data: np.ndarray, offsets: np.ndarray, n: np.ndarray, lead:
 
     ``rank`` orders the segments; ``lead`` is the distance from a segment's first start to its anchor, which first splits the groups.
     """
+    shallow = min(shallow, span // 8 * 8)
     segment = np.repeat(np.arange(len(n)), n)
     step = ranges(np.zeros(len(n), dtype=np.int64), n.astype(np.int64))
     at = offsets[segment] + step
@@ -265,9 +266,7 @@ def _starts(span: int):
 def repeated_runs(texts: DataFrame, span: int = SPAN, gram: int = GRAM, crowd: int = CROWD) -> DataFrame:
     """Runs ``id, at, n``: the ``span`` bytes from each of the ``n`` starts from ``at`` on also start earlier."""
     spark, kind = texts.sparkSession, texts.schema["id"].dataType.simpleString()
-    stored = scratch_path(spark, "anchors")
-    _anchor_counts(texts, span, gram).where(F.col("n") > 1).write.parquet(stored)
-    anchors = spark.read.parquet(stored)
+    anchors = stored(_anchor_counts(texts, span, gram).where(F.col("n") > 1), "anchors")
     bits = bits_for(anchors.count())
     cells = spark.sparkContext.broadcast((build_filter(anchors, bits), bits))
     crowded = anchors.where(F.col("n") > crowd)
@@ -276,9 +275,7 @@ def repeated_runs(texts: DataFrame, span: int = SPAN, gram: int = GRAM, crowd: i
     few = _repeated_segments(texts, span, gram, cells, crowds, False)
     runs = few.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_sort_segments(span), f"id {kind}, at bigint, n bigint")
     # Anchors of very many segments: equal segments meet as counts, the rest is split by string, so no task gathers an anchor.
-    found = scratch_path(spark, "segments")
-    _repeated_segments(texts, span, gram, cells, crowds, True).write.parquet(found)
-    many = spark.read.parquet(found)
+    many = stored(_repeated_segments(texts, span, gram, cells, crowds, True), "segments")
     alike = ["anchor", "print", "n", "lead"]
     classes = many.groupBy(*alike).agg(F.min(F.struct("id", "at")).alias("first"))
     tagged = many.join(classes, alike).withColumn("copy", ~F.struct("id", "at").eqNullSafe(F.col("first")))
@@ -286,7 +283,7 @@ def repeated_runs(texts: DataFrame, span: int = SPAN, gram: int = GRAM, crowd: i
     strings = tagged.where("not copy").select("id", "at", "n", "bytes").mapInArrow(_starts(span), f"id {kind}, at bigint, one bigint, two bigint")
     owners = strings.groupBy("one", "two").agg(F.min(F.struct("id", "at")).alias("first"), F.count("*").alias("members")).where(F.col("members") > 1)
     again = strings.join(owners, ["one", "two"]).where(~F.struct("id", "at").eqNullSafe(F.col("first"))).select("id", "at", F.lit(1).cast("bigint").alias("n"))
-    return copies.unionByName(runs).unionByName(again)
+    return stored(copies.unionByName(runs).unionByName(again), "runs")
 
 
 def _cut(kind: str, span: int):
