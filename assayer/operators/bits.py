@@ -11,6 +11,8 @@ import json
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from assayer.session import cut_lineage
+
 CHUNK = 62
 
 # Gate orders. ``GATES`` are symmetric and tried for j1 < j2 after constants, identities and negations;
@@ -191,7 +193,8 @@ def longest_runs(valid: DataFrame) -> DataFrame:
 
 def sequence_rules(pairs: DataFrame) -> DataFrame:
     """Chosen rule per (row, bit): the longest shifted run first, remaining bits by scan order."""
-    valid = bit_rules(pairs, ordered_rules())
+    # Both uses below read the stored rules; without it the scan of all rules would be planned for each.
+    valid = cut_lineage(bit_rules(pairs, ordered_rules()))
     runs = longest_runs(valid)
     fallback = first_rules(valid).select("row_id", "bit", "kind", "op", "a", "b", "c")
     covered = runs.select("row_id", F.explode(F.expr("sequence(start, start + length - 1)")).alias("bit"), "op", "da", "db").select(

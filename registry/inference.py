@@ -192,19 +192,15 @@ def bit_rule_first(spark, sf):
     return bits.first_rules(bits.bit_rules(pairs)).select("row_id", "bit", "rule", "kind")
 
 
-# Bytes of events against a rule chosen by user: thousands of pairs per user, so several mask chunks each.
+# Bytes of events against a rule chosen by user: up to 256 different pairs per user, so several mask chunks each.
 _EVENT_PAIRS = """select user_id as row_id, pos, lpad(bin(x), 8, '0') as lhs, lpad(bin(case user_id % 4 when 0 then 255 - x when 1 then (x * 8) % 256 + {div} when 2 then x + 178 - 2 * (x & 178)
   else x & ((x * 2) % 256 + {div7}) end), 8, '0') as rhs from (select user_id, event_id % 256 as x, row_number() over (partition by user_id order by event_id) - 1 as pos from {events}) e"""
 
 
 def event_pairs(spark, sf):
-    """Pair number within a user: the rank of an event id inside its user, computed per salted part."""
-    from assayer.operators.quantiles import rank_in_order
-
-    events = D.read(spark, sf, "events").select("user_id", "event_id")
-    ranked = rank_in_order(events, F.floor(F.col("event_id") / 4096), F.lpad(F.hex("event_id"), 16, "0"), ["user_id"])
-    return spark.sql(_EVENT_PAIRS.format(div="x div 32", div7="x div 128", events="{events}").replace(
-        "row_number() over (partition by user_id order by event_id) - 1 as pos", "rank - 1 as pos"), events=ranked)
+    """Different pairs of a user, numbered by value: a rule that holds for one of equal pairs holds for all, and a byte has 256 values."""
+    events = D.read(spark, sf, "events").select("user_id", (F.col("event_id") % 256).alias("event_id")).distinct()
+    return spark.sql(_EVENT_PAIRS.format(div="x div 32", div7="x div 128", events="{events}"), events=events)
 
 
 _EVENT_SQL = _EVENT_PAIRS.format(div="(x // 32)", div7="(x // 128)", events="events")
