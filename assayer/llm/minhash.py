@@ -12,7 +12,7 @@ from assayer.llm.arrays import LOWER, byte_values, flat, mix, prefix_hashes, ran
 from assayer.operators.components import connected_components
 from assayer.session import cut_lineage, scratch_path
 
-SHINGLE, THRESHOLD, ROWS, BANDS, ROUNDS, BLOCK = 5, 0.8, 7, 44, 3, 512
+SHINGLE, THRESHOLD, ROWS, BANDS, ROUNDS, BLOCK = 5, 0.8, 7, 44, 1, 512
 _MARGIN = 5.0
 U = np.uint64
 
@@ -116,7 +116,7 @@ def _prints(texts: DataFrame, size: int, rows: int, bands: int) -> DataFrame:
     return texts.mapInArrow(run, f"id {texts.schema['id'].dataType.simpleString()}, known boolean, print bigint, n_words bigint, bands array<bigint>, registers binary")
 
 
-def _likely(kind: str, registers: int, threshold: float):
+def _likely(registers: int, threshold: float):
     """Arrow function: pairs whose registers do not rule the threshold out (five standard errors below it)."""
     least = threshold - _MARGIN * (threshold * (1 - threshold) / registers) ** 0.5
 
@@ -129,7 +129,63 @@ def _likely(kind: str, registers: int, threshold: float):
     return run
 
 
-def _verified(kind: str, size: int, threshold: float):
+def _faced(registers: int, threshold: float):
+    """Arrow function over two blocks of a bucket: the members that have to be verified, each with its likely partners of other labels.
+
+    A pair belongs to the first band it shares, so the buckets of a pair do not repeat it. Lines are counted by members, not by pairs.
+    """
+    least = threshold - _MARGIN * (threshold * (1 - threshold) / registers) ** 0.5
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        a, b = (np.frombuffer(b"".join(t.column("registers").to_pylist()), dtype=np.uint8).reshape(-1, registers) for t in (left, right))
+        bands_a, bands_b = (t.column("bands").combine_chunks().flatten().to_numpy().reshape(t.num_rows, -1) for t in (left, right))
+        mine, theirs = (np.array(t.column("label").to_pylist(), dtype=object) for t in (left, right))
+        ids = right.column("id").to_pylist()
+        bucket = left.column("bucket")[0].as_py() if left.num_rows else None
+        partners, needed = [], np.zeros(right.num_rows, dtype=bool)
+        for i in range(len(a) if len(b) else 0):
+            near = np.flatnonzero(((a[i] == b).mean(axis=1) >= least) & (mine[i] != theirs))
+            if len(near):
+                first = (bands_a[i] == bands_b[near]).argmax(axis=1)
+                near = near[bands_a[i][first] == bucket]
+            needed[near] = True
+            partners.append([ids[j] for j in near])
+        asked = np.array([i for i, p in enumerate(partners) if p], dtype=np.int64)
+        out = pa.concat_tables([left.take(pa.array(asked)), right.filter(pa.array(needed))]).select(["bucket", "own", "facing", "id", "label"])
+        lists_ = [partners[i] for i in asked.tolist()] + [[]] * int(needed.sum())
+        return out.append_column("partners", pa.array(lists_, pa.list_(right.schema.field("id").type)))
+    return run
+
+
+def _checked(size: int, threshold: float):
+    """Arrow function over the listed members of two blocks: links between different labels, exactly verified; one is enough for two labels."""
+    def run(part: pa.Table) -> pa.Table:
+        # A member may be listed once from each side; its text is the same.
+        own, hashes, counts, _, _ = weighted_shingles(*flat(part.column("text")), size)
+        edges = np.searchsorted(own, np.arange(part.num_rows + 1))
+        ids, labels = part.column("id").to_pylist(), part.column("label").to_pylist()
+        place = {x: i for i, x in enumerate(ids)}
+        over: dict = {}
+
+        def top(x):
+            while over.get(x, x) != x:
+                x = over[x]
+            return x
+
+        one, two = [], []
+        for i, partners in enumerate(part.column("partners").to_pylist()):
+            for other in partners:
+                j = place[other]
+                p, q = top(labels[i]), top(labels[j])
+                if p != q and probability_jaccard(*(v[edges[k]:edges[k + 1]] for k in (i, j) for v in (hashes, counts))) >= threshold:
+                    over[p] = q
+                    one.append(i)
+                    two.append(j)
+        return pa.table({"a": part.column("id").take(pa.array(one, pa.int64())), "b": part.column("id").take(pa.array(two, pa.int64()))})
+    return run
+
+
+def _verified(size: int, threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             good = []
@@ -156,8 +212,8 @@ def near_classes(completions: DataFrame, threshold: float = THRESHOLD, shingle:
 
     Equal word sequences collapse first. The others get ``rows * bands`` registers by Poisson arrivals with early termination; two texts meet
     when all ``rows`` registers of a band agree (a pair at 0.8 is missed with probability 3e-5 by the defaults), and every link is verified on
-    the texts. In each bucket members are compared with one leader at a time for ``rounds`` rounds; buckets whose members are then still in
-    several classes are compared in blocks of ``block`` members, only across classes. So no link that could join two classes is left out, and
+    the texts. In each bucket members are compared with one leader at a time for ``rounds`` rounds, first with the text that meets the most
+    others; buckets whose members are then still in several classes are compared in blocks of ``block`` members inside a task, only across classes. So no link that could join two classes is left out, and
     a group of thousands of copies costs a few comparisons per member.
 
     Null texts stay alone; texts without words are copies only of equal texts; texts of fewer than ``shingle`` words are one shingle; of equal
@@ -173,36 +229,46 @@ def near_classes(completions: DataFrame, threshold: float = THRESHOLD, shingle:
     members = prints.where("known").select("id", *alike).join(firsts, alike).select("id", "rep").unionByName(prints.where("not known").select("id", F.col("id").alias("rep")))
     heads = firsts.where("n_words > 0").select(F.col("rep").alias("id"))
     entries = prints.select("id", "bands").join(heads, "id", "left_semi").select("id", F.explode("bands").alias("bucket"))
-    shared = entries.groupBy("bucket").agg(F.count("*").alias("members")).where("members > 1").select("bucket")
+    shared = entries.groupBy("bucket").agg(F.count("*").alias("members")).where("members > 1")
     met = scratch_path(spark, "buckets")
     entries.join(shared, "bucket").write.parquet(met)
     entries = spark.read.parquet(met)
+    # The text that meets the most others leads: in a group of copies of one original that is the original, which links them all at once.
+    fame = entries.groupBy("id").agg(F.sum("members").alias("fame"))
+    entries = cut_lineage(entries.select("bucket", "id").join(fame, "id"))
 
     def linked(pairs: DataFrame) -> DataFrame:
         """Those of the pairs ``a, b`` that are near copies, first by registers, then exactly by their texts."""
         side = lambda frame, name, value: frame.select(F.col("id").alias(name), F.col(value).alias(f"{name}_{value}"))
         signed = pairs.join(side(prints, "a", "registers"), "a").join(side(prints, "b", "registers"), "b").select("a", "b", "a_registers", "b_registers")
-        likely = cut_lineage(signed.mapInArrow(_likely(kind, rows * bands, threshold), f"a {kind}, b {kind}"))
+        likely = cut_lineage(signed.mapInArrow(_likely(rows * bands, threshold), f"a {kind}, b {kind}"))
         full = likely.join(side(texts, "a", "text"), "a").join(side(texts, "b", "text"), "b").select("a", "b", "a_text", "b_text")
-        return cut_lineage(full.mapInArrow(_verified(kind, shingle, threshold), f"a {kind}, b {kind}"))
+        return cut_lineage(full.mapInArrow(_verified(shingle, threshold), f"a {kind}, b {kind}"))
 
     labels = None
-    live = entries.select("bucket", "id", F.col("id").alias("label"))
+    live = entries.select("bucket", "id", "fame", F.col("id").alias("label"))
     for turn in range(rounds + 1):
-        leaders = live.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("label", F.lit(turn)), "label", "id") if turn else F.struct("id", "label")).alias("lead"),
-                                             F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("n")).where(F.col("low") != F.col("high"))
+        chosen = F.struct(F.xxhash64("label", F.lit(turn)) if turn else F.lit(0), "fame", "label", "id")
+        leaders = live.groupBy("bucket").agg(F.max(chosen).alias("lead"), F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("n")).where(F.col("low") != F.col("high"))
         if turn < rounds:
             pairs = live.join(leaders.select("bucket", "lead"), "bucket").where(F.col("label") != F.col("lead.label")).select("id", F.col("lead.id").alias("other"))
+            pairs = pairs.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
         else:
             blocks = F.ceil(F.col("n") / block).cast("int")
             parted = live.join(leaders.select("bucket", blocks.alias("blocks")), "bucket").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-            mine = parted.select("bucket", "own", F.explode(F.sequence("own", F.col("blocks") - 1)).alias("facing"), "id", "label")
-            theirs = parted.select("bucket", F.col("own").alias("facing"), F.explode(F.sequence(F.lit(0), F.col("own"))).alias("own"), F.col("id").alias("other"), F.col("label").alias("its"))
-            pairs = mine.join(theirs, ["bucket", "own", "facing"]).where((F.col("label") != F.col("its")) & ((F.col("own") < F.col("facing")) | (F.col("id") < F.col("other")))).select("id", "other")
-        pairs = cut_lineage(pairs.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct())
+            parted = cut_lineage(parted.select("bucket", "id", "label", "own", "blocks").join(prints.select("id", "registers", "bands"), "id"))
+            mine = parted.select("bucket", "own", F.explode(F.sequence("own", F.col("blocks") - 1)).alias("facing"), "id", "label", "registers", "bands")
+            theirs = parted.toDF(*[f"{c}_" for c in parted.columns]).select(F.col("bucket_").alias("bucket"), F.explode(F.sequence(F.lit(0), F.col("own_"))).alias("own"), F.col("own_").alias("facing"),
+                                                                            *[F.col(f"{c}_").alias(c) for c in ("id", "label", "registers", "bands")])
+            keys = ["bucket", "own", "facing"]
+            shape = f"bucket bigint, own int, facing int, id {kind}, label {kind}, partners array<{kind}>"
+            listed = cut_lineage(mine.groupBy(*keys).cogroup(theirs.groupBy(*keys)).applyInArrow(_faced(rows * bands, threshold), shape))
+            full = listed.join(texts, "id").select(*keys, "id", "label", "partners", "text")
+            pairs = full.groupBy(*keys).applyInArrow(_checked(shingle, threshold), f"a {kind}, b {kind}")
+        pairs = cut_lineage(pairs)
         if pairs.isEmpty():
             break
-        links = linked(pairs)
+        links = linked(pairs) if turn < rounds else pairs
         known = labels if labels is not None else links.limit(0).select(F.col("a").alias("id"), F.col("a").alias("label"))
         of = lambda name: known.select(F.col("id").alias(name), F.col("label").alias(f"{name}_label"))  # noqa: E731,B023
         joined = links.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("a_label", "a").alias("id"), F.coalesce("b_label", "b").alias("leader"))
@@ -210,7 +276,7 @@ def near_classes(completions: DataFrame, threshold: float = THRESHOLD, shingle:
         moved = known.join(merged.withColumnRenamed("id", "label"), "label", "left").select("id", F.coalesce("component", "label").alias("label"))
         fresh = merged.join(known.select("id"), "id", "left_anti").select("id", F.col("component").alias("label"))
         labels = cut_lineage(moved.unionByName(fresh))
-        live = cut_lineage(live.select("bucket", "id").join(labels, "id", "left").select("bucket", "id", F.coalesce("label", "id").alias("label")))
+        live = cut_lineage(live.select("bucket", "id", "fame").join(labels, "id", "left").select("bucket", "id", "fame", F.coalesce("label", "id").alias("label")))
     if labels is None:
         return members.select("id", F.col("rep").alias("keeper"))
     return members.join(labels.select(F.col("id").alias("rep"), "label"), "rep", "left").select("id", F.coalesce("label", "rep").alias("keeper"))
