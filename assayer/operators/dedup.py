@@ -36,10 +36,29 @@ def shingle_hashes(tokens: Column, n: int) -> Column:
     return F.when(F.size(tokens) > 0, F.array_sort(F.array_distinct(F.transform(positions, lambda i: F.xxhash64(F.slice(tokens, i, n))))))
 
 
-def prefix(sets: Column, threshold: float) -> Column:
-    """The smallest hashes of a set, as many as two sets at the threshold cannot avoid to share one of."""
-    size = F.size(sets)
-    return F.slice(sets, F.lit(1), size - F.ceil(F.lit(threshold) * size - 1e-9).cast("int") + 1)
+def rare_prefix(common: list[int], threshold: float):
+    """Arrow function from a set in hash order to its rarest members, as many as two sets at the threshold cannot avoid to share one of.
+
+    ``common`` lists the most frequent shingles, the commonest first; they come last in the order, whatever else is shared.
+    """
+
+    @F.pandas_udf("array<bigint>")
+    def prefixes(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        import numpy as np
+
+        order = np.argsort(np.asarray(common, dtype=np.int64), kind="stable")
+        values = np.asarray(common, dtype=np.int64)[order]
+        for batch in batches:
+            out = []
+            for members in batch:
+                members = np.asarray(members, dtype=np.int64)
+                at = np.minimum(np.searchsorted(values, members), max(len(values) - 1, 0))
+                rank = np.where(values[at] == members, len(order) - order[at], 0) if len(values) else np.zeros(len(members), dtype=np.int64)
+                kept = len(members) - math.ceil(threshold * len(members) - 1e-9) + 1
+                out.append(members[np.argsort(rank, kind="stable")[:kept]])
+            yield pd.Series(out)
+
+    return prefixes
 
 
 def jaccard_links(shingled: DataFrame, threshold: float):
@@ -52,12 +71,12 @@ def jaccard_links(shingled: DataFrame, threshold: float):
     return verify
 
 
-def fuzzy_dedup(docs: DataFrame, threshold: float = JACCARD, shingle: int = 3) -> DataFrame:
+def fuzzy_dedup(docs: DataFrame, threshold: float = JACCARD, shingle: int = 3, common: int = 65536) -> DataFrame:
     """``doc_id, cluster``: classes of texts whose shingle sets reach the Jaccard threshold, without loss.
 
-    Exact copies collapse first. Two sets at the threshold share one of their first hashes in any common order, so only
-    these prefixes are indexed; the hash order itself needs no counting of the corpus. Sizes further apart than the
-    threshold allows never meet, as buckets hold the sizes of one or two neighbouring steps of a geometric scale. Every
+    Exact copies collapse first. Two sets at the threshold share one of their first shingles in any common order, so only
+    these prefixes are indexed. The order is rare before common: the ``common`` most frequent shingles, a list of bounded
+    size, come last, the others go by hash. Sizes further apart than the threshold allows never meet, as buckets hold the sizes of one or two neighbouring steps of a geometric scale. Every
     link is verified on the whole sets. Texts without words are copies of equal texts only.
     """
     texts, mapping = distinct_texts(docs)
@@ -66,7 +85,10 @@ def fuzzy_dedup(docs: DataFrame, threshold: float = JACCARD, shingle: int = 3) -
     shingled = cut_lineage(shingled.where(F.col("shingles").isNotNull()))
     # Step k holds sizes in [t^-k, t^-(k+1)): sizes that differ by less than the threshold lie in the same or the next step.
     step = F.floor(F.log(F.size("shingles").cast("double")) / F.log(F.lit(1 / threshold)) + 1e-9).cast("int")
-    entries = shingled.select("id", F.explode(F.array(step, step + 1)).alias("step"), prefix(F.col("shingles"), threshold).alias("first"))
+    frequent = shingled.select(F.explode("shingles").alias("shingle")).groupBy("shingle").agg(F.count("*").alias("n")).where(F.col("n") > 1)
+    listed = [r.shingle for r in frequent.orderBy(F.desc("n"), "shingle").limit(common).collect()]
+    firsts = shingled.select("id", step.alias("step"), rare_prefix(listed, threshold)("shingles").alias("first"))
+    entries = firsts.select("id", F.explode(F.array("step", F.col("step") + 1)).alias("step"), "first")
     entries = entries.select("id", F.explode(F.transform("first", lambda h: F.xxhash64(h, F.col("step")))).alias("bucket"))
     clusters = bucket_classes(entries, jaccard_links(shingled, threshold))
     named = mapping.join(clusters.select(F.col("id").alias("keeper"), "component"), "keeper", "left")
