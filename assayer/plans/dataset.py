@@ -14,6 +14,10 @@ from assayer.operators.facts import numeral_target
 from assayer.operators.pairs import numeric_pairs, numeric_targets, pairs_from_prompts, quadratic_fit, ratio_fit, targets_from_prompts
 
 
+# The puzzle types that rule jobs can solve.
+KINDS = ("binary", "cipher", "equation", "gravity", "roman", "unit")
+
+
 def solved_by_type(puzzles: DataFrame, kind: str) -> DataFrame:
     """``row_id, type, expected, computed`` of the rows a rule job could solve."""
     keep = lambda frame, computed: frame.select("row_id", F.lit(kind).alias("type"), "expected", computed.alias("computed")).where(F.col("computed").isNotNull())
@@ -43,7 +47,14 @@ def solved_rows(puzzles: DataFrame, kinds: Sequence[str]) -> DataFrame:
 
 
 def verified_chats(puzzles: DataFrame, solved: DataFrame, source: str, suffix: str) -> DataFrame:
-    """Tagged chat examples of the rows whose computed answer matched."""
-    kept = puzzles.join(solved.where(F.col("verdict") == "matched").select("row_id", "computed"), "row_id")
+    """Tagged chat examples of the rows whose computed answer matched or whose type is accepted by rule; ``verdict`` says which."""
+    kept = puzzles.join(solved.where(F.col("verdict") != "mismatch").select("row_id", "computed", "verdict"), "row_id")
+    answer = F.concat(F.lit("\\boxed{"), F.col("expected"), F.lit("}"))
+    return kept.select("row_id", "verdict", *make_chat(ensure_suffix(F.col("prompt"), suffix), answer, source=F.lit(source), puzzle_type=F.col("type")))
+
+
+def full_and_verified(puzzles: DataFrame, source: str, suffix: str, kinds: Sequence[str] = KINDS) -> tuple[DataFrame, DataFrame]:
+    """Chats of every labelled puzzle, and of those that a rule job of any type verified or accepts."""
     answer = F.concat(F.lit("\\boxed{"), F.col("expected"), F.lit("}"))
-    return kept.select("row_id", *make_chat(ensure_suffix(F.col("prompt"), suffix), answer, source=F.lit(source), puzzle_type=F.col("type")))
+    full = puzzles.where(F.col("expected").isNotNull()).select("row_id", *make_chat(ensure_suffix(F.col("prompt"), suffix), answer, source=F.lit(source), puzzle_type=F.col("type")))
+    return full, verified_chats(puzzles, solved_rows(puzzles, kinds), source, suffix)

@@ -6,6 +6,7 @@ import random
 from pyspark.sql import functions as F
 
 from assayer.operators import bits, combos, substitution
+from tests.conftest import SMALL
 
 OPS = {"AND": lambda a, b: a & b, "OR": lambda a, b: a | b, "XOR": lambda a, b: a ^ b, "NAND": lambda a, b: 1 - (a & b), "NOR": lambda a, b: 1 - (a | b),
        "XNOR": lambda a, b: 1 - (a ^ b), "AND_N": lambda a, b: a & (1 - b), "OR_N": lambda a, b: a | (1 - b), "XOR_N": lambda a, b: a ^ (1 - b)}
@@ -75,3 +76,13 @@ def test_substitution_votes_and_ties(spark):
     assert {(x.row_id, x.src, x.dst, x.votes) for x in table.collect()} == {(1, "a", "x", 3), (1, "b", "z", 2), (2, "a", "q", 1)}
     targets = spark.createDataFrame([(1, "ba Ca!")], "row_id int, target string")
     assert substitution.apply_substitution(targets, table).collect()[0].decoded == "zx ?x!"
+
+
+def test_full_and_verified_sets_of_all_types(spark):
+    from assayer.plans import dataset, derive
+    puzzles = derive.puzzles(spark, SMALL).cache()
+    full, verified = dataset.full_and_verified(puzzles, "solver", "\nPut the answer in a box.")
+    kinds = {(r.puzzle_type, r.verdict) for r in verified.select("_meta.puzzle_type", "verdict").distinct().collect()}
+    assert full.count() == puzzles.count()
+    # Few bytes at this size: their first rules may all miss the hidden one.
+    assert {t for t, _ in kinds} | {"binary"} == set(dataset.KINDS) and all((v == "accepted_by_rule") == (t in ("cipher", "equation")) for t, v in kinds)
