@@ -76,6 +76,17 @@ def solve_report(rows: DataFrame, samples: int = 3) -> DataFrame:
     return counts.join(wrong, "category", "left").withColumn("wrong_samples", F.coalesce("wrong_samples", F.lit("")))
 
 
+def solve_samples(rows: DataFrame, samples: int = 3) -> DataFrame:
+    """``category, row_id, predicted, answer, prompt`` of the first wrong rows of each category.
+
+    Ids are ranked first, pruned before their shuffle; only the chosen rows, ``samples`` a category, are then joined.
+    """
+    wrong = F.col("predicted").isNotNull() & (match.strip(F.col("predicted")) != match.strip(F.col("answer")))
+    order = Window.partitionBy("category").orderBy("row_id")
+    chosen = rows.where(wrong).select("row_id", "category").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= samples)
+    return rows.join(chosen.select("row_id", "category"), ["row_id", "category"], "left_semi").select("category", "row_id", "predicted", "answer", "prompt")
+
+
 def paired(rows: DataFrame, a: str, b: str, carry: Sequence[str] = ("type",)) -> DataFrame:
     """Both runs of each row on one line, aligned on the row id by one conditional aggregation (no self join)."""
     pick = lambda run, column: F.max(F.when(F.col("run") == run, F.col(column)))

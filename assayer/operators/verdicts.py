@@ -22,14 +22,13 @@ def _mode(correct: Column, *cases: tuple[Column, str], otherwise: str) -> Column
 
 def numeric_mode(kind: str) -> tuple[Column, Column]:
     correct = match.match_unit_tol(F.col("expected"), F.col("box"))
-    drift = parts_present(F.lower("text"), M.DRIFT[kind]) >= 2
-    return correct, _mode(correct, (drift, "cipher_template_drift"), otherwise="wrong_answer" if kind == "gravity" else "wrong_slope")
+    return correct, _mode(correct, (F.col("drift") >= 2, "cipher_template_drift"), otherwise="wrong_answer" if kind == "gravity" else "wrong_slope")
 
 
 def roman_mode() -> tuple[Column, Column]:
     expected, box = _expected_box()
     correct = F.upper(box) == F.upper(expected)
-    return correct, _mode(correct, (parts_present(F.lower("text"), M.DRIFT["roman"]) >= 2, "cipher_template_drift"), otherwise="wrong_answer")
+    return correct, _mode(correct, (F.col("drift") >= 2, "cipher_template_drift"), otherwise="wrong_answer")
 
 
 def binary_mode() -> tuple[Column, Column]:
@@ -45,11 +44,10 @@ def binary_mode() -> tuple[Column, Column]:
 def equation_mode() -> tuple[Column, Column]:
     expected, box = _expected_box()
     correct = box == expected
-    lowered = F.lower("text")
     return correct, _mode(
         correct, (F.coalesce(F.col("target") != "", F.lit(False)) & (box == F.col("target")), "copied_input"),
-        (parts_present(lowered, M.EQUATION_TEMPLATE) >= 3, "cipher_template_misfire"),
-        (parts_present(lowered, M.EQUATION_ARITHMETIC) < 2, "no_arithmetic_attempted"), otherwise="arithmetic_wrong")
+        (F.col("template_markers") >= 3, "cipher_template_misfire"),
+        (F.col("arithmetic_markers") < 2, "no_arithmetic_attempted"), otherwise="arithmetic_wrong")
 
 
 def cipher_mode() -> tuple[Column, Column]:
@@ -64,13 +62,28 @@ def cipher_mode() -> tuple[Column, Column]:
         (~emitted, "free_form_wrong_mapping"), otherwise="other_wrong")
 
 
-def with_cipher_flags(rows: DataFrame) -> DataFrame:
-    """Stated table, its grade, the claim and its honesty; null outside the cipher type."""
+def with_text_flags(rows: DataFrame) -> DataFrame:
+    """What a text says by itself: stated table, claim and vocabulary fill of ciphers, marker counts of the other types.
+
+    They are found before the facts are joined, so a text that no later step asks for never reaches a shuffle.
+    """
+    kind, lowered = F.col("type"), F.lower("text")
+    only = lambda name, c: F.when(kind == name, c)
+    drift = None
+    for name in ("gravity", "unit", "roman"):
+        found = parts_present(lowered, M.DRIFT[name])
+        drift = F.when(kind == name, found) if drift is None else drift.when(kind == name, found)
+    return rows.withColumns({"stated": only("cipher", substitution.stated_map(F.col("text"))), "claim": only("cipher", substitution.claim(F.col("text"))),
+                             "vocab_fill": only("cipher", F.col("text").rlike("(?i)" + M.VOCABULARY_FILL)), "drift": drift,
+                             "template_markers": only("equation", parts_present(lowered, M.EQUATION_TEMPLATE)),
+                             "arithmetic_markers": only("equation", parts_present(lowered, M.EQUATION_ARITHMETIC))})
+
+
+def with_cipher_flags(stated: DataFrame) -> DataFrame:
+    """Grade of the stated table and honesty of the claim; null outside the cipher type. Needs the text flags and the facts."""
     only = lambda c: F.when(F.col("type") == "cipher", c)
-    stated = rows.withColumn("stated", only(substitution.stated_map(F.col("text"))))
     grade = substitution.table_grade(F.col("stated"), F.col("true_table"))
-    graded = stated.withColumns({**{name: only(c) for name, c in grade.items()}, "claim": only(substitution.claim(F.col("text"))),
-                                 "vocab_fill": only(F.col("text").rlike("(?i)" + M.VOCABULARY_FILL)),
+    graded = stated.withColumns({**{name: only(c) for name, c in grade.items()},
                                  "word_accuracy": only(match.per_word_accuracy(F.col("expected"), F.col("box"))),
                                  "first_pair": only(F.get("pairs", F.lit(0)))})
     return graded.withColumn("honesty", only(substitution.honesty(F.col("claim"), F.col("stated"), F.col("first_pair.lhs"),
@@ -79,7 +92,7 @@ def with_cipher_flags(rows: DataFrame) -> DataFrame:
 
 def verdicts(rows: DataFrame, facts: DataFrame) -> DataFrame:
     """The long table with ``correct, failure_mode`` and all type-specific flags; one join on the row id."""
-    joined = with_cipher_flags(rows.join(facts, "row_id", "left"))
+    joined = with_cipher_flags(with_text_flags(rows).join(facts, "row_id", "left"))
     correct, mode = F.lit(None).cast("boolean"), None
     by_type = {"binary": binary_mode(), "cipher": cipher_mode(), "equation": equation_mode(), "gravity": numeric_mode("gravity"),
                "roman": roman_mode(), "unit": numeric_mode("unit")}
@@ -88,10 +101,6 @@ def verdicts(rows: DataFrame, facts: DataFrame) -> DataFrame:
         here = F.col("type") == kind
         correct = F.when(here, ok) if correct is None else correct.when(here, ok)
         mode = F.when(here, failure) if mode is None else mode.when(here, failure)
-    lowered = F.lower("text")
-    is_equation = F.col("type") == "equation"
     return joined.withColumns({
         "correct": F.coalesce(correct.otherwise(False), F.lit(False)), "failure_mode": mode.otherwise("unknown_type"),
-        "answer_matches_truth": F.when(F.col("type") == "binary", F.coalesce(strip(F.col("box")) == F.col("true_answer"), F.lit(False))),
-        "template_markers": F.when(is_equation, parts_present(lowered, M.EQUATION_TEMPLATE)),
-        "arithmetic_markers": F.when(is_equation, parts_present(lowered, M.EQUATION_ARITHMETIC))})
+        "answer_matches_truth": F.when(F.col("type") == "binary", F.coalesce(strip(F.col("box")) == F.col("true_answer"), F.lit(False)))}).drop("drift")

@@ -99,6 +99,14 @@ def solve_report(spark, sf):
     return E.solve_report(rows.select("row_id", F.col("type").alias("category"), F.nullif("box", F.lit("")).alias("predicted"), F.col("expected").alias("answer")))
 
 
+@register("solve_samples", f"""with {P.EVAL} select type as category, row_id, box as predicted, expected as answer, md5(prompt) as prompt from ev
+  where run = 'a' and box <> '' and {P.strip('box')} <> {P.strip('expected')} qualify row_number() over (partition by type order by row_id) <= 3""")
+def solve_samples(spark, sf):
+    rows = long_eval(spark, sf).where(F.col("run") == "a")
+    found = E.solve_samples(rows.select("row_id", F.col("type").alias("category"), F.nullif("box", F.lit("")).alias("predicted"), F.col("expected").alias("answer"), "prompt"))
+    return found.withColumn("prompt", F.md5("prompt"))
+
+
 # --- Confidence and style ---------------------------------------------------------------------------------------------
 _LOW = "lower(text)"
 _CONF = (f"greatest(0.0::double, least(1.0::double, case when contains(text, {P.BOX}) then 0.7::double else 0.3::double end "
