@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from assayer.llm.arrays import as_text, ranges, slices
 
-ROWS, CHARS, LANE = 40, 60_000, 400
+ROWS, CHARS, LANE = 40, 30_000, 400
 _UNSEEN = 254
 _built: dict = {}
 
@@ -63,7 +63,7 @@ def _characters(texts) -> tuple[np.ndarray, np.ndarray]:
     start, end = (lowered.buffers()[1][8 * (lowered.offset + i):8 * (lowered.offset + i) + 8].to_pybytes() for i in (0, len(lowered)))
     raw = lowered.buffers()[2]
     joined = raw[int.from_bytes(start, "little"):int.from_bytes(end, "little")].to_pybytes() if raw is not None else b""
-    points = np.frombuffer(joined.decode("utf-8", "replace").encode("utf-32-le"), dtype=np.uint32).astype(np.int64)
+    points = np.frombuffer(joined.decode("utf-8", "replace").encode("utf-32-le"), dtype=np.int32)
     points = np.where(_is_letter()[points], points, 0)
     rows = np.repeat(np.arange(len(counts)), counts)
     kept = np.ones(len(points), dtype=bool)
@@ -75,12 +75,14 @@ def _characters(texts) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _model(samples: dict[str, str]):
-    """Symbol table and one automaton per language, built once per worker."""
+    """Symbol table and one automaton per language, built once per worker, which holds the latest model only."""
     key = hash(tuple(sorted(samples.items())))
     if key not in _built:
+        for old in [k for k in _built if k != "letters"]:
+            del _built[old]
         points = {lang: _characters(pa.array([text]))[0] for lang, text in samples.items()}
         seen = np.unique(np.concatenate([*points.values(), [0]]))[:_UNSEEN]
-        symbol = np.full(0x110000, len(seen), dtype=np.int64)
+        symbol = np.full(0x110000, len(seen), dtype=np.int32)
         symbol[seen] = np.arange(len(seen))
         _built[key] = (symbol, len(seen) + 1, {lang: (suffix_automaton(symbol[p].tolist(), len(seen) + 1), len(p)) for lang, p in points.items()})
     return _built[key]
@@ -155,7 +157,7 @@ def identify_language(puzzles: DataFrame, samples: dict[str, str], text: str = "
         names = list(held.value)
         symbol, width, automata = _model(held.value) if names else (None, 0, {})
         weight = np.array([np.log2(max(automata[n][1], 2)) for n in names])
-        for part in slices(batches, "text", 4 << 20):
+        for part in slices(batches, "text"):
             points, counts = _characters(part.column(1))
             letters = np.bincount(np.repeat(np.arange(len(counts)), counts)[points > 0], minlength=len(counts))
             if names:
