@@ -17,6 +17,7 @@ from assayer.operators.redaction import ENTITIES
 LEAF = 32
 _EDIT = "array<struct<start bigint, length bigint, replacement string>>"
 _TREE = "leaves int, bytes array<bigint>, tokens array<bigint>"
+_COUNTS = f"text string, n_bytes bigint, n_before bigint, n_tokens bigint, n_edits bigint, n_encoded bigint, {_TREE}"
 
 
 def build_tree(values: np.ndarray) -> np.ndarray:
@@ -79,10 +80,13 @@ def token_trees(completions: DataFrame, tokenizer: str, leaf: int = LEAF, text:
     kind = completions.schema["id"].dataType.simpleString()
     given = "edits" in completions.columns
     chosen = completions.select("id", F.col(text).alias("text"), F.col("edits").cast(_EDIT) if given else F.lit(None).cast(_EDIT).alias("edits"))
+    return chosen.mapInArrow(lambda batches: _planted(leaf)(batches, WordEncoder(tokenizer)), f"id {kind}, text string, edits {_EDIT}, n_tokens bigint, {_TREE}")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = WordEncoder(tokenizer)
-        for part in slices(batches, "text", 2 << 20):
+
+def _planted(leaf: int):
+    """Step from ``id, text, edits`` to trees."""
+    def run(batches: Iterator[pa.RecordBatch], encoder: WordEncoder) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, "text"):
             data, offsets = flat(part.column(1))
             starts, ends, rows = pre_tokens(data, offsets)
             counts = encoder.counts(data, starts, ends)
@@ -96,8 +100,7 @@ def token_trees(completions: DataFrame, tokenizer: str, leaf: int = LEAF, text:
                 leaves.append(len(size))
             yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array([int(t[1]) for t in tokens], pa.int64()), pa.array(leaves, pa.int32()), pa.array(sizes, pa.list_(pa.int64())), pa.array(tokens, pa.list_(pa.int64()))],
                                              names=["id", "text", "edits", "n_tokens", "leaves", "bytes", "tokens"])
-
-    return chosen.mapInArrow(run, f"id {kind}, text string, edits {_EDIT}, n_tokens bigint, {_TREE}")
+    return run
 
 
 def edit_tree(text: bytes, leaves: int, sizes: np.ndarray, tokens: np.ndarray, edits: list[tuple[int, int, bytes]], encoder: WordEncoder) -> tuple[bytes, int]:
@@ -141,9 +144,13 @@ def apply_edits(trees: DataFrame, tokenizer: str) -> DataFrame:
     Null edits are no edits; null replacements delete.
     """
     kind = trees.schema["id"].dataType.simpleString()
+    chosen = trees.select("id", "text", F.col("edits").cast(_EDIT), "n_tokens", "leaves", "bytes", "tokens")
+    return chosen.mapInArrow(lambda batches: _edited()(batches, WordEncoder(tokenizer)), f"id {kind}, {_COUNTS}")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = None
+
+def _edited():
+    """Step from trees to edited trees."""
+    def run(batches: Iterator[pa.RecordBatch], encoder: WordEncoder) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, texts, edits, before_, leaves, sizes, tokens = (batch.column(i) for i in range(7))
             asked = np.flatnonzero(pc.fill_null(pc.list_value_length(edits), 0).to_numpy(zero_copy_only=False) > 0)
@@ -151,7 +158,6 @@ def apply_edits(trees: DataFrame, tokenizer: str) -> DataFrame:
             after, n_edits, n_encoded = before_.to_numpy(zero_copy_only=False).copy(), np.zeros(len(ids), dtype=np.int64), np.zeros(len(ids), dtype=np.int64)
             new: dict[int, tuple] = {}
             for row in asked.tolist():
-                encoder = encoder or WordEncoder(tokenizer)
                 text, kept, end = (texts[row].as_py() or "").encode(), [], 0
                 for e in sorted(edits[row].as_py(), key=lambda e: (e["start"], e["length"], e["replacement"] or "")):
                     if max(e["start"], 0) >= end and 0 <= e["start"] <= len(text):
@@ -165,14 +171,17 @@ def apply_edits(trees: DataFrame, tokenizer: str) -> DataFrame:
             put = lambda column, k: pa.array([new[i][k] if i in new else v for i, v in enumerate(column.to_pylist())], column.type) if new else column
             yield pa.RecordBatch.from_arrays([ids, put(texts, 0), pa.array(n_bytes), before_, pa.array(after), pa.array(n_edits), pa.array(n_encoded), leaves, put(sizes, 1), put(tokens, 2)],
                                              names=["id", "text", "n_bytes", "n_before", "n_tokens", "n_edits", "n_encoded", "leaves", "bytes", "tokens"])
-
-    return trees.mapInArrow(run, f"id {kind}, text string, n_bytes bigint, n_before bigint, n_tokens bigint, n_edits bigint, n_encoded bigint, {_TREE}")
+    return run
 
 
 def redaction_edits(completions: DataFrame, text: str = "text") -> DataFrame:
     """``id, text, edits``: one edit for every e-mail address or phone number, which a tag replaces; of overlapping finds the earlier pattern wins."""
     kind = completions.schema["id"].dataType.simpleString()
+    return completions.select("id", F.col(text).alias("text")).mapInArrow(_redactions(), f"id {kind}, text string, edits {_EDIT}")
 
+
+def _redactions():
+    """Step from ``id, text`` to ``id, text, edits``."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         email, phone = (re.compile(ENTITIES[n], re.ASCII) for n in ("EMAIL_ADDRESS", "PHONE_NUMBER"))
         for batch in batches:
@@ -189,5 +198,15 @@ def redaction_edits(completions: DataFrame, text: str = "text") -> DataFrame:
                     edits[row] = [{"start": at(a), "length": at(b) - at(a), "replacement": tag} for a, b, tag in sorted(taken)]
             shape = pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64()), ("replacement", pa.string())]))
             yield pa.RecordBatch.from_arrays([batch.column(0), column, pa.array(edits, shape)], names=["id", "text", "edits"])
+    return run
+
+
+def redacted_counts(completions: DataFrame, tokenizer: str, leaf: int = LEAF, text: str = "text") -> DataFrame:
+    """``apply_edits`` of ``token_trees`` of ``redaction_edits``, the three steps in one Python worker with one encoder."""
+    kind = completions.schema["id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = WordEncoder(tokenizer)
+        yield from _edited()(_planted(leaf)(_redactions()(slices(batches, "text")), encoder), encoder)
 
-    return completions.select("id", F.col(text).alias("text")).mapInArrow(run, f"id {kind}, text string, edits {_EDIT}")
+    return completions.select("id", F.col(text).alias("text")).mapInArrow(run, f"id {kind}, {_COUNTS}")

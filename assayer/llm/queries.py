@@ -140,7 +140,6 @@ def op9(spark, sf_dir):
 
 @register("op10_edit_aware_token_counts")
 def op10(spark, sf_dir):
-    docs = editcounts.redaction_edits(read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text"))
-    tokenizer = tokenizer_file("word_bpe_49k.json")
-    found = editcounts.apply_edits(editcounts.token_trees(docs, tokenizer), tokenizer)
+    docs = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    found = editcounts.redacted_counts(docs, tokenizer_file("word_bpe_49k.json"))
     return found.select(F.col("id").alias("doc_id"), "n_bytes", "n_before", "n_tokens", "n_edits", "n_encoded")

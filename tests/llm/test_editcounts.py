@@ -58,6 +58,8 @@ def test_edited_trees_can_be_edited_again(spark):
 def test_redaction_edits(spark):
     rows = [("a", "mail é bob@example.com or +1 555-123-4567 now"), ("b", None), ("c", "nothing 12 345")]
     found = {r.id: r for r in editcounts.apply_edits(editcounts.token_trees(editcounts.redaction_edits(frame(spark, rows)), PATH), PATH).collect()}
+    whole = {r.id: r for r in editcounts.redacted_counts(frame(spark, rows), PATH).collect()}
+    assert whole == found
     assert found["a"].text == "mail é <EMAIL_ADDRESS> or <PHONE_NUMBER> now" and found["a"].n_tokens == count(found["a"].text) and found["c"].n_edits == 0
 
 
