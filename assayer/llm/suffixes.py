@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from assayer.llm.arrays import byte_values, flat, prefix_hashes, ranges, slices, sliding_minimum, span_hashes
@@ -13,6 +14,7 @@ from assayer.llm.membership import bits_for, build_filter, maybe
 from assayer.llm.stored import stored
 
 SPAN, GRAM, CROWD, SHALLOW, CHUNK = 100, 32, 32_768, 16, 20_000
+PLACE = ["id", "row", "at"]
 _LOW = (1 << 24) - 1
 _BLOCK = 1 << 22
 
@@ -68,10 +70,10 @@ def _repeated_segments(texts: DataFrame, span: int, gram: int, cells, crowds, cr
             rows, starts, n, lead, hashes = rows[kept], starts[kept], n[kept], lead[kept], hashes[kept]
             prints = span_hashes(prefix_hashes(byte_values(data)), starts, starts + n + span - 1)
             yield pa.RecordBatch.from_pydict({
-                "id": part.column(0).take(pa.array(rows)), "at": pa.array(starts - offsets[rows]), "n": pa.array(n, pa.int32()), "lead": pa.array(lead, pa.int32()),
+                "id": part.column(0).take(pa.array(rows)), "row": part.column(2).take(pa.array(rows)), "at": pa.array(starts - offsets[rows]), "n": pa.array(n, pa.int32()), "lead": pa.array(lead, pa.int32()),
                 "anchor": pa.array(hashes.view(np.int64)), "print": pa.array(prints.view(np.int64)), "bytes": _binary(data, starts, n + span - 1)})
 
-    return texts.mapInArrow(run, f"id {texts.schema['id'].dataType.simpleString()}, at bigint, n int, lead int, anchor bigint, print bigint, bytes binary")
+    return texts.mapInArrow(run, f"id {texts.schema['id'].dataType.simpleString()}, row bigint, at bigint, n int, lead int, anchor bigint, print bigint, bytes binary")
 
 
 def _words(data: np.ndarray) -> np.ndarray:
@@ -186,32 +188,44 @@ def repeated_starts(data: np.ndarray, offsets: np.ndarray, n: np.ndarray, lead:
     return segment[again], step[again]
 
 
-def _runs(ids, at: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+def _runs(ids, row: np.ndarray, at: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
     ids = ids.combine_chunks() if isinstance(ids, pa.ChunkedArray) else ids
     ids = ids.chunk(0) if isinstance(ids, pa.ChunkedArray) else ids
-    return pa.RecordBatch.from_arrays([ids, pa.array(at, pa.int64()), pa.array(n, pa.int64())], ["id", "at", "n"])
+    return pa.RecordBatch.from_arrays([ids, *(pa.array(x, pa.int64()) for x in (row, at, n))], ["id", "row", "at", "n"])
+
+
+def _same_as_before(table: pa.Table, names: list[str]) -> np.ndarray:
+    """True for every line that equals the line before it in all named columns; a null equals nothing."""
+    same = np.zeros(table.num_rows, dtype=bool)
+    for k, name in enumerate(names):
+        column = table.column(name)
+        equal = pc.fill_null(pc.equal(column.slice(1), column.slice(0, len(column) - 1)), False).to_numpy()
+        same[1:] = equal if k == 0 else same[1:] & equal
+    return same
 
 
 def _sort_segments(span: int):
-    """Arrow function over segments that arrive ordered by anchor: runs ``id, at, n`` of starts to drop."""
+    """Arrow function over segments that arrive ordered by anchor: runs ``id, row, at, n`` of starts to drop."""
     def runs(table: pa.Table) -> pa.RecordBatch:
-        table = table.sort_by([("anchor", "ascending"), ("print", "ascending"), ("id", "ascending"), ("at", "ascending")]).combine_chunks()
+        table = table.sort_by([(c, "ascending") for c in ("anchor", "print", *PLACE)]).combine_chunks()
+        # A row that stands several times is one text: its segments count once.
+        table = table.filter(pa.array(~_same_as_before(table, ["anchor", "print", *PLACE]))).combine_chunks()
         anchor, prints, n, lead = (table.column(c).to_numpy().astype(np.int64) for c in ("anchor", "print", "n", "lead"))
         # Equal segments: all but the earliest repeat as a whole, and only the earliest goes on.
         copy = np.zeros(len(n), dtype=bool)
         copy[1:] = (anchor[1:] == anchor[:-1]) & (prints[1:] == prints[:-1]) & (n[1:] == n[:-1]) & (lead[1:] == lead[:-1])
-        copies = table.filter(pa.array(copy)).select(["id", "at", "n"])
+        copies = table.filter(pa.array(copy)).select(["id", "row", "at", "n"])
         group = _dense(anchor)
         keep = np.flatnonzero(~copy & (np.bincount(group, weights=~copy) > 1)[group])
         batch = table.take(pa.array(keep)).combine_chunks()
         anchor, n, lead = anchor[keep], n[keep], lead[keep]
         if not len(keep):
-            return _runs(copies.column("id"), copies.column("at").to_numpy(), copies.column("n").to_numpy())
+            return _runs(copies.column("id"), *(copies.column(c).to_numpy() for c in ("row", "at", "n")))
         column = batch.column("bytes")
         column = column.chunk(0) if isinstance(column, pa.ChunkedArray) else column
         offsets = np.frombuffer(column.buffers()[1], dtype=np.int32)[column.offset:column.offset + len(column) + 1].astype(np.int64)
         data = np.frombuffer(column.buffers()[2], dtype=np.uint8)
-        order = pa.compute.sort_indices(batch.select(["id", "at"]), [("id", "ascending"), ("at", "ascending")]).to_numpy()
+        order = pc.sort_indices(batch.select(PLACE), [(c, "ascending") for c in PLACE]).to_numpy()
         rank = np.empty(len(order), dtype=np.int64)
         rank[order] = np.arange(len(order))
         segment, step = repeated_starts(data, offsets, n, lead, anchor, rank, span)
@@ -220,8 +234,8 @@ def _sort_segments(span: int):
         first = np.flatnonzero(np.concatenate([[True], (segment[1:] != segment[:-1]) | (step[1:] != step[:-1] + 1)])) if len(segment) else segment
         lengths = np.diff(np.append(first, len(segment))) if len(segment) else segment
         ids = pa.concat_arrays([*copies.column("id").chunks, *batch.column("id").take(pa.array(segment[first])).chunks])
-        at = batch.column("at").to_numpy()[segment[first]] + step[first]
-        return _runs(ids, np.concatenate([copies.column("at").to_numpy(), at]), np.concatenate([copies.column("n").to_numpy(), lengths]))
+        row, at = batch.column("row").to_numpy()[segment[first]], batch.column("at").to_numpy()[segment[first]] + step[first]
+        return _runs(ids, *(np.concatenate([copies.column(c).to_numpy(), x]) for c, x in (("row", row), ("at", at), ("n", lengths))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -258,13 +272,29 @@ def _starts(span: int):
             at = offsets[segment] + step
             one = span_hashes(prefix_hashes(byte_values(data)), at, at + span)
             two = span_hashes(prefix_hashes(byte_values(data[::-1].copy())), len(data) - at - span, len(data) - at)
-            yield pa.RecordBatch.from_pydict({"id": batch.column("id").take(pa.array(segment)), "at": pa.array(batch.column("at").to_numpy()[segment] + step),
-                                              "one": pa.array(one.view(np.int64)), "two": pa.array(two.view(np.int64))})
+            yield pa.RecordBatch.from_pydict({"id": batch.column("id").take(pa.array(segment)), "row": batch.column("row").take(pa.array(segment)),
+                                              "at": pa.array(batch.column("at").to_numpy()[segment] + step), "one": pa.array(one.view(np.int64)), "two": pa.array(two.view(np.int64))})
     return run
 
 
+def _place(*more: str):
+    """Where a string starts, ordered as the sorted path orders it: null ids last, then by id, row key and position."""
+    return F.struct(F.col("id").isNull().alias("none"), *PLACE, *more)
+
+
+def _keyed(completions: DataFrame, text: str, carry: tuple[str, ...]) -> DataFrame:
+    """``id, text, row`` and the carried columns. ``row`` tells rows of one id apart: a hash of the text, so that rows equal in both are one
+    text; rows without an id are different texts and take a number each, which is written down so that every later scan sees the same."""
+    rows = completions.select("id", F.col(text).alias("text"), *(F.col(c).alias(f"carried_{c}") for c in carry))
+    order = ["id", "text", "row", *(f"carried_{c}" for c in carry)]
+    named = rows.where(F.col("id").isNotNull()).withColumn("row", F.xxhash64("text")).select(*order)
+    nameless = stored(rows.where(F.col("id").isNull()).withColumn("row", F.monotonically_increasing_id()).select(*order), "nameless")
+    return named.unionByName(nameless)
+
+
 def repeated_runs(texts: DataFrame, span: int = SPAN, gram: int = GRAM, crowd: int = CROWD) -> DataFrame:
-    """Runs ``id, at, n``: the ``span`` bytes from each of the ``n`` starts from ``at`` on also start earlier."""
+    """Runs ``id, row, at, n``: the ``span`` bytes from each of the ``n`` starts from ``at`` on also start earlier. ``texts`` holds ``id, text, row``."""
+    texts = texts.select("id", "text", "row")
     spark, kind = texts.sparkSession, texts.schema["id"].dataType.simpleString()
     anchors = stored(_anchor_counts(texts, span, gram).where(F.col("n") > 1), "anchors")
     bits = bits_for(anchors.count())
@@ -273,16 +303,17 @@ def repeated_runs(texts: DataFrame, span: int = SPAN, gram: int = GRAM, crowd: i
     bits = bits_for(crowded.count(), most=24)
     crowds = spark.sparkContext.broadcast((build_filter(crowded, bits), bits))
     few = _repeated_segments(texts, span, gram, cells, crowds, False)
-    runs = few.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_sort_segments(span), f"id {kind}, at bigint, n bigint")
+    runs = few.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_sort_segments(span), f"id {kind}, row bigint, at bigint, n bigint")
     # Anchors of very many segments: equal segments meet as counts, the rest is split by string, so no task gathers an anchor.
     many = stored(_repeated_segments(texts, span, gram, cells, crowds, True), "segments")
     alike = ["anchor", "print", "n", "lead"]
-    classes = many.groupBy(*alike).agg(F.min(F.struct("id", "at")).alias("first"))
-    tagged = many.join(classes, alike).withColumn("copy", ~F.struct("id", "at").eqNullSafe(F.col("first")))
-    copies = tagged.where("copy").select("id", "at", F.col("n").cast("bigint").alias("n"))
-    strings = tagged.where("not copy").select("id", "at", "n", "bytes").mapInArrow(_starts(span), f"id {kind}, at bigint, one bigint, two bigint")
-    owners = strings.groupBy("one", "two").agg(F.min(F.struct("id", "at")).alias("first"), F.count("*").alias("members")).where(F.col("members") > 1)
-    again = strings.join(owners, ["one", "two"]).where(~F.struct("id", "at").eqNullSafe(F.col("first"))).select("id", "at", F.lit(1).cast("bigint").alias("n"))
+    # The least place of a class leads it; a row that stands several times has one place, so it is neither its own copy nor split twice.
+    leading = many.groupBy(*alike).agg(F.min(_place()).alias("first"))
+    copies = many.drop("bytes").join(leading, alike).where(~_place().eqNullSafe(F.col("first"))).select("id", "row", "at", F.col("n").cast("bigint").alias("n"))
+    firsts = many.groupBy(*alike).agg(F.min(_place("bytes")).alias("first")).select("first.id", "first.row", "first.at", "n", "first.bytes")
+    strings = firsts.mapInArrow(_starts(span), f"id {kind}, row bigint, at bigint, one bigint, two bigint")
+    owners = strings.groupBy("one", "two").agg(F.min(_place()).alias("first"), F.count("*").alias("members")).where(F.col("members") > 1)
+    again = strings.join(owners, ["one", "two"]).where(~_place().eqNullSafe(F.col("first"))).select("id", "row", "at", F.lit(1).cast("bigint").alias("n"))
     return stored(copies.unionByName(runs).unionByName(again), "runs")
 
 
@@ -303,15 +334,16 @@ def _cut(kind: str, span: int):
                 spans.append([{"start": a, "end": b} for a, b in merged])
                 kept.append(b"".join(text[a:b].tobytes() for a, b in zip(edges[::2], edges[1::2])))
             yield pa.RecordBatch.from_pydict({"id": part.column(0), "n_bytes": pa.array(sizes, pa.int64()),
-                                              "spans": pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), "kept": pa.array(kept, pa.binary())})
+                                              "spans": pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), "kept": pa.array(kept, pa.binary()),
+                                              **dict(zip(part.schema.names[3:], part.columns[3:]))})
     return run
 
 
-def drop_repeats(completions: DataFrame, span: int = SPAN, gram: int = GRAM, crowd: int = CROWD, text: str = "text") -> DataFrame:
+def drop_repeats(completions: DataFrame, span: int = SPAN, gram: int = GRAM, crowd: int = CROWD, text: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
     """Completion texts without the bytes that repeat an earlier passage of at least ``span`` bytes.
 
-    ``completions`` holds ``id`` and ``text``; further columns are ignored. Returns ``id, n_bytes, spans, kept``: the size of the text in
-    UTF-8, the maximal removed spans ``start, end`` (bytes), and the remaining bytes. A byte goes when it lies in a ``span``-byte string that
+    ``completions`` holds ``id`` and ``text``; further columns are ignored, but those named in ``carry`` follow their row. Returns
+    ``id, n_bytes, spans, kept``: the size of the text in UTF-8, the maximal removed spans ``start, end`` (bytes), and the remaining bytes. A byte goes when it lies in a ``span``-byte string that
     also starts earlier, in a lower id or before it in the same text; strings are judged on the input, overlaps count, matches never cross texts.
 
     Every string is filed under its anchor, the smallest ``gram``-byte hash in it. Anchors that occur once are dropped where they arise.
@@ -319,11 +351,15 @@ def drop_repeats(completions: DataFrame, span: int = SPAN, gram: int = GRAM, cro
     below), and each group of equal strings keeps its earliest start. Anchors with more than ``crowd`` segments are counted by segment and
     then by string instead, so a passage in a third of all texts never meets in one task.
 
-    Null and empty texts have 0 bytes and no spans; shorter texts than ``span`` stay whole; of equal texts the lowest id stays; ids should
-    be unique (rows that share an id share their spans); an empty table gives an empty result.
+    Null and empty texts have 0 bytes and no spans; shorter texts than ``span`` stay whole; of equal texts the lowest id stays. Rows equal in
+    id and text are one text, which repeats nothing by standing twice: all of them get the same answer. Other rows that share an id are
+    texts of their own, in the order of a hash of the text. Rows without an id are texts of their own too, after all ids. An empty table gives an empty result.
     """
-    texts = completions.select("id", F.col(text).alias("text"))
+    texts = _keyed(completions, text, carry)
     kind = texts.schema["id"].dataType.simpleString()
-    per_id = repeated_runs(texts, span, gram, crowd).groupBy(F.col("id").alias("_id")).agg(F.collect_list(F.struct("at", "n")).alias("runs"))
-    both = texts.join(per_id, F.col("id").eqNullSafe(F.col("_id")), "left").select("id", "text", "runs")
-    return both.mapInArrow(_cut(kind, span), f"id {kind}, n_bytes bigint, spans array<struct<start bigint, end bigint>>, kept binary")
+    per_row = repeated_runs(texts, span, gram, crowd).groupBy(F.col("id").alias("_id"), F.col("row").alias("_row")).agg(F.collect_set(F.struct("at", "n")).alias("runs"))
+    carried = [f"carried_{c}" for c in carry]
+    both = texts.join(per_row, F.col("id").eqNullSafe(F.col("_id")) & (F.col("row") == F.col("_row")), "left").select("id", "text", "runs", *carried)
+    kinds = "".join(f", {c} {texts.schema[c].dataType.simpleString()}" for c in carried)
+    found = both.mapInArrow(_cut(kind, span), f"id {kind}, n_bytes bigint, spans array<struct<start bigint, end bigint>>, kept binary{kinds}")
+    return found.select("id", "n_bytes", "spans", "kept", *(F.col(f"carried_{c}").alias(c) for c in carry))

@@ -11,14 +11,30 @@ from assayer.llm.stored import stored
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+def _key():
+    """The number of a document; one without a number goes by its text, under a key above 2**62, which no numbering reaches."""
+    return F.coalesce("doc_id", F.lit(1 << 62) + F.shiftrightunsigned(F.xxhash64("text"), 2))
+
+
 def _without(docs: DataFrame, gone: DataFrame, label: str) -> DataFrame:
-    """Documents whose number is not in ``gone``; the list is stored first, so that Spark knows its size and can leave the texts in place."""
+    """Documents whose key is not in ``gone``; the list is stored first, so that Spark knows its size and can leave the texts in place."""
     listed = stored(gone.select(F.col("id").alias("_gone")), label)
-    return docs.join(listed, F.col("doc_id").eqNullSafe(F.col("_gone")), "left_anti").select(*COLUMNS)
+    return docs.join(listed, _key() == F.col("_gone"), "left_anti").select(*COLUMNS)
+
+
+def _once(docs: DataFrame) -> DataFrame:
+    """Every document once: rows equal in key and text collapse. Keys and hashes alone are counted; texts move only where rows repeat."""
+    hashed = docs.withColumn("_key", _key()).withColumn("_hash", F.xxhash64("text"))
+    again = stored(hashed.groupBy("_key", "_hash").agg(F.count("*").alias("n")).where("n > 1").select("_key", "_hash"), "repeated-rows")
+    if again.isEmpty():
+        return docs
+    single = hashed.join(again, ["_key", "_hash"], "left_anti").select(*COLUMNS)
+    several = hashed.join(again, ["_key", "_hash"], "left_semi").groupBy("_key", "_hash").agg(F.min(F.struct(*COLUMNS)).alias("row"))
+    return single.unionByName(several.select("row.*"))
 
 
 def _texts(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").alias("id"), "text")
+    return docs.select(_key().alias("id"), "text")
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,17 +45,18 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The lowest document of every class of near copies."""
+    """The lowest document of every class of near copies; a document whose row stands several times stays once."""
+    docs = _once(docs)
     return _without(docs, minhash.near_classes(_texts(docs)).where("id <> keeper"), "near-copies")
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without passages of 100 bytes that stand earlier in the corpus; a text of nothing else goes. Bytes of a cut character go with its passage."""
-    found = suffixes.drop_repeats(_texts(docs)).where("n_bytes = 0 or length(kept) > 0")
+    found = suffixes.drop_repeats(docs.withColumnRenamed("doc_id", "id"), carry=("lang", "source")).where("n_bytes = 0 or length(kept) > 0")
     whole = F.replace(F.make_valid_utf8(F.col("kept").cast("string")), F.lit("�"), F.lit(""))
-    kept = found.select(F.col("id").alias("_id"), F.when(F.size("spans") > 0, whole).otherwise(F.col("kept").cast("string")).alias("text"))
-    joined = docs.drop("text", "n_chars").join(kept, F.col("doc_id").eqNullSafe(F.col("_id")))
-    return joined.withColumn("n_chars", F.length("text").cast("bigint")).select(*COLUMNS)
+    text = F.when(F.size("spans") > 0, whole).otherwise(F.col("kept").cast("string"))
+    kept = found.select(F.col("id").alias("doc_id"), text.alias("text"), "lang", "source")
+    return kept.withColumn("n_chars", F.length("text").cast("bigint")).select(*COLUMNS)
 
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,7 +67,7 @@ def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the remaining documents and their places in sequences of 2048 tokens."""
-    return packing.pack(_texts(docs), tokenizer_file("word_bpe_49k.json")).withColumnRenamed("id", "doc_id")
+    return packing.pack(docs.select(F.col("doc_id").alias("id"), "text"), tokenizer_file("word_bpe_49k.json")).withColumnRenamed("id", "doc_id")
 
 
 STAGES = [("language", language), ("near_copies", near_copies), ("repeated_passages", repeated_passages), ("benchmark_leaks", benchmark_leaks), ("packed", packed)]

@@ -47,3 +47,19 @@ def test_pipeline_stages(spark):
 def test_run_equals_the_stages(spark):
     found = corpus_pipeline.run(spark, SMALL)
     assert found.count() > 100 and found.columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
+
+
+def test_pipeline_keeps_repeated_rows_once(spark):
+    docs = corpus_pipeline.read(spark, SMALL, "documents")
+    row = docs.where("length(text) between 400 and 2000").orderBy("doc_id").first()
+    words = " ".join(f"la réponse {i} de la règle numéro {i * i}" for i in range(20))
+    other = " ".join(f"the answer {i} of another rule {i * 7}" for i in range(20))
+    odd = spark.createDataFrame([tuple(row), tuple(row), (None, words, "fr", "s", 1), (None, words, "fr", "s", 1), (None, other, "en", "s", 1), (None, "12", "en", "s", 1)], docs.schema)
+    steps = dict(corpus_pipeline.STAGES)
+    first = steps["language"](spark, docs.where("doc_id % 4 = 0").unionByName(odd).where(f"text <> '' or doc_id = {row.doc_id}"), SMALL)
+    assert sorted(r.text for r in first.where("doc_id is null").collect()) == sorted([words, words, other])
+    second = steps["near_copies"](spark, first, SMALL)
+    assert second.where(second.doc_id == row.doc_id).count() == 1
+    assert sorted(r.text for r in second.where("doc_id is null").collect()) == sorted([words, other])
+    third = steps["repeated_passages"](spark, second, SMALL)
+    assert third.where(third.doc_id == row.doc_id).count() == 1 and third.where("doc_id is null").count() == 2

@@ -48,3 +48,25 @@ def test_short_span(spark):
 
 def test_empty_table(spark):
     assert suffixes.drop_repeats(frame(spark, [])).collect() == []
+
+
+@pytest.mark.parametrize("crowd", [32_768, 2])
+def test_repeated_rows_and_null_ids(spark, crowd):
+    rng = random.Random(9)
+    a, b, c, d, e = (sentence(rng, 40) for _ in range(5))
+    made = [("r", a), ("r", a), ("r", a), ("s", b + a), ("t", c), ("t", c), ("t", d), (None, e), (None, e), (None, sentence(rng, 30) + b), (None, "short"), (None, "short")]
+    got = [(r.id, bytes(r.kept).decode()) for r in suffixes.drop_repeats(frame(spark, made), crowd=crowd).collect()]
+    assert len(got) == len(made)
+    assert [k for i, k in got if i == "r"] == [a] * 3
+    assert [k for i, k in got if i == "s"] == [b]
+    assert sorted(k for i, k in got if i == "t") == sorted([c, c, d])
+    assert sorted(k for i, k in got if i is None) == sorted([e, "", made[9][1][:-len(b)], "short", "short"])
+
+
+def test_carried_columns_follow_their_row(spark):
+    rng = random.Random(2)
+    a, b = sentence(rng, 40), sentence(rng, 40)
+    made = [("r", a, "one"), ("r", b, "two"), (None, a, "three"), (None, "short", None)]
+    found = suffixes.drop_repeats(spark.createDataFrame(made, "id string, text string, lang string"), carry=("lang",))
+    assert found.columns == ["id", "n_bytes", "spans", "kept", "lang"]
+    assert sorted((str(r.lang), len(r.kept)) for r in found.collect()) == [("None", 5), ("one", len(a)), ("three", 0), ("two", len(b))]
