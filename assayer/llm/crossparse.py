@@ -126,13 +126,20 @@ def phrase_counts(symbols: np.ndarray, counts: np.ndarray, tables: list[np.ndarr
 
 
 def language_samples(labelled: DataFrame, rows: int = ROWS, chars: int = CHARS, text: str = "prompt", lang: str = "lang") -> dict[str, str]:
-    """Bounded training text per language: at most ``rows`` whole texts, chosen by hash among those of ordinary length, and ``chars`` characters."""
-    known = labelled.where(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(F.col(lang).alias("lang"), F.col(text).alias("text"))
+    """Bounded training text per language: at most ``rows`` whole texts, chosen by hash among those of ordinary length, and ``chars`` characters.
+
+    A text counts once however often it stands, and only if it has a letter.
+    """
+    known = labelled.where(F.col(text).isNotNull() & F.col(lang).isNotNull() & F.regexp_like(F.col(text), F.lit(r"\p{L}")))
+    known = known.select(F.col(lang).alias("lang"), F.length(text).alias("size"), F.xxhash64(text).alias("hash"), F.col(text).alias("text"))
+    # Copies combine and ranks are given on sizes and hashes alone; the few chosen ones then fetch their texts.
     # Texts over a tenth of the bound come last, the shortest of them first.
-    order = [F.greatest(F.length("text"), F.lit(chars // 10)), F.xxhash64("text"), F.col("text")]
-    chosen = known.withColumn("nth", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).where(F.col("nth") <= rows)
+    alike = ["lang", "size", "hash"]
+    order = [F.greatest("size", F.lit(chars // 10)), "hash", "size"]
+    chosen = known.select(*alike).distinct().withColumn("nth", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).where(F.col("nth") <= rows)
+    chosen = known.join(F.broadcast(chosen), alike).groupBy("lang", "nth").agg(F.min(F.substring("text", 1, chars)).alias("text"))
     samples: dict[str, str] = {}
-    for row in chosen.select("lang", F.substring("text", 1, chars).alias("text"), "nth").orderBy("lang", "nth").collect():
+    for row in chosen.orderBy("lang", "nth").collect():
         held = samples.get(row.lang, "")
         if len(held) < chars:
             samples[row.lang] = f"{held} {row.text}"[:chars]

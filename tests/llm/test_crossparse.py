@@ -55,3 +55,10 @@ def test_samples_are_bounded(spark):
     rows = [(f"p{i}", f"word{i} " * 50, "en" if i % 2 else None) for i in range(60)] + [("n", None, "en")]
     samples = crossparse.language_samples(spark.createDataFrame(rows, "id string, prompt string, lang string"), rows=5, chars=900)
     assert list(samples) == ["en"] and len(samples["en"]) <= 900
+
+
+def test_samples_count_a_copied_text_once(spark):
+    rows = [(f"text{chr(97 + i)} of the sample", "en") for i in range(12)]
+    hot = [(t, "en") for t in (rows[0][0], rows[1][0], "12 34") for _ in range(3000)]
+    samples = crossparse.language_samples(spark.createDataFrame(rows + hot, "prompt string, lang string"), rows=12, chars=5000)
+    assert sorted(samples["en"].split(" text")[1:]) == sorted(t.removeprefix("text") for t, _ in rows)
