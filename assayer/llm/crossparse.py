@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -12,12 +13,22 @@ from pyspark.sql import DataFrame, Window, functions as F
 from assayer.llm.arrays import as_text, ranges, slices
 
 ROWS, CHARS, LANE = 40, 30_000, 400
-_UNSEEN = 254
+_COMMON = 254
 _built: dict = {}
 
 
-def suffix_automaton(symbols: list[int], size: int) -> np.ndarray:
-    """Dense transitions (state, symbol) of the automaton of all substrings; -1 where none continues. State 0 is the empty string."""
+class Automaton(NamedTuple):
+    """Transitions of an automaton: a column for each common symbol and an empty last one for unseen letters; the others as sorted
+    ``state * span + symbol`` keys with their targets."""
+
+    dense: np.ndarray
+    span: int
+    keys: np.ndarray
+    targets: np.ndarray
+
+
+def _transitions(symbols: list[int]) -> list[dict[int, int]]:
+    """Transitions symbol -> state of every state of the automaton of all substrings. State 0 is the empty string."""
     steps: list[dict[int, int]] = [{}]
     link, length, last = [-1], [0], 0
     for symbol in symbols:
@@ -43,11 +54,37 @@ def suffix_automaton(symbols: list[int], size: int) -> np.ndarray:
                     at = link[at]
                 link[target] = link[current] = clone
         last = current
-    table = np.full((len(steps), size), -1, dtype=np.int32)
+    return steps
+
+
+def suffix_automaton(symbols: list[int], size: int) -> np.ndarray:
+    """Dense transitions (state, symbol) of the automaton of all substrings; -1 where none continues. State 0 is the empty string."""
+    return split_automaton(symbols, size, size).dense
+
+
+def split_automaton(symbols: list[int], width: int, span: int) -> Automaton:
+    """Automaton of all substrings with ``width`` dense columns; symbols from ``width`` to ``span`` are kept as keys."""
+    steps = _transitions(symbols)
+    table = np.full((len(steps), width), -1, dtype=np.int32)
+    keys, targets = [], []
     for state, out in enumerate(steps):
         for symbol, target in out.items():
-            table[state, symbol] = target
-    return table
+            if symbol < width:
+                table[state, symbol] = target
+            else:
+                keys.append(state * span + symbol)
+                targets.append(target)
+    order = np.argsort(np.array(keys, dtype=np.int64))
+    return Automaton(table, span, np.array(keys, dtype=np.int64)[order], np.array(targets, dtype=np.int32)[order])
+
+
+def _followed(table: Automaton, states: np.ndarray, symbols: np.ndarray) -> np.ndarray:
+    """Next states by keyed symbols, -1 where none continues."""
+    if not len(table.keys):
+        return np.full(len(symbols), -1, dtype=np.int32)
+    keys = states.astype(np.int64) * table.span + symbols
+    at = np.minimum(np.searchsorted(table.keys, keys), len(table.keys) - 1)
+    return np.where(table.keys[at] == keys, table.targets[at], np.int32(-1))
 
 
 def _is_letter() -> np.ndarray:
@@ -81,15 +118,18 @@ def _model(samples: dict[str, str]):
         for old in [k for k in _built if k != "letters"]:
             del _built[old]
         points = {lang: _characters(pa.array([text]))[0] for lang, text in samples.items()}
-        seen = np.unique(np.concatenate([*points.values(), [0]]))[:_UNSEEN]
-        symbol = np.full(0x110000, len(seen), dtype=np.int32)
-        symbol[seen] = np.arange(len(seen))
-        _built[key] = (symbol, len(seen) + 1, {lang: (suffix_automaton(symbol[p].tolist(), len(seen) + 1), len(p)) for lang, p in points.items()})
+        # Every letter of the samples has a symbol; the most used have dense columns, then comes the one of unseen letters, then the others.
+        seen, uses = np.unique(np.concatenate([*points.values(), [0]]), return_counts=True)
+        seen = seen[np.argsort(-uses, kind="stable")]
+        common = min(len(seen), _COMMON)
+        symbol = np.full(0x110000, common, dtype=np.int32)
+        symbol[seen] = np.arange(len(seen)) + (np.arange(len(seen)) >= common)
+        _built[key] = (symbol, common + 1, {lang: (split_automaton(symbol[p].tolist(), common + 1, len(seen) + 1), len(p)) for lang, p in points.items()})
     return _built[key]
 
 
-def phrase_counts(symbols: np.ndarray, counts: np.ndarray, tables: list[np.ndarray], width: int, lane: int = LANE) -> np.ndarray:
-    """Phrases of every text against every automaton: (texts, automata).
+def phrase_counts(symbols: np.ndarray, counts: np.ndarray, tables: list[np.ndarray | Automaton], width: int, lane: int = LANE) -> np.ndarray:
+    """Phrases of every text against every automaton: (texts, automata). Symbol ``width - 1`` is an unseen letter, those above have keys.
 
     A phrase is the longest match from its start. All texts are parsed side by side, a character a step, in lanes of ``lane`` characters;
     a longer text fills several lanes and a lane's end also ends a phrase.
@@ -108,15 +148,24 @@ def phrase_counts(symbols: np.ndarray, counts: np.ndarray, tables: list[np.ndarr
     step = ranges(np.zeros(len(rows), dtype=np.int64), size)
     grid[step, lanes] = symbols[first[lanes] + step]
     live = np.searchsorted(-size, -np.arange(len(grid)), "left")  # lanes longer than the step
+    keyed = (grid >= width).any(axis=1)
     for k, table in enumerate(tables):
-        flat, root = table.reshape(-1), table[0]
+        table = Automaton(table, width, np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int32)) if isinstance(table, np.ndarray) else table
+        flat, root = table.dense.reshape(-1), table.dense[0]
         state, phrases = np.zeros(len(rows), dtype=np.int32), np.zeros(len(rows), dtype=np.int32)
         for t in range(len(grid)):
             n = live[t]
             symbol, own = grid[t, :n], state[:n]
-            following = flat[own.astype(np.int64) * width + symbol]
+            near = np.minimum(symbol, width - 1) if keyed[t] else symbol
+            following = flat[own.astype(np.int64) * width + near]
+            if keyed[t]:
+                rare = np.flatnonzero(symbol >= width)
+                following[rare] = _followed(table, own[rare], symbol[rare])
             failed = np.flatnonzero(following < 0)
-            again = root[symbol[failed]]
+            again = root[near[failed]]
+            if keyed[t]:
+                rare = np.flatnonzero(symbol[failed] >= width)
+                again[rare] = _followed(table, np.zeros(len(rare), dtype=np.int64), symbol[failed[rare]])
             phrases[failed] += (own[failed] > 0).astype(np.int32) + (again < 0)
             following[failed] = np.maximum(again, 0)
             state[:n] = following

@@ -62,3 +62,16 @@ def test_samples_count_a_copied_text_once(spark):
     hot = [(t, "en") for t in (rows[0][0], rows[1][0], "12 34") for _ in range(3000)]
     samples = crossparse.language_samples(spark.createDataFrame(rows + hot, "prompt string, lang string"), rows=12, chars=5000)
     assert sorted(samples["en"].split(" text")[1:]) == sorted(t.removeprefix("text") for t, _ in rows)
+
+
+def test_every_letter_of_the_samples_has_a_symbol(spark):
+    rng = random.Random(5)
+    alphabets = {"ko": range(0xAC00, 0xAC00 + 400), "zh": range(0x4E00, 0x4E00 + 500), "zz": range(0x5200, 0x5200 + 500)}
+    pools = {k: ["".join(chr(rng.choice(v)) for _ in range(rng.randint(1, 4))) for _ in range(400)] for k, v in alphabets.items()}
+    write = lambda k, n: " ".join(rng.choice(pools[k]) for _ in range(n))
+    samples = {k: write(k, 900) for k in pools} | {"en": "the number becomes the answer of the rule " * 20}
+    rows = [(f"{k}{i}", write(k, 30)) for k in pools for i in range(20)] + [("unseen", chr(0x9000) * 50 + " the rule"), ("mixed", "the answer " * 5 + write("zh", 2))]
+    got = {r.id: r for r in crossparse.identify_language(frame(spark, rows, text="prompt"), samples).collect()}
+    texts = dict(rows)
+    assert all(r.lang_pred == ("en" if i in ("unseen", "mixed") else i[:2]) for i, r in got.items())
+    assert all(r.phrases == naive(texts[i], samples[r.lang_pred]) for i, r in got.items())
