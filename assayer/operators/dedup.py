@@ -17,15 +17,16 @@ JACCARD, COSINE, RECALL = 0.8, 0.85, 0.9999
 
 
 def exact_dedup(docs: DataFrame, method: str = "md5") -> DataFrame:
-    """``doc_id, keeper, copies``: identical texts share the lowest id. Counts combine before the shuffle."""
+    """``doc_id, keeper, copies``: identical texts share the lowest id, and so do null texts. Counts combine before the shuffle."""
     digest = F.md5("text") if method == "md5" else F.sha2("text", 256)
-    groups = docs.groupBy(digest.alias("digest")).agg(F.min("doc_id").alias("keeper"), F.count("*").alias("copies"))
-    return docs.select("doc_id", digest.alias("digest")).join(groups, "digest").select("doc_id", "keeper", "copies")
+    groups = docs.groupBy(digest.alias("same")).agg(F.min("doc_id").alias("keeper"), F.count("*").alias("copies"))
+    return docs.select("doc_id", digest.alias("digest")).join(groups, F.col("digest").eqNullSafe(F.col("same"))).select("doc_id", "keeper", "copies")
 
 
 def distinct_texts(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Documents of distinct texts, and the mapping of every document to the one kept for its text."""
-    mapping = cut_lineage(exact_dedup(docs).select("doc_id", "keeper"))
+    """Documents of distinct texts, and the mapping of every document to the one kept for its text. A null text is a copy of nothing."""
+    alone = docs.where(F.col("text").isNull()).select("doc_id", F.col("doc_id").alias("keeper"))
+    mapping = cut_lineage(exact_dedup(docs.where(F.col("text").isNotNull())).select("doc_id", "keeper").unionByName(alone))
     kept = mapping.where(F.col("doc_id") == F.col("keeper")).select("doc_id")
     return docs.join(kept, "doc_id", "left_semi"), mapping
 

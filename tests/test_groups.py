@@ -189,3 +189,9 @@ def test_const_hold_across_slices(spark):
     points = spark.createDataFrame(rows, "series int, pos int, known double")
     got = {(r.series, r.pos): r.held for r in series.const_hold(points, slice_of=4).collect()}
     assert got == {**{(1, p): 0.0 if p < 7 else 7.0 for p in range(30)}, (2, 3): None}
+
+
+def test_null_texts_stay_in_both_dedups(spark):
+    docs = spark.createDataFrame([(1, "one two three four"), (2, None), (3, "one two three four"), (4, None), (5, "other")], "doc_id long, text string")
+    assert sorted(map(tuple, dedup.exact_dedup(docs).collect())) == [(1, 1, 2), (2, 2, 2), (3, 1, 2), (4, 2, 2), (5, 5, 1)]
+    assert sorted(map(tuple, dedup.fuzzy_dedup(docs).collect())) == [(1, 1), (2, 2), (3, 1), (4, 4), (5, 5)]
