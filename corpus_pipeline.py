@@ -38,7 +38,8 @@ def _texts(docs: DataFrame) -> DataFrame:
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language that the labelled part of the corpus teaches; null texts and texts without letters go."""
+    """Documents with letters; null texts and texts without letters (``und``) go. A text in a language or script that no label teaches
+    gets the nearest label and stays."""
     samples = crossparse.language_samples(docs.where(fold(3) != 1), text="text")
     found = crossparse.identify_language(_texts(docs), samples, text="text")
     return _without(docs, found.where("lang_pred = 'und'"), "unknown-language")
