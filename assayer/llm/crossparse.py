@@ -204,8 +204,8 @@ def identify_language(puzzles: DataFrame, samples: dict[str, str], text: str = "
     length, per character). ``score`` is the winner's share of the inverse normalised phrases, between 0 and 1; ``phrases`` the winner's
     number. Ties go to the first language in alphabetical order.
 
-    Null texts, texts without letters and an empty ``samples`` give ``und`` with score 0; texts of any length are parsed whole; repeated rows
-    are answered one by one; an empty table gives an empty result.
+    Null texts, texts without letters and an empty ``samples`` give ``und`` with score 0; texts of any length are parsed to their end, in lanes of
+    ``lane`` characters whose ends also end a phrase; repeated rows are answered one by one; an empty table gives an empty result.
     """
     held = puzzles.sparkSession.sparkContext.broadcast(samples)
 
