@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE = 1 << 20
+SLICE, ROWS = 1 << 20, 1024
 U = np.uint64
 BASE = 0x9E3779B97F4A7C15
 _TABLE = np.random.default_rng(20).integers(1, 2**63, 256, dtype=U) * U(2) + U(1)
@@ -37,8 +37,9 @@ def flat(column) -> tuple[np.ndarray, np.ndarray]:
     return values, offsets - offsets[0]
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE) -> Iterator[pa.RecordBatch]:
-    """Row slices of at most ``limit`` text bytes; a longer single text is a slice of its own, never cut."""
+def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE, rows: int = ROWS) -> Iterator[pa.RecordBatch]:
+    """Row slices of at most ``limit`` text bytes and ``rows`` rows, so that what is held per row is bounded on short texts too; a longer
+    single text is a slice of its own, never cut."""
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -46,7 +47,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE) -
         ends, start = np.cumsum(lengths), 0
         while start < batch.num_rows:
             before = ends[start - 1] if start else 0
-            stop = max(start + 1, int(np.searchsorted(ends, before + limit, "right")))
+            stop = min(max(start + 1, int(np.searchsorted(ends, before + limit, "right"))), start + rows)
             yield batch.slice(start, stop - start)
             start = stop
 

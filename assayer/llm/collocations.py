@@ -80,7 +80,7 @@ def _score(a: str, left: str, right: str) -> Column:
 
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Counted three-word windows of chunks of text; a window begins at every word and holds null past the end of its piece."""
-    for batch in slices(batches, "text", CHUNK):
+    for batch in slices(batches, "text", CHUNK, CHUNK):
         runs = batch.column("run").dictionary_encode()
         code, names = runs.indices.to_numpy(zero_copy_only=False).astype(np.int64), runs.dictionary.cast(pa.string())
         data, offsets = flat(batch.column("text"))
