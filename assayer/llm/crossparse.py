@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from assayer.llm.arrays import as_text, ranges, slices
 
-ROWS, CHARS, LANE = 40, 30_000, 400
+ROWS, CHARS, LANE = 40, 60_000, 400
 _COMMON = 254
 _built: dict = {}
 
@@ -128,49 +128,83 @@ def _model(samples: dict[str, str]):
     return _built[key]
 
 
+def _stepper(table: Automaton, width: int):
+    """Function from states and symbols to the next states and the number of phrases that end before each symbol or with it."""
+    flat, root = table.dense.reshape(-1), table.dense[0]
+
+    def step(own: np.ndarray, symbol: np.ndarray, keyed: bool) -> tuple[np.ndarray, np.ndarray]:
+        near = np.minimum(symbol, width - 1) if keyed else symbol
+        following = flat[own.astype(np.int64) * width + near]
+        if keyed:
+            rare = np.flatnonzero(symbol >= width)
+            following[rare] = _followed(table, own[rare], symbol[rare])
+        failed = np.flatnonzero(following < 0)
+        again = root[near[failed]]
+        if keyed:
+            rare = np.flatnonzero(symbol[failed] >= width)
+            again[rare] = _followed(table, np.zeros(len(rare), dtype=np.int64), symbol[failed[rare]])
+        ended = np.zeros(len(symbol), dtype=np.int32)
+        ended[failed] = (own[failed] > 0).astype(np.int32) + (again < 0)
+        following[failed] = np.maximum(again, 0)
+        return following, ended
+    return step
+
+
 def phrase_counts(symbols: np.ndarray, counts: np.ndarray, tables: list[np.ndarray | Automaton], width: int, lane: int = LANE) -> np.ndarray:
     """Phrases of every text against every automaton: (texts, automata). Symbol ``width - 1`` is an unseen letter, those above have keys.
 
-    A phrase is the longest match from its start. All texts are parsed side by side, a character a step, in lanes of ``lane`` characters;
-    a longer text fills several lanes and a lane's end also ends a phrase.
+    A phrase is the longest match from its start. All texts are parsed side by side, a character a step, in lanes of ``lane`` characters. A
+    lane first starts anew; then it is entered in the state in which the lane before it was left and parsed again until both parses are in
+    the same state, from where on they agree. So the lanes are the unbroken parse of the text.
     """
     per_row = -(-counts // lane)
     rows = np.repeat(np.arange(len(counts)), per_row)
     first = np.repeat(np.cumsum(counts) - counts, per_row) + ranges(np.zeros(len(counts), dtype=np.int64), per_row) * lane
     size = np.minimum(lane, np.repeat(np.cumsum(counts), per_row) - first)
-    order = np.argsort(-size, kind="stable")
-    rows, first, size = rows[order], first[order], size[order]
     found = np.zeros((len(counts), len(tables)), dtype=np.int64)
     if not len(rows):
         return found
+    order = np.argsort(-size, kind="stable")
+    place = np.empty_like(order)
+    place[order] = np.arange(len(order))
+    follows = np.concatenate([[False], rows[1:] == rows[:-1]])
+    before = np.where(follows, np.concatenate([[0], place[:-1]]), -1)[order]
+    last = np.concatenate([~follows[1:], [True]])[order]
+    rows, first, size = rows[order], first[order], size[order]
     grid = np.zeros((int(size[0]), len(rows)), dtype=np.int32)
     lanes = np.repeat(np.arange(len(rows)), size)
-    step = ranges(np.zeros(len(rows), dtype=np.int64), size)
-    grid[step, lanes] = symbols[first[lanes] + step]
+    offset = ranges(np.zeros(len(rows), dtype=np.int64), size)
+    grid[offset, lanes] = symbols[first[lanes] + offset]
     live = np.searchsorted(-size, -np.arange(len(grid)), "left")  # lanes longer than the step
     keyed = (grid >= width).any(axis=1)
+    states, ended = np.zeros_like(grid), np.zeros_like(grid)
+    at_end = (size - 1, np.arange(len(rows)))
     for k, table in enumerate(tables):
-        table = Automaton(table, width, np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int32)) if isinstance(table, np.ndarray) else table
-        flat, root = table.dense.reshape(-1), table.dense[0]
-        state, phrases = np.zeros(len(rows), dtype=np.int32), np.zeros(len(rows), dtype=np.int32)
+        step = _stepper(Automaton(table, width, np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int32)) if isinstance(table, np.ndarray) else table, width)
+        state = np.zeros(len(rows), dtype=np.int32)
         for t in range(len(grid)):
             n = live[t]
-            symbol, own = grid[t, :n], state[:n]
-            near = np.minimum(symbol, width - 1) if keyed[t] else symbol
-            following = flat[own.astype(np.int64) * width + near]
-            if keyed[t]:
-                rare = np.flatnonzero(symbol >= width)
-                following[rare] = _followed(table, own[rare], symbol[rare])
-            failed = np.flatnonzero(following < 0)
-            again = root[near[failed]]
-            if keyed[t]:
-                rare = np.flatnonzero(symbol[failed] >= width)
-                again[rare] = _followed(table, np.zeros(len(rare), dtype=np.int64), symbol[failed[rare]])
-            phrases[failed] += (own[failed] > 0).astype(np.int32) + (again < 0)
-            following[failed] = np.maximum(again, 0)
-            state[:n] = following
-        phrases += state > 0
-        found[:, k] = np.bincount(rows, weights=phrases, minlength=len(counts)).astype(np.int64)
+            state[:n], ended[t, :n] = step(state[:n], grid[t, :n], keyed[t])
+            states[t, :n] = state[:n]
+        entered = np.zeros(len(rows), dtype=np.int32)
+        while True:
+            left = np.where(before >= 0, states[at_end][before], 0)
+            again = np.flatnonzero(left != entered)
+            if not len(again):
+                break
+            entered[again] = left[again]
+            state = left[again]
+            for t in range(len(grid)):
+                inside = size[again] > t
+                again, state = again[inside], state[inside]
+                state, done = step(state, grid[t, again], keyed[t])
+                met = state == states[t, again]
+                states[t, again], ended[t, again] = state, done
+                again, state = again[~met], state[~met]
+                if not len(again):
+                    break
+        made = np.where(np.arange(len(grid))[:, None] < size, ended, 0).sum(axis=0, dtype=np.int64) + (last & (states[at_end] > 0))
+        found[:, k] = np.bincount(rows, weights=made, minlength=len(counts)).astype(np.int64)
     return found
 
 
@@ -204,8 +238,8 @@ def identify_language(puzzles: DataFrame, samples: dict[str, str], text: str = "
     length, per character). ``score`` is the winner's share of the inverse normalised phrases, between 0 and 1; ``phrases`` the winner's
     number. Ties go to the first language in alphabetical order.
 
-    Null texts, texts without letters and an empty ``samples`` give ``und`` with score 0; texts of any length are parsed to their end, in lanes of
-    ``lane`` characters whose ends also end a phrase; repeated rows are answered one by one; an empty table gives an empty result.
+    Null texts, texts without letters and an empty ``samples`` give ``und`` with score 0; texts of any length are parsed to their end without a
+    break (``lane`` only sets how many characters of a text are parsed side by side); repeated rows are answered one by one; an empty table gives an empty result.
     """
     held = puzzles.sparkSession.sparkContext.broadcast(samples)
 

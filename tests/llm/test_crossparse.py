@@ -26,9 +26,21 @@ def test_parse_equals_the_naive_parse():
     symbol = {c: i for i, c in enumerate(sorted(set(sample)))}
     table = crossparse.suffix_automaton([symbol[c] for c in sample], len(symbol) + 1)
     codes = np.array([symbol.get(c, len(symbol)) for c in "".join(texts)])
-    for lane in (7, 400):
+    for lane in (1, 2, 7, 400):
         got = crossparse.phrase_counts(codes, np.array([len(t) for t in texts]), [table], len(symbol) + 1, lane)[:, 0]
-        assert got.tolist() == [sum(naive(t[i:i + lane], sample) for i in range(0, len(t), lane)) for t in texts]
+        assert got.tolist() == [naive(t, sample) for t in texts]
+
+
+def test_a_long_text_is_parsed_without_a_break():
+    """Matches cross the ends of many lanes: the sample itself is one phrase, pieces of it a few long ones."""
+    rng = random.Random(12)
+    sample = "".join(rng.choice("ab") for _ in range(3000))
+    texts = [sample, sample[5:2900] + "c" + sample[:2000], "".join(sample[i:i + rng.randint(1, 900)] for i in rng.sample(range(3000), 9)), "", "c"]
+    table, symbol = crossparse.suffix_automaton(["ab".index(c) for c in sample], 3), {"a": 0, "b": 1, "c": 2}
+    codes = np.array([symbol[c] for c in "".join(texts)])
+    for lane in (3, 50, 400):
+        got = crossparse.phrase_counts(codes, np.array([len(t) for t in texts]), [table], 3, lane)[:, 0]
+        assert got.tolist() == [naive(t, sample) for t in texts]
 
 
 def test_characters():
