@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from assayer.functions.markers import COMMON_WORDS
 from assayer.functions.text import route_type
 from assayer.operators.joins import first_per_key
+from assayer.session import scratch_path
+from assayer.sources.splits import csv_records, json_elements
 
 CHAT_SCHEMA = T.StructType([
     T.StructField("messages", T.ArrayType(T.StructType([T.StructField("role", T.StringType()), T.StructField("content", T.StringType())]))),
@@ -19,10 +21,13 @@ CHAT_SCHEMA = T.StructType([
 
 
 def read_puzzles(spark: SparkSession, path: str, first_per_answer: bool = False) -> DataFrame:
-    """Quoted multi-line CSV of ``id, prompt, answer`` with the routed type; optionally the first row per (type, answer)."""
-    rows = (spark.read.schema("id string, prompt string, answer string").option("header", True).option("multiLine", True)
-            .option("quote", '"').option("escape", '"').csv(path))
-    typed = rows.withColumn("type", route_type(F.col("prompt")))
+    """Quoted multi-line CSV of ``id, prompt, answer`` with the routed type; optionally the first row per (type, answer).
+
+    Files have a header line. One file is read by several tasks (``splits.csv_records``); blank records are skipped.
+    """
+    records = csv_records(spark, path).where((F.col("start") > 0) | (F.col("at") > 0)).where(F.trim("text") != "")
+    cells = F.from_csv("text", F.lit("id string, prompt string, answer string"), {"quote": '"', "escape": '"', "multiLine": "true", "maxCharsPerColumn": "-1"})
+    typed = records.select(cells.alias("row")).select("row.*").withColumn("type", route_type(F.col("prompt")))
     return first_per_key(typed, ["type", "answer"], "id") if first_per_answer else typed
 
 
@@ -46,15 +51,14 @@ def write_chats(rows: DataFrame, clean: str, full: str) -> None:
 
 
 def read_dump(spark: SparkSession, path: str) -> DataFrame:
-    """Evaluation dump as rows: documents with ``rows`` (wrapped) and bare lists of row objects, also mixed in one folder."""
-    frame = spark.read.option("multiLine", True).json(path)
-    if "rows" not in frame.columns:
-        return frame
-    wrapped = frame.where(F.col("rows").isNotNull()).select(F.inline("rows"))
-    plain = [c for c in frame.columns if c not in ("rows", "meta")]
-    if not plain:
-        return wrapped
-    return wrapped.unionByName(frame.where(F.col("rows").isNull() & F.coalesce(*[F.col(c).cast("string") for c in plain]).isNotNull()).select(*plain), allowMissingColumns=True)
+    """Evaluation dump as rows: documents with ``rows`` (wrapped) and bare lists of row objects, also mixed in one folder, a document a file.
+
+    One document is read by several tasks (``splits.json_elements``); its rows are kept as JSON lines in the shared folder, from which
+    Spark infers their columns.
+    """
+    lines = scratch_path(spark, "dump-rows")
+    json_elements(spark, path).select("text").write.text(lines)
+    return spark.read.json(lines)
 
 
 def append_history(summary: DataFrame, path: str) -> None:
