@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from assayer.functions.text import words
 from assayer.operators.components import bucket_classes
+from assayer.operators.crosspolytope import classes_of
 from assayer.session import cut_lineage
 
 # Documented parameters.
@@ -96,54 +97,27 @@ def fuzzy_dedup(docs: DataFrame, threshold: float = JACCARD, shingle: int = 3, c
     return named.select("doc_id", F.coalesce("component", "keeper").alias("cluster"))
 
 
-def cosine(a: Column, b: Column) -> Column:
-    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda acc, v: acc + v)
-    return dot(a, b) / F.nullif(F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)), F.lit(0.0))
+def unit_vectors(vectors: DataFrame, id: str, vector: str) -> DataFrame:
+    """``id, v``: vectors of length one in double precision, scaled by their largest component first; null and zero vectors, and those
+    with a null, infinite or undefined component, are left out."""
+    wide = F.transform(vector, lambda x: x.cast("double"))
+    most = F.array_max(F.transform("v", lambda x: F.abs(x)))
+    sound = vectors.select(F.col(id).alias("id"), wide.alias("v")).where(~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))))
+    scaled = sound.withColumn("most", most).where("most > 0").select("id", F.transform("v", lambda x: x / F.col("most")).alias("v"))
+    length = F.sqrt(F.aggregate("v", F.lit(0.0), lambda acc, x: acc + x * x))
+    return scaled.withColumn("length", length).select("id", F.transform("v", lambda x: x / F.col("length")).alias("v"))
 
 
-def sign_buckets(seed: int, bands: int, bits: int):
-    """Arrow function from a vector to one bucket per band: the signs of seeded random projections."""
+def semantic_dedup(vectors: DataFrame, threshold: float = COSINE, recall: float = RECALL) -> DataFrame:
+    """``vec_id, cluster``: classes of vectors linked by a cosine of at least ``threshold``, the lowest id naming each.
 
-    @F.pandas_udf("array<bigint>")
-    def buckets(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        import numpy as np
-
-        planes = None
-        for batch in batches:
-            vectors = np.vstack([np.asarray(v, dtype=np.float64) for v in batch]) if len(batch) else np.zeros((0, 1))
-            if planes is None:
-                planes = np.random.default_rng(seed).standard_normal((vectors.shape[1], bands * bits))
-            signs = (vectors @ planes > 0).reshape(len(vectors), bands, bits)
-            codes = (signs * (np.int64(1) << np.arange(bits, dtype=np.int64))).sum(axis=2)
-            yield pd.Series([list(map(int, code * bands + np.arange(bands))) for code in codes])
-
-    return buckets
-
-
-def bands_for(recall: float, threshold: float, bits: int) -> int:
-    """Bands of ``bits`` signs in which a pair at the threshold agrees at least once with probability ``recall``."""
-    agree = (1 - math.acos(threshold) / math.pi) ** bits
-    return math.ceil(math.log(1 - recall) / math.log(1 - agree))
-
-
-def semantic_dedup(vectors: DataFrame, threshold: float = COSINE, recall: float = RECALL, bits: int = 14, seed: int = 7) -> DataFrame:
-    """``vec_id, cluster``: similar vectors by sign buckets, exact cosine checks and connected components.
-
-    ``recall`` is the probability that a pair at the threshold meets; the number of bands follows from it and from the
-    ``bits`` of a bucket, never from the row count, so results do not get less complete as the table grows. More bits
-    make smaller buckets and more bands. Equal vectors collapse first; links are always checked exactly.
+    Equal vectors collapse first. The others meet in the buckets of hash tables whose number and hash length follow the number of vectors
+    (``crosspolytope.classes_of``); ``recall`` is the probability that a pair at the threshold meets. Vectors without a direction stay alone.
     """
     digest = F.xxhash64("embedding")
     keepers = vectors.groupBy(digest.alias("digest"), "embedding").agg(F.min("vec_id").alias("keeper"))
-    mapping = vectors.select("vec_id", digest.alias("digest"), "embedding").join(keepers, ["digest", "embedding"]).select("vec_id", "keeper")
-    distinct = cut_lineage(keepers.select(F.col("keeper").alias("id"), "embedding"))
-    entries = distinct.select("id", F.explode(sign_buckets(seed, bands_for(recall, threshold, bits), bits)("embedding")).alias("bucket"))
-
-    def verify(pairs: DataFrame) -> DataFrame:
-        mine, theirs = distinct.select("id", F.col("embedding").alias("u")), distinct.select(F.col("id").alias("leader"), F.col("embedding").alias("v"))
-        joined = pairs.join(mine, "id").join(theirs, "leader")
-        return joined.where(cosine(F.col("u"), F.col("v")) >= threshold).select("id", "leader")
-
-    clusters = bucket_classes(entries, verify)
+    same = (F.col("d") == F.col("digest")) & F.col("e").eqNullSafe(F.col("embedding"))
+    mapping = vectors.select("vec_id", digest.alias("d"), F.col("embedding").alias("e")).join(keepers, same).select("vec_id", F.when(F.col("e").isNull(), F.col("vec_id")).otherwise(F.col("keeper")).alias("keeper"))
+    clusters = classes_of(unit_vectors(keepers, "keeper", "embedding"), threshold, recall)
     named = mapping.join(clusters.select(F.col("id").alias("keeper"), "component"), "keeper", "left")
     return named.select("vec_id", F.coalesce("component", "keeper").alias("cluster"))

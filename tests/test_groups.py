@@ -97,12 +97,6 @@ def test_fuzzy_dedup_chain_unlike_members_and_wordless_texts(spark):
     assert [got[k] for k in range(900, 905)] == [900, 901, 900, 903, 903]
 
 
-def test_recall_does_not_depend_on_bits():
-    for bits in (8, 14, 24):
-        bands = dedup.bands_for(0.999, 0.85, bits)
-        assert 0.999 <= 1 - (1 - (1 - math.acos(0.85) / math.pi) ** bits) ** bands < 0.9999
-
-
 def test_nested_benchmark_item_is_found(spark):
     from assayer.operators import contamination
     outer = " ".join(f"w{i}" for i in range(60))
