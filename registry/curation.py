@@ -5,7 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import functions as F
 
-from assayer.operators import classifiers as C, contamination as N, dedup as U, filters as X, redaction as R
+from assayer.operators import classifiers as C, contamination as N, dedup as U, filters as X, phrases as H, redaction as R
 from assayer.plans import curation as Q, derive as D
 from registry import parts as P
 
@@ -223,6 +223,30 @@ def template_leakage(spark, sf):
     return X.template_leakage(docs(spark, sf)).select(F.md5("line").alias("line"), "documents")
 
 
+# Frequent phrases grow word by word: the places of the phrases of n words, kept where enough documents share them.
+_PHRASES = """with recursive lists as materialized (select doc_id, regexp_extract_all(text, '[^ \\t\\n\\x0B\\f\\r]+') as ws from documents),
+  w as materialized (select doc_id, unnest(range(1, len(ws) + 1)) as p, unnest(ws) as word from lists),
+  least as (select greatest(2, ceil(0.01::double * count(*) - 1e-9::double)) as least from documents),
+  base as (select a.doc_id, a.p, md5_number_lower(a.word || ' ' || b.word || ' ' || c.word) as id from w a join w b on b.doc_id = a.doc_id and b.p = a.p + 1 join w c on c.doc_id = a.doc_id and c.p = a.p + 2),
+  base_n as (select id, count(distinct doc_id) as documents from base group by 1 having documents >= (select least from least)),
+  grown(n, doc_id, p, id, documents) as (
+    select 3, doc_id, p, id, documents from base join base_n using (id)
+    union all
+    select n, doc_id, p, id, documents from (select *, sum(fresh) over (partition by id) as documents from (
+      select *, case when row_number() over (partition by id, doc_id order by p) = 1 then 1 else 0 end as fresh from (
+        select a.n + 1 as n, a.doc_id, a.p, md5_number_lower(a.id::varchar || w.word) as id
+        from grown a join grown b on a.doc_id = b.doc_id and b.p = a.p + 1 join w on w.doc_id = a.doc_id and w.p = a.p + a.n) d) e) f where documents >= (select least from least)),
+  stays as (select n, doc_id, p, id, documents from grown),
+  inner_ones as (select distinct s.id from stays s join stays t on t.doc_id = s.doc_id and t.n = s.n + 1 and t.p in (s.p, s.p - 1)),
+  firsts as (select id, any_value(n) as n, min(struct_pack(doc_id := doc_id, p := p)) as spot, any_value(documents) as documents from stays anti join inner_ones using (id) group by 1)
+  select md5(array_to_string(list_slice(ws, spot.p, spot.p + n - 1), ' ')) as phrase, n as words, cast(documents as bigint) as documents from firsts join lists on lists.doc_id = spot.doc_id"""
+
+
+@register("phrase_leakage", _PHRASES)
+def phrase_leakage(spark, sf):
+    return H.phrase_leakage(docs(spark, sf)).select(F.md5("phrase").alias("phrase"), "words", "documents")
+
+
 @register("regeneration_diff", """with o as (select doc_id, md5(text) as before from documents where doc_id % 19 <> 3), n as (select case when doc_id % 50 = 9 then doc_id + 1000000000 else doc_id end as doc_id,
   md5(case when doc_id % 3 = 0 then text || '.' else text end) as after from documents where doc_id % 23 <> 4),
   b as (select * from o full join n using (doc_id)), c as (select count(*) as total, count(*) filter (where before is null) as added, count(*) filter (where after is null) as removed, count(*) filter (where before <> after) as changed from b)
