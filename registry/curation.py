@@ -5,7 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import functions as F
 
-from assayer.operators import classifiers as C, contamination as N, dedup as U, filters as X, phrases as H, redaction as R
+from assayer.operators import classifiers as C, contamination as N, dedup as U, filters as X, phrases as H, redaction as R, sensitive as S
 from assayer.plans import curation as Q, derive as D
 from registry import parts as P
 
@@ -147,6 +147,48 @@ def pii_redact(spark, sf):
     return frame.select("doc_id", *[F.col(n.lower()).cast("bigint").alias(n.lower()) for n in R.ENTITIES], F.md5("text").alias("digest"))
 
 
+_LUHN = """(regexp_matches(d, '^[2-6]') and length(d) between 13 and 19
+  and list_sum(list_transform(range(1, length(d) + 1), lambda i: case when i % 2 = 1 then cast(d[length(d) - i + 1] as int) else cast(d[length(d) - i + 1] as int) * 2 - case when d[length(d) - i + 1] > '4' then 9 else 0 end end)) % 10 = 0)"""
+_IBAN = """(length(d) between 15 and 34 and list_reduce(list_prepend(0::bigint, list_transform(range(1, length(d) + 1), lambda i: ascii((d[5:] || d[:4])[i])::bigint)),
+  lambda a, c: case when c < 65 then (a * 10 + c - 48) % 97 else (a * 100 + c - 55) % 97 end) = 1)"""
+_SECRET = f"""(regexp_matches(d, '[0-9]') and regexp_matches(d, '[A-Za-z]') and round(list_sum(list_transform(list_distinct(string_split(d, '')), lambda c:
+  -(length(d) - length(replace(d, c, ''))) / length(d)::double * log2((length(d) - length(replace(d, c, ''))) / length(d)::double))), 9) >= {S.ENTROPY}::double)"""
+
+
+def _checked_sql(spans: bool) -> str:
+    """Runs with their numbers and the text before each; those that pass the check are tagged, in the order of the entities."""
+    checks = {"SECRET": (_SECRET, "m"), "IBAN_CODE": (_IBAN, "replace(m, ' ', '')"), "CREDIT_CARD": (_LUHN, "regexp_replace(m, '[^0-9]', '', 'g')")}
+    steps, last, tables = [], "documents", []
+    for name, pattern in S.PATTERNS.items():
+        key, (check, digits) = name.lower(), checks[name]
+        source = "documents" if spans else last
+        steps.append(f"""{key}_runs as materialized (select doc_id, i, before, m, coalesce({check}, false) as hit from (select *, {digits} as d from (select doc_id, unnest(range(1, len(b) + 1)) as i, unnest(b) as before, unnest(list_append(ms, null)) as m
+  from (select doc_id, string_split_regex(text, {P.q(pattern)}) as b, regexp_extract_all(text, {P.q(pattern)}) as ms from {source} where text is not null) t) u) v)""")
+        if spans:
+            steps.append(f"""{key}_spans as (select doc_id, '{name}' as entity, cast(upto - length(m) as int) as start, cast(upto as int) as "end" from (
+  select *, sum(length(before) + coalesce(length(m), 0)) over (partition by doc_id order by i) as upto from {key}_runs) r where hit)""")
+            tables.append(f"select * from {key}_spans")
+        else:
+            steps.append(f"""{key}_done as materialized (select doc_id, count(*) filter (where hit) as {key}, string_agg(before || case when hit then '<{name}>' else coalesce(m, '') end, '' order by i) as text from {key}_runs group by 1)""")
+            last = f"{key}_done"
+    if spans:
+        return f"with {', '.join(steps)} {' union all '.join(tables)}"
+    names = [n.lower() for n in S.PATTERNS]
+    joins = " ".join(f"left join {n}_done on {n}_done.doc_id = d.doc_id" for n in names)
+    return f"with {', '.join(steps)} select d.doc_id, {', '.join(f'coalesce({n}, 0) as {n}' for n in names)}, md5({last}.text) as digest from documents d {joins}"
+
+
+@register("checked_redaction", _checked_sql(False))
+def checked_redaction(spark, sf):
+    found = S.checked_redact(docs(spark, sf))
+    return found.select("doc_id", *[n.lower() for n in S.PATTERNS], F.md5("text").alias("digest"))
+
+
+@register("sensitive_spans", _checked_sql(True))
+def sensitive_spans(spark, sf):
+    return S.sensitive_spans(docs(spark, sf))
+
+
 def _scored_sql(label: str) -> str:
     return f"""with listed as materialized (select doc_id, list_distinct(regexp_extract_all(lower(coalesce(text, '')), {P.q(C.TOKENS)})) as words from documents),
   known as (select doc_id, {label} as y from labels where {label} is not null), totals as (select count(*) filter (where y = 1) as n1, count(*) filter (where y = 0) as n0 from documents join known using (doc_id)),
