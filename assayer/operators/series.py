@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from assayer.operators.neighbours import nearest_points
 from assayer.operators.quantiles import exact_median
 
 
@@ -109,46 +110,12 @@ def run_trajectory(history: DataFrame, types: list[str]) -> DataFrame:
     return per_run.withColumn("change", F.col("acc") - F.lag("acc").over(order))
 
 
-LEVELS = 20
-
-
 def idw_neighbours(targets: DataFrame, known: DataFrame, k: int, power: float = 2.0) -> DataFrame:
-    """Inverse-distance estimate from the ``k`` nearest known points, exact and without pairing dense areas.
+    """``target_id, estimate, neighbours``: inverse-distance estimate from the ``k`` nearest known points, exact (``neighbours.nearest_points``).
 
-    ``targets``: ``target_id, x, y``; ``known``: ``point_id, x, y, value``. The plane is covered by grids whose cell halves
-    per level. Counts per cell pick, for each target, the finest level whose 3 x 3 block still holds ``k`` points: the
-    k-th neighbour is then within three cell sides, so the block two levels coarser (cells four times as wide) contains
-    all neighbours. Points on one spot beyond the k lowest ids can never be needed and leave first.
+    ``targets``: ``target_id, x, y``; ``known``: ``point_id, x, y, value``. Targets on one place are answered once.
     """
-    spot = Window.partitionBy("x", "y").orderBy("point_id")
-    known = known.withColumn("_r", F.row_number().over(spot)).where(F.col("_r") <= k).drop("_r")
-    bounds = known.agg(F.min("x").alias("x0"), F.min("y").alias("y0"), F.greatest(F.max("x") - F.min("x"), F.max("y") - F.min("y"), F.lit(1e-9)).alias("side"))
-    low_x, low_y, side = bounds.first()
-    cell = lambda column, low, level: F.floor((F.col(column) - low) / (F.lit(side) / F.pow(F.lit(2.0), level)))
-    spots = targets.select("x", "y").distinct()
-    # Cells per level and their 3 x 3 sums: every known point adds itself to nine blocks on each level.
-    offsets = F.array(*[F.struct(F.lit(i).alias("dx"), F.lit(j).alias("dy")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
-    levelled = known.select("x", "y", F.explode(F.sequence(F.lit(0), F.lit(LEVELS))).alias("level"))
-    cells = levelled.groupBy("level", cell("x", low_x, F.col("level")).alias("cx"), cell("y", low_y, F.col("level")).alias("cy")).agg(F.count("*").alias("n"))
-    blocks = cells.select("level", "cx", "cy", "n", F.inline(offsets)).groupBy("level", (F.col("cx") + F.col("dx")).alias("cx"), (F.col("cy") + F.col("dy")).alias("cy")).agg(F.sum("n").alias("n"))
-    enough = blocks.where(F.col("n") >= k).select("level", "cx", "cy")
-    asked = spots.select("x", "y", F.explode(F.sequence(F.lit(0), F.lit(LEVELS))).alias("level")).select(
-        "x", "y", "level", cell("x", low_x, F.col("level")).alias("cx"), cell("y", low_y, F.col("level")).alias("cy"))
-    # A target without such a block (few points, or far outside) looks at everything: level -4 is one cell around it all.
-    finest = asked.join(enough, ["level", "cx", "cy"]).groupBy("x", "y").agg(F.max("level").alias("level"))
-    chosen = spots.join(finest, ["x", "y"], "left").select(F.col("x").alias("tx"), F.col("y").alias("ty"), F.coalesce(F.col("level") - 2, F.lit(-99)).alias("level"))
-    size = F.lit(side) / F.pow(F.lit(2.0), F.col("level"))
-    near = chosen.where(F.col("level") > -99).select("tx", "ty", "level", F.floor((F.col("tx") - low_x) / size).alias("bx"), F.floor((F.col("ty") - low_y) / size).alias("by"), F.inline(offsets)).select(
-        "tx", "ty", "level", (F.col("bx") + F.col("dx")).alias("cx"), (F.col("by") + F.col("dy")).alias("cy"))
-    wide = chosen.where(F.col("level") == -99).select("tx", "ty", "level", F.lit(0).cast("bigint").alias("cx"), F.lit(0).cast("bigint").alias("cy"))
-    levels = F.sequence(F.lit(-2), F.lit(LEVELS - 2))
-    placed = known.select("point_id", "x", "y", "value", F.explode(F.concat(levels, F.array(F.lit(-99)))).alias("level"))
-    at = lambda column, low: F.when(F.col("level") == -99, F.lit(0)).otherwise(F.floor((F.col(column) - low) / size)).cast("bigint")
-    placed = placed.select("point_id", "x", "y", "value", "level", at("x", low_x).alias("cx"), at("y", low_y).alias("cy"))
-    pairs = near.unionByName(wide).join(placed, ["level", "cx", "cy"])
-    distance = F.sqrt(F.pow(F.col("tx") - F.col("x"), 2) + F.pow(F.col("ty") - F.col("y"), 2))
-    order = Window.partitionBy("tx", "ty").orderBy("distance", "point_id")
-    best = pairs.withColumn("distance", distance).withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= k)
+    best = nearest_points(targets.select("x", "y"), known, k)
     w = 1 / F.pow(F.greatest(F.col("distance"), F.lit(1e-9)), power)
     estimates = best.groupBy("tx", "ty").agg((F.sum(w * F.col("value")) / F.sum(w)).alias("estimate"), F.count("*").alias("neighbours"))
     return targets.join(estimates, (F.col("x") == F.col("tx")) & (F.col("y") == F.col("ty"))).select("target_id", "estimate", "neighbours")
