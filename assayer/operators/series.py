@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from assayer.operators.neighbours import nearest_points
-from assayer.operators.quantiles import exact_median
+from assayer.operators.quantiles import exact_median, rank_in_order
+from assayer.session import cut_lineage
 
 
 def known_tail(points: DataFrame) -> DataFrame:
@@ -97,6 +98,43 @@ def group_fold(key: Column, k: int) -> Column:
     return (F.conv(F.substring(F.md5(key.cast("string")), 1, 8), 16, 10).cast("bigint") % k).cast("int")
 
 
+def folds_of_classes(classes: list[tuple[int, int]], k: int) -> dict[int, list[int]]:
+    """Groups of each size that every fold gets when groups go, largest first, to the fold with the fewest rows (the first of equals).
+
+    ``classes``: size and number of groups. The ``m`` groups of a size take the ``m`` lowest of the loads that the folds pass through, so a
+    class is dealt at once.
+    """
+    loads, out = [0] * k, {}
+    for size, count in sorted(classes, reverse=True):
+        low, high = 0, max(loads) + size * count
+        taken = lambda upto: [max(0, (upto - load) // size + 1) if upto >= load else 0 for load in loads]  # noqa: B023,E731
+        while low < high:  # the highest load below which no more than all groups go
+            middle = (low + high + 1) // 2
+            low, high = (middle, high) if sum(taken(middle)) <= count else (low, middle - 1)
+        given = taken(low) if sum(taken(low)) <= count else [0] * k
+        rest = sorted((loads[f] + given[f] * size, f) for f in range(k))[:count - sum(given)]
+        for _, f in rest:
+            given[f] += 1
+        loads = [load + g * size for load, g in zip(loads, given)]
+        out[size] = given
+    return out
+
+
+def balanced_folds(rows: DataFrame, group: str, k: int) -> DataFrame:
+    """``group, n, fold``: every group in one of ``k`` folds of nearly equal numbers of rows, none above another by more than the largest group.
+
+    Largest groups go first to the fold with the fewest rows. Only the number of groups of each size, of which n rows have at most the root of
+    2 n, is dealt out on the driver; groups of one size are then told apart by the order of their md5, ranked in parts.
+    """
+    counted = cut_lineage(rows.groupBy(group).agg(F.count("*").alias("n")))
+    sizes = counted.groupBy("n").agg(F.count("*").alias("groups"))
+    dealt = folds_of_classes([(r.n, r.groups) for r in sizes.collect()], k)
+    ends = [(size, fold, sum(given[:fold]), sum(given[:fold + 1])) for size, given in dealt.items() for fold in range(k) if given[fold]]
+    table = rows.sparkSession.createDataFrame(ends, "size bigint, fold int, low bigint, high bigint")
+    ranked = rank_in_order(counted, F.col("n"), F.md5(F.coalesce(F.col(group).cast("string"), F.lit(""))), group=["n"])
+    return ranked.join(table, (F.col("n") == F.col("size")) & (F.col("rank") > F.col("low")) & (F.col("rank") <= F.col("high"))).select(group, "n", "fold")
+
+
 def run_trajectory(history: DataFrame, types: list[str]) -> DataFrame:
     """One line per run in time order: a cell per type ('-' without samples), total accuracy and change to the run before.
 

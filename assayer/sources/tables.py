@@ -61,11 +61,6 @@ def read_dump(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.json(lines)
 
 
-def append_history(summary: DataFrame, path: str) -> None:
-    """Append run summaries, partitioned by ``run_date``."""
-    summary.write.mode("append").partitionBy("run_date").parquet(path)
-
-
 def summarise_run(rows: DataFrame, run: str, run_date: str, external_score: float | None = None) -> DataFrame:
     """One history line of a run: totals and a map of per-type counters. ``rows``: ``type, ok``."""
     per_type = rows.groupBy("type").agg(F.count("*").alias("n"), F.count_if("ok").alias("correct"))

@@ -5,8 +5,9 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import functions as F
 
-from assayer.operators import classifiers as C, contamination as N, dedup as U, filters as X, phrases as H, redaction as R, sensitive as S
+from assayer.operators import classifiers as C, contamination as N, dedup as U, filters as X, logistic as L, phrases as H, redaction as R, sensitive as S
 from assayer.plans import curation as Q, derive as D
+from assayer.session import scratch_path
 from registry import parts as P
 
 QUERIES: dict = {}
@@ -209,6 +210,25 @@ def toxicity_filter(spark, sf):
     return C.toxicity_filter(docs(spark, sf), D.read(spark, sf, "labels")).select("doc_id", F.round("score", 4).alias("score"))
 
 
+def _fitted(spark, sf, label):
+    """Scores by a model fitted on four fifths of the labels, stored as a version in the shared folder and loaded again."""
+    known, rows = D.read(spark, sf, "labels"), docs(spark, sf)
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    path = scratch_path(spark, f"model-{label}")
+    L.save_model(spark, L.fit_text_model(rows, known.where(~held_out), label), path)
+    return L.score_text(rows, L.load_model(spark, path)).select("doc_id", held_out.alias("held_out"), "score")
+
+
+@register("quality_model")
+def quality_model(spark, sf):
+    return _fitted(spark, sf, "quality")
+
+
+@register("toxicity_model")
+def toxicity_model(spark, sf):
+    return _fitted(spark, sf, "toxic")
+
+
 _LIM = Q.LIMITS
 def _staged_sql(languages: list[str], start: str = "with") -> str:
     return f"""{start} {_MEASURED}, {_language_sql()}, ruled as (select doc_id, md5(text) as digest, case when n_words < {_LIM['min_words']} or n_words > {_LIM['max_words']} then 'word_count'

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from assayer.operators import series as S
+from assayer.operators import groups as G, series as S
 from assayer.plans import derive as D
 from registry import parts as P
 from registry.runs import _LABELLED, labelled
@@ -95,6 +95,38 @@ def group_kfold(spark, sf):
     return counted.select("user_id", S.group_fold(F.col("user_id"), 5).alias("fold"), "n")
 
 
+@register("balanced_folds", """with recursive g as (select user_id, count(*) as n, md5(cast(user_id as varchar)) as h from events group by 1), o as materialized (select *, row_number() over (order by n desc, h) as i from g),
+  dealt(i, a, b, c, d, e, n, fold) as (select 0::bigint, 0::bigint, 0::bigint, 0::bigint, 0::bigint, 0::bigint, 0::bigint, -1 union all
+    select i, a + case when fold = 0 then n else 0 end, b + case when fold = 1 then n else 0 end, c + case when fold = 2 then n else 0 end, d + case when fold = 3 then n else 0 end, e + case when fold = 4 then n else 0 end, n, fold from (
+      select o.i, a, b, c, d, e, o.n, list_position([a, b, c, d, e], least(a, b, c, d, e)) - 1 as fold from dealt join o on o.i = dealt.i + 1) t),
+  shares as (select n, fold, count(*) as groups from dealt where fold >= 0 group by 1, 2), ends as (select *, sum(groups) over (partition by n order by fold) as high from shares),
+  ranked as (select user_id, n, row_number() over (partition by n order by h) as r from g) select user_id, ranked.n, cast(fold as int) as fold from ranked join ends on ends.n = ranked.n and r > high - groups and r <= high""")
+def balanced_folds(spark, sf):
+    return S.balanced_folds(D.read(spark, sf, "events"), "user_id", 5)
+
+
+# A third of all events belong to one group.
+@register("map_groups", """with e as (select case when event_id % 3 = 0 then 'hot' else concat(event_type, user_id % 50) end as key, value from events)
+  select key, count(*) as n, round(avg(value), 3) as mean, round(var_pop(value), 3) as variance, round(max(value), 3) as most from e group by 1""")
+def map_groups(spark, sf):
+    """Mean and variance of every group by merged moments."""
+    def partial(rows):
+        values = rows.column("value").to_numpy()
+        return {"n": len(values), "mean": float(values.mean()), "squares": float(((values - values.mean()) ** 2).sum()), "most": float(values.max())}
+
+    def merge(a, b):
+        n, gap = a["n"] + b["n"], b["mean"] - a["mean"]
+        return {"n": n, "mean": a["mean"] + gap * b["n"] / n, "squares": a["squares"] + b["squares"] + gap * gap * a["n"] * b["n"] / n, "most": max(a["most"], b["most"])}
+
+    def finish(s):
+        return {"n": s["n"], "mean": s["mean"], "variance": s["squares"] / s["n"], "most": s["most"]}
+
+    key = F.when(F.col("event_id") % 3 == 0, "hot").otherwise(F.concat("event_type", (F.col("user_id") % 50).cast("string")))
+    rows = D.read(spark, sf, "events").select(key.alias("key"), "value")
+    found = G.map_groups(rows, ["key"], partial, merge, finish, "n bigint, mean double, squares double, most double", "n bigint, mean double, variance double, most double")
+    return found.select("key", "n", *[F.round(c, 3).alias(c) for c in ("mean", "variance", "most")])
+
+
 _HISTORY = """select concat('run', event_id % 12) as run, event_id as started, event_type as type, case when value > 20 then 1 else 0 end as correct, 1 as n from {events} where not (event_id % 12 = 5 and event_type = 'click')"""
 _CELLS = ["click", "error", "purchase", "view"]
 

@@ -8,7 +8,7 @@ from assayer.functions.text import make_chat, message
 from assayer.operators.evaluation import accuracy_by
 from assayer.plans import derive as D
 from assayer.session import scratch_path
-from assayer.sources import tables as T
+from assayer.sources import history as H, tables as T
 from assayer.streaming import incremental as I
 from registry import parts as P
 from registry.runs import _LABELLED, labelled
@@ -83,9 +83,10 @@ def write_chats(spark, sf):
   (select count(*) from ev e where e.run = ev.run) as n_samples from ev group by run, type""")
 def append_history(spark, sf):
     rows, path = long_eval(spark, sf).select("run", "type", "ok"), scratch_path(spark, "history")
-    for run, day in (("a", "2024-01-01"), ("b", "2024-01-02")):
-        T.append_history(T.summarise_run(rows.where(F.col("run") == run), run, day), path)
-    stored = spark.read.parquet(path).select("run", F.col("run_date").cast("string").alias("run_date"), "n_samples", F.explode("per_type").alias("type", "cell"))
+    # Run b is appended twice, as after a lost answer.
+    for run, day in (("a", "2024-01-01"), ("b", "2024-01-02"), ("b", "2024-01-02")):
+        H.append_history(T.summarise_run(rows.where(F.col("run") == run), run, day), path)
+    stored = H.read_history(spark, path).select("run", F.col("run_date").cast("string").alias("run_date"), "n_samples", F.explode("per_type").alias("type", "cell"))
     return stored.select("run", "run_date", "type", "cell.n", "cell.correct", "n_samples")
 
 
