@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import functools
+import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Observation, functions as F
 
 from assayer.operators import filters
+from assayer.operators.classifiers import word_scores
 from assayer.operators.dedup import fuzzy_dedup
 from assayer.operators.redaction import redact
+from assayer.session import cut_lineage
 
 STAGES = ["word_count", "repeated_lines", "symbol_ratio", "url_ratio", "language", "exact_copy", "kept"]
 # Limits of the documented web-scrape example.
@@ -40,3 +44,34 @@ def curated(docs: DataFrame, languages: Sequence[str], fuzzy: bool = True) -> Da
         clusters = fuzzy_dedup(kept)
         kept = kept.join(clusters.where(F.col("doc_id") == F.col("cluster")).select("doc_id"), "doc_id", "left_semi")
     return kept.withColumn("text", redact(F.col("text"))[0])
+
+
+FUNNEL = [*STAGES[:-1], "near_copy", "toxic", "kept", "redacted"]
+
+
+def curate(docs: DataFrame, labels: DataFrame, languages: Sequence[str], path: str, toxic: float = 0.8) -> DataFrame:
+    """Curate documents into ``path`` and return how many each step drops: ``stage, documents``, the stages in ``FUNNEL``.
+
+    Rules, language, exact copies, near copies, redaction and the classifier for unsafe texts, in this order of work. The counts are
+    observed while the steps write their results, so none of them costs a scan of its own. ``kept`` are the documents written, ``redacted``
+    those of them with personal data. The classifier learns from the labelled documents of the whole table and reads a text as it was before redaction.
+    """
+    spark = docs.sparkSession
+    ruled, near, written = (Observation(f"{name}-{uuid.uuid4().hex}") for name in ("ruled", "near", "written"))
+    stages = staged(docs, languages)
+    stages = stages.observe(ruled, *[F.count_if(F.col("stage") == s).alias(s) for s in STAGES])
+    passed = cut_lineage(stages.where(F.col("stage") == "kept").select("doc_id"))
+    texts = docs.join(passed, "doc_id", "left_semi")
+    clusters = fuzzy_dedup(texts).observe(near, F.count_if(F.col("doc_id") != F.col("cluster")).alias("near_copy"))
+    single = cut_lineage(clusters.where(F.col("doc_id") == F.col("cluster")).select("doc_id"))
+    scores = word_scores(docs, labels, "toxic").join(single, "doc_id", "left_semi")
+    judged = texts.join(scores, "doc_id")
+    text, counts = redact(F.col("text"))
+    safe = F.col("score") < toxic
+    hits = functools.reduce(lambda a, b: a + b, counts.values())
+    # ``is_safe`` is false and never null for a score of a document, so both sides of the split are counted.
+    final = judged.select("*", safe.alias("is_safe"), hits.alias("hits")).withColumn("text", text)
+    final = final.observe(written, F.count_if(~F.col("is_safe")).alias("toxic"), F.count_if("is_safe").alias("kept"), F.count_if(F.col("is_safe") & (F.col("hits") > 0)).alias("redacted"))
+    final.where("is_safe").select(*docs.columns).write.parquet(path)
+    counted = {**ruled.get, **near.get, **written.get}
+    return spark.createDataFrame([(s, counted[s]) for s in FUNNEL], "stage string, documents bigint")

@@ -263,6 +263,25 @@ def curated_documents(spark, sf):
     return Q.curated(docs(spark, sf), ["en", "de", "fr", "es"]).select("doc_id", F.md5("text").alias("digest"))
 
 
+def _funnel_sql() -> str:
+    """All steps of the chain; the scores come from every document, as the classifier learns from the whole table."""
+    scored = _scored_sql("toxic").removeprefix("with ").replace("listed", "worded").replace("known", "labelled_docs").replace("sums", "word_sums")
+    hits = " + ".join(f"len(regexp_extract_all(text, {P.q(p)}, 0))" for p in R.ENTITIES.values())
+    kept = "kept_documents as materialized (select d.* from documents d join staged s using (doc_id) where s.stage = 'kept')"
+    return f"""{_staged_sql(['en', 'de', 'fr', 'es'], 'with recursive')}, {kept}, {_near_sql('kept_documents')}, {scored},
+  judged as (select k.doc_id, {hits} as hits, score < 0.8::double as is_safe from kept_documents k join classes c on c.x = k.doc_id join scored s on s.doc_id = k.doc_id where c.cluster = k.doc_id),
+  names as (select unnest([{', '.join(P.q(s) for s in Q.FUNNEL)}]) as stage),
+  counts as (select stage, count(*) as documents from staged where stage <> 'kept' group by 1 union all select 'near_copy', count(*) from classes where x <> cluster
+    union all select 'toxic', count(*) filter (where not is_safe) from judged union all select 'kept', count(*) filter (where is_safe) from judged
+    union all select 'redacted', count(*) filter (where is_safe and hits > 0) from judged)
+  select stage, coalesce(documents, 0) as documents from names left join counts using (stage)"""
+
+
+@register("full_funnel", _funnel_sql())
+def full_funnel(spark, sf):
+    return Q.curate(docs(spark, sf), D.read(spark, sf, "labels"), ["en", "de", "fr", "es"], scratch_path(spark, "curated"))
+
+
 _GRAMS = lambda table, key: f"""(select distinct {key}, md5(array_to_string(tokens[i:i + 7], ' ')) as gram from (
   select {key}, tokens, unnest(range(1, len(tokens) - 6)) as i from (select {key}, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+') as tokens from {table}) a) b)"""
 _OVERLAP = f"""owned as materialized (select gram, item_id from {_GRAMS('benchmark', 'item_id')} g), sizes as (select item_id, count(*) as owned from owned group by 1),

@@ -107,9 +107,9 @@ def balanced_folds(spark, sf):
 
 # A third of all events belong to one group.
 @register("map_groups", """with e as (select case when event_id % 3 = 0 then 'hot' else concat(event_type, user_id % 50) end as key, value from events)
-  select key, count(*) as n, round(avg(value), 3) as mean, round(var_pop(value), 3) as variance, round(max(value), 3) as most from e group by 1""")
+  select key, count(*) as n, round(sum(value), 2) as total, round(sum(value * value), 4) as squares, max(value) as most from e group by 1""")
 def map_groups(spark, sf):
-    """Mean and variance of every group by merged moments."""
+    """Sums of every group from merged means and squared deviations."""
     def partial(rows):
         values = rows.column("value").to_numpy()
         return {"n": len(values), "mean": float(values.mean()), "squares": float(((values - values.mean()) ** 2).sum()), "most": float(values.max())}
@@ -119,12 +119,12 @@ def map_groups(spark, sf):
         return {"n": n, "mean": a["mean"] + gap * b["n"] / n, "squares": a["squares"] + b["squares"] + gap * gap * a["n"] * b["n"] / n, "most": max(a["most"], b["most"])}
 
     def finish(s):
-        return {"n": s["n"], "mean": s["mean"], "variance": s["squares"] / s["n"], "most": s["most"]}
+        return {"n": s["n"], "total": s["mean"] * s["n"], "squares": s["squares"] + s["mean"] ** 2 * s["n"], "most": s["most"]}
 
     key = F.when(F.col("event_id") % 3 == 0, "hot").otherwise(F.concat("event_type", (F.col("user_id") % 50).cast("string")))
     rows = D.read(spark, sf, "events").select(key.alias("key"), "value")
-    found = G.map_groups(rows, ["key"], partial, merge, finish, "n bigint, mean double, squares double, most double", "n bigint, mean double, variance double, most double")
-    return found.select("key", "n", *[F.round(c, 3).alias(c) for c in ("mean", "variance", "most")])
+    found = G.map_groups(rows, ["key"], partial, merge, finish, "n bigint, mean double, squares double, most double", "n bigint, total double, squares double, most double")
+    return found.select("key", "n", F.round("total", 2).alias("total"), F.round("squares", 4).alias("squares"), "most")
 
 
 _HISTORY = """select concat('run', event_id % 12) as run, event_id as started, event_type as type, case when value > 20 then 1 else 0 end as correct, 1 as n from {events} where not (event_id % 12 = 5 and event_type = 'click')"""
