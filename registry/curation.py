@@ -5,7 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import functions as F
 
-from assayer.operators import classifiers as C, contamination as N, dedup as U, filters as X, logistic as L, phrases as H, redaction as R, sensitive as S
+from assayer.operators import classifiers as C, contamination as N, dedup as U, filters as X, logistic as L, phrases as H, profiles as G, redaction as R, sensitive as S
 from assayer.plans import curation as Q, derive as D
 from assayer.session import scratch_path
 from registry import parts as P
@@ -91,6 +91,29 @@ def language_agreement(spark, sf):
     return docs(spark, sf).select("lang", X.detect_language(F.col("text")).alias("language")).groupBy("lang", "language").agg(F.count("*").alias("n"))
 
 
+_EDGES = """unnest(list_filter(flatten(list_transform(regexp_extract_all(lower(text), '\\p{L}+'), lambda w: ['^' || w[:2], w[-2:] || '$', case when length(w) <= 4 then '=' || w end])), lambda e: e is not null))"""
+_PROFILED = f"""pieces as materialized (select doc_id, lang, {_EDGES} as edge from documents), counted as (select lang, edge, count(*) as n from pieces where doc_id % 5 <> 0 and lang is not null group by 1, 2),
+  kept as (select edge from counted group by 1 having sum(n) >= 5 order by sum(n) desc, edge limit 4000), own as (select * from counted join kept using (edge)), sizes as (select lang, sum(n) as total from own group by 1),
+  profiles as (select kept.edge as edge, s.lang as language, ln((coalesce(n, 0) + 1) / (total + (select count(*) from kept))::double) as weight from sizes s cross join kept left join own on own.lang = s.lang and own.edge = kept.edge),
+  likeliest as (select doc_id, language from (select doc_id, language, sum(weight) as score from pieces join profiles using (edge) group by 1, 2) t qualify row_number() over (partition by doc_id order by score desc, language) = 1),
+  profiled as (select doc_id, lang, coalesce(language, 'und') as language from documents left join likeliest using (doc_id))"""
+
+
+def _profiled(spark, sf):
+    rows = docs(spark, sf)
+    return G.profile_language(rows, G.learn_profiles(rows.where(F.col("doc_id") % 5 != 0)), "doc_id", "lang")
+
+
+@register("profile_language", f"with {_PROFILED} select doc_id, language from profiled")
+def profile_language(spark, sf):
+    return _profiled(spark, sf).select("doc_id", "language")
+
+
+@register("profile_agreement", f"with {_PROFILED} select doc_id % 5 = 0 as held_out, lang, language, count(*) as n from profiled group by 1, 2, 3")
+def profile_agreement(spark, sf):
+    return _profiled(spark, sf).groupBy((F.col("doc_id") % 5 == 0).alias("held_out"), "lang", "language").agg(F.count("*").alias("n"))
+
+
 @register("exact_dedup", "select doc_id, min(doc_id) over (partition by md5(text)) as keeper, count(*) over (partition by md5(text)) as copies from documents")
 def exact_dedup(spark, sf):
     return U.exact_dedup(docs(spark, sf))
