@@ -261,13 +261,13 @@ def reward_multilevel(spark, sf):
 
 # --- Attribution ------------------------------------------------------------------------------------------------------
 _SOURCES = f"""kinded as (select row_id, list_sort(list(distinct kind)) as kinds from chosen group by row_id),
-  examples as (select source, type, row_id from traces where row_id % 2 = 0), known as (select source, type, count(*) as examples from examples group by 1, 2),
+  examples as (select source, type, row_id from traces), known as (select source, type, count(*) as examples from examples group by 1, 2),
   skinds as (select source, list_sort(list(distinct k)) as source_kinds from (select e.source, unnest(kinds) as k from examples e join kinded using (row_id) where e.type = 'binary' and row_id % 3 <> 0) z group by source)"""
 
 
 def training_examples(spark, sf):
-    """Half of the puzzles as tagged training rows; a third of the binary ones carry no rule kinds."""
-    rows = D.puzzles(spark, sf).where(F.col("row_id") % 2 == 0)
+    """All puzzles as tagged training rows; a third of the binary ones carry no rule kinds."""
+    rows = D.puzzles(spark, sf)
     kinds = X.binary_facts(X.parsed(rows)).select("row_id", F.filter("rule_kinds", lambda k: k != "COMPLEX").alias("rule_kinds"))
     joined = rows.select("row_id", "source", "type").join(kinds, "row_id", "left")
     return joined.withColumn("rule_kinds", F.when(F.col("row_id") % 3 == 0, F.array().cast("array<string>")).otherwise(F.col("rule_kinds")))

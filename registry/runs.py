@@ -84,26 +84,26 @@ def accuracy_by_type_run(spark, sf):
 
 
 @register("accuracy_with_total", f"""with {P.EVAL} select case when grouping(type) = 1 then 'ALL' else type end as type, count(*) as n,
-  count(*) filter (where ok) as correct, round(avg(ok::int), 9) as acc from ev where run = 'a' group by rollup(type)""")
+  count(*) filter (where ok) as correct, round(avg(ok::int), 9) as acc from ev group by rollup(type)""")
 def accuracy_with_total(spark, sf):
-    return rounded(E.accuracy_with_total(long_eval(spark, sf).where(F.col("run") == "a")), "acc")
+    return rounded(E.accuracy_with_total(long_eval(spark, sf)), "acc")
 
 
-@register("solve_report", f"""with {P.EVAL}, s as (select row_id, type as category, case when box = '' then 'unsolved' when {P.strip('box')} = {P.strip('expected')} then 'correct'
-  else 'wrong' end as status from ev where run = 'a'), w as (select category, string_agg(cast(row_id as varchar), ',' order by row_id) as ids from
+@register("solve_report", f"""with {P.EVAL}, s as (select row_id, run || ':' || type as category, case when box = '' then 'unsolved' when {P.strip('box')} = {P.strip('expected')} then 'correct'
+  else 'wrong' end as status from ev), w as (select category, string_agg(cast(row_id as varchar), ',' order by row_id) as ids from
   (select * from s where status = 'wrong' qualify row_number() over (partition by category order by row_id) <= 3) z group by 1)
   select category, count(*) filter (where status = 'correct') as correct, count(*) filter (where status = 'wrong') as wrong,
   count(*) filter (where status = 'unsolved') as unsolved, count(*) as total, coalesce(any_value(ids), '') as wrong_samples from s left join w using (category) group by 1""")
 def solve_report(spark, sf):
-    rows = long_eval(spark, sf).where(F.col("run") == "a")
-    return E.solve_report(rows.select("row_id", F.col("type").alias("category"), F.nullif("box", F.lit("")).alias("predicted"), F.col("expected").alias("answer")))
+    rows = long_eval(spark, sf)
+    return E.solve_report(rows.select("row_id", F.concat("run", F.lit(":"), "type").alias("category"), F.nullif("box", F.lit("")).alias("predicted"), F.col("expected").alias("answer")))
 
 
-@register("solve_samples", f"""with {P.EVAL} select type as category, row_id, box as predicted, expected as answer, md5(prompt) as prompt from ev
-  where run = 'a' and box <> '' and {P.strip('box')} <> {P.strip('expected')} qualify row_number() over (partition by type order by row_id) <= 3""")
+@register("solve_samples", f"""with {P.EVAL} select run || ':' || type as category, row_id, box as predicted, expected as answer, md5(prompt) as prompt from ev
+  where box <> '' and {P.strip('box')} <> {P.strip('expected')} qualify row_number() over (partition by run, type order by row_id) <= 3""")
 def solve_samples(spark, sf):
-    rows = long_eval(spark, sf).where(F.col("run") == "a")
-    found = E.solve_samples(rows.select("row_id", F.col("type").alias("category"), F.nullif("box", F.lit("")).alias("predicted"), F.col("expected").alias("answer"), "prompt"))
+    rows = long_eval(spark, sf)
+    found = E.solve_samples(rows.select("row_id", F.concat("run", F.lit(":"), "type").alias("category"), F.nullif("box", F.lit("")).alias("predicted"), F.col("expected").alias("answer"), "prompt"))
     return found.withColumn("prompt", F.md5("prompt"))
 
 

@@ -223,9 +223,9 @@ def normalize_answer(spark, sf):
                        F.when(match.number(F.col("got")).isNull(), match.normalize_answer(F.col("got"))).alias("as_text"))
 
 
-@register("per_word_accuracy", f"with {P.EVAL} select row_id, run, round({P.word_accuracy('expected', 'box')}, 9) as accuracy from ev where type = 'cipher'")
+@register("per_word_accuracy", f"with {P.EVAL} select row_id, run, round({P.word_accuracy('expected', 'box')}, 9) as accuracy from ev")
 def per_word_accuracy(spark, sf):
-    rows = long_eval(spark, sf).where(F.col("type") == "cipher")
+    rows = long_eval(spark, sf)
     return rows.select("row_id", "run", F.round(match.per_word_accuracy(F.col("expected"), F.col("box")), 9).alias("accuracy"))
 
 
