@@ -108,7 +108,7 @@ def _extend(span: int):
                     low.append(at - left)
                     high.append(at + right)
             taken = batch.take(pa.array(keep, pa.int64()))
-            yield pa.RecordBatch.from_pydict({"id": taken.column(0), "item": taken.column(1), "low": pa.array(low, pa.int32()), "high": pa.array(high, pa.int32())})
+            yield pa.RecordBatch.from_pydict({"row": taken.column(0), "item": taken.column(1), "low": pa.array(low, pa.int32()), "high": pa.array(high, pa.int32())})
     return run
 
 
@@ -123,8 +123,8 @@ def contamination(puzzles: DataFrame, held_out: DataFrame, span: int = SPAN, gra
     ``span`` words share a fingerprint of that span. A fixed-size filter of held-out fingerprints drops the others where they arise; the
     join, the extension over the seed's neighbouring words and the comparison of the words themselves are exact.
 
-    Null and wordless texts have no words and no hits; a repeated held-out text counts once per id; repeated training ids are returned
-    once per row with the same figures only if their texts agree, so ids should be unique; empty tables give empty or clean results.
+    Null and wordless texts have no words and no hits; a repeated held-out text counts once per id; every training row
+    gets the figures of its own text, also where ids repeat or are null; empty tables give empty or clean results.
     """
     spark = puzzles.sparkSession
     held = held_out.select("id", F.col(text).alias("text"))
@@ -137,17 +137,18 @@ def contamination(puzzles: DataFrame, held_out: DataFrame, span: int = SPAN, gra
     sizes = [r.size for r in item_seeds.where(F.col("size") < span).select("size").distinct().collect()]
     cells = spark.sparkContext.broadcast((build_filter(item_seeds.select("hash"), bits), bits))
     seeded = scratch_path(spark, "seeds")
-    _seeded(puzzles.select("id", F.col(text).alias("text")), span, gram, False, sizes, cells).write.parquet(seeded)
+    _seeded(puzzles.select("id", F.col(text).alias("text")), span, gram, False, sizes, cells).withColumn("row", F.monotonically_increasing_id()).write.parquet(seeded)
     rows = spark.read.parquet(seeded)
-    met = (rows.select("id", F.explode("seeds").alias("s")).select("id", "s.*").join(item_seeds, ["size", "hash"])
-           .select("id", "item", "size", "at", "first", "words", "its_at", "its_first", "its_words"))
-    types = f"id {puzzles.schema['id'].dataType.simpleString()}, item {held_out.schema['id'].dataType.simpleString()}, low int, high int"
+    # Hits belong to a row, not to an id: ids may repeat or be null. Row numbers are fixed by what was written.
+    met = (rows.select("row", F.explode("seeds").alias("s")).select("row", "s.*").join(item_seeds, ["size", "hash"])
+           .select("row", "item", "size", "at", "first", "words", "its_at", "its_first", "its_words"))
+    types = f"row bigint, item {held_out.schema['id'].dataType.simpleString()}, low int, high int"
     hits = met.mapInArrow(_extend(span), types)
     # Overlapping runs are merged in order; the fold carries (end so far, words so far).
     merged = F.aggregate(F.sort_array("runs"), F.struct(F.lit(0).alias("end"), F.lit(0).cast("bigint").alias("n")), lambda acc, r: F.struct(
         F.greatest(acc["end"], r["high"]).alias("end"), (acc["n"] + F.greatest(r["high"] - F.greatest(acc["end"], r["low"]), F.lit(0))).alias("n")))["n"]
-    per_id = hits.groupBy("id").agg(F.collect_set(F.struct("low", "high")).alias("runs"), F.sort_array(F.collect_set("item")).alias("items"))
-    per_id = per_id.select(F.col("id").alias("_id"), merged.alias("n_hit"), "items")
+    per_row = hits.groupBy("row").agg(F.collect_set(F.struct("low", "high")).alias("runs"), F.sort_array(F.collect_set("item")).alias("items"))
+    per_row = per_row.select("row", merged.alias("n_hit"), "items")
     empty = F.array().cast(f"array<{held_out.schema['id'].dataType.simpleString()}>")
-    return (rows.join(per_id, F.col("id").eqNullSafe(F.col("_id")), "left")
+    return (rows.join(per_row, "row", "left")
             .select("id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("bigint").alias("n_hit"), F.coalesce("items", empty).alias("items")))

@@ -57,3 +57,11 @@ def test_span_edges(spark):
 def test_empty_tables(spark):
     assert run(spark, [], [("h", "a b c")]) == {}
     assert run(spark, [("a", "a b c")], []) == {"a": (3, 0, [])}
+
+
+def test_rows_keep_their_own_hits(spark):
+    """Equal and null ids with different texts: every row has the figures of its own text."""
+    item = " ".join(f"w{i}" for i in range(12))
+    rows = [("a", f"x {item}"), ("a", "x y z"), (None, item), (None, "clean words only"), ("a", f"x {item}")]
+    found = winnowing.contamination(frame(spark, rows, text="prompt"), frame(spark, [("i", item)], text="prompt", extra=False)).collect()
+    assert sorted((str(r.id), r.n_words, r.n_hit, len(r["items"])) for r in found) == [("None", 3, 0, 0), ("None", 12, 12, 1), ("a", 3, 0, 0), ("a", 13, 12, 1), ("a", 13, 12, 1)]
