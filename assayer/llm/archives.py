@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, functions as F
 
+from assayer.llm.stored import stored
 from assayer.session import scratch_path
 
 LEVEL, CHUNK = 5, 1 << 20
@@ -34,10 +35,22 @@ def payload_digest(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def record(page_id, url: str | None, payload: bytes, digest: str, refers_to) -> bytes:
-    """One response record with its payload, or a revisit record without it where ``refers_to`` names the response."""
-    name = lambda key: f"<urn:page:{quote(str(key), safe='')}>"
-    head = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
+_NO_PAGE = "!"  # quoting never leaves this mark in an id
+
+
+def page_name(page_id) -> str:
+    return f"<urn:page:{_NO_PAGE if page_id is None else quote(str(page_id), safe='')}>"
+
+
+def page_of(name: str) -> str | None:
+    key = name[len("<urn:page:"):-1]
+    return None if key == _NO_PAGE else unquote(key)
+
+
+def record(page_id, url: str | None, payload: bytes, digest: str, refers_to, size: int | None = None) -> bytes:
+    """One response record with its payload, or a revisit record without it where ``refers_to`` names the response; ``size`` is then the payload's."""
+    name = page_name
+    head = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % (len(payload) if size is None else size)
     block = head.encode() + (payload if refers_to is None else b"")
     lines = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: {name(page_id)}", f"WARC-Date: {_DATE}"]
     if url is not None:
@@ -88,26 +101,26 @@ def records(chunks: Iterator[bytes]) -> Iterator[bytes]:
 def write_archives(pages: DataFrame, folder: str, level: int = LEVEL) -> DataFrame:
     """Writes a record per page into whole-file gzip streams below ``folder``, one file a task; returns ``path, n_records``.
 
-    Of pages with equal payloads the one with the largest ``page_id`` is stored, the others refer to it. The winner is found by combinable
-    counts per digest. Every attempt of a task writes a file of its own name, and only the files of successful attempts are listed.
+    Of pages with equal payloads the one with the largest ``page_id`` is stored, the others refer to it. Which pages refer to another is
+    settled on ids and digests alone, then joined to the pages by both, so pages of one payload never meet and revisits carry none. Every
+    attempt of a task writes a file of its own name, and only the files of successful attempts are listed.
     """
     kind = pages.schema["page_id"].dataType.simpleString()
-
-    def digested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            payloads = [(x or "").encode() for x in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(payloads, pa.binary()), pa.array([payload_digest(p) for p in payloads])], names=["page_id", "url", "payload", "digest"])
-
-    held = pages.select("page_id", F.col("url").cast("string"), F.col("html").cast("string")).mapInArrow(digested, f"page_id {kind}, url string, payload binary, digest string")
-    winners = held.groupBy("digest").agg(F.max("page_id").alias("response"))
-    typed = held.join(winners, "digest").select("page_id", "url", "payload", "digest", "response")
+    html = F.coalesce(F.col("html").cast("string"), F.lit(""))
+    held = pages.select("page_id", F.col("url").cast("string").alias("url"), html.alias("html"), F.sha1(html.cast("binary")).alias("hash"))
+    keyed = stored(held.select("page_id", "hash"), "page-digests")
+    repeated = keyed.groupBy("hash").agg(F.max("page_id").alias("response"), F.count("*").alias("n")).where("n > 1 and response is not null").drop("n")
+    other = keyed.join(repeated, "hash").where(~F.col("page_id").eqNullSafe(F.col("response"))).distinct()
+    other = stored(other.select(F.col("page_id").alias("_page"), F.col("hash").alias("_hash"), "response"), "revisits")
+    typed = held.join(other, F.col("page_id").eqNullSafe(F.col("_page")) & (F.col("hash") == F.col("_hash")), "left")
+    typed = typed.select("page_id", "url", F.when(F.col("response").isNull(), F.col("html")).alias("html"), F.octet_length("html").alias("size"), "hash", "response")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         path, count, out, machine = f"{folder}/{uuid.uuid4().hex}.warc.gz", 0, None, zlib.compressobj(level, zlib.DEFLATED, _GZIP)
         for batch in batches:
-            for page_id, url, payload, digest, response in zip(*(c.to_pylist() for c in batch.columns)):
+            for page_id, url, payload, size, digest, response in zip(*(c.to_pylist() for c in batch.columns)):
                 out = out or _open(path, "write")
-                out.write(machine.compress(record(page_id, url, payload, digest, None if response is None or response == page_id else response)))
+                out.write(machine.compress(record(page_id, url, (payload or "").encode(), base64.b32encode(bytes.fromhex(digest)).decode(), response, size)))
                 count += 1
         if out is not None:
             out.write(machine.flush())
@@ -158,7 +171,6 @@ def read_records(index: DataFrame, kind: str = "bigint") -> DataFrame:
     its header; a revisit takes the size from the response it refers to.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        name = lambda value: unquote(value[len("<urn:page:"):-1])
         source, stream = None, None
         for batch in batches:
             rows = []
@@ -174,17 +186,18 @@ def read_records(index: DataFrame, kind: str = "bigint") -> DataFrame:
                     size = len(payload)
                     if payload_digest(payload) != digest:
                         raise ValueError(f"payload of {headers['warc-record-id']} does not match its digest")
-                rows.append((name(headers["warc-record-id"]), size, digest, headers["warc-type"], name(headers["warc-refers-to"]) if "warc-refers-to" in headers else None))
+                rows.append((page_of(headers["warc-record-id"]), size, digest, headers["warc-type"], page_of(headers["warc-refers-to"]) if "warc-refers-to" in headers else None))
             yield pa.RecordBatch.from_pylist([dict(zip(("page_id", "size", "payload_digest", "record_type", "refers_to"), r)) for r in rows],
                                              schema=pa.schema([("page_id", pa.string()), ("size", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.string())]))
 
     plain = index.select("path", "offset", "length").repartition("path").sortWithinPartitions("path", "offset").mapInArrow(run, "page_id string, size bigint, payload_digest string, record_type string, refers_to string")
-    stored = scratch_path(index.sparkSession, "records")
-    plain.write.parquet(stored)
-    rows = index.sparkSession.read.parquet(stored)
-    originals = rows.where("record_type = 'response'").groupBy(F.col("page_id").alias("refers_to")).agg(F.max("size").alias("its_size"))
-    return rows.join(originals, "refers_to", "left").select(F.when(F.col("page_id") != "None", F.col("page_id")).cast(kind).alias("page_id"), F.coalesce("size", "its_size").alias("payload_bytes"), "payload_digest", "record_type",
-                                                           F.col("refers_to").cast(kind).alias("refers_to"))
+    rows = stored(plain, "records")
+    # Sizes of the responses that revisits refer to; only revisits look for one.
+    responses, revisits = rows.where("record_type = 'response'"), rows.where("record_type <> 'response'")
+    originals = responses.groupBy(F.col("page_id").alias("refers_to"), "payload_digest").agg(F.max("size").alias("its_size"))
+    sized = revisits.join(originals, ["refers_to", "payload_digest"], "left").select("page_id", F.col("its_size").alias("size"), "payload_digest", "record_type", "refers_to")
+    both = responses.select(*sized.columns).unionByName(sized)
+    return both.select(F.col("page_id").cast(kind).alias("page_id"), F.col("size").alias("payload_bytes"), "payload_digest", "record_type", F.col("refers_to").cast(kind).alias("refers_to"))
 
 
 def archive_round_trip(pages: DataFrame, folder: str | None = None, level: int = LEVEL) -> DataFrame:

@@ -57,3 +57,10 @@ def test_streams_of_many_members_and_cut_files(tmp_path):
 
 def test_empty_table(spark):
     assert archives.archive_round_trip(pages(spark, [])).collect() == []
+
+
+def test_ids_named_none_and_null_ids(spark):
+    rows = [("None", "u", "same"), (None, "u", "same"), ("!", "u", "other"), (None, "u", "other"), (None, None, None), (None, None, "alone"), ("a b/c", "u", "")]
+    pages = spark.createDataFrame(rows, "page_id string, url string, html string")
+    got = sorted(((r.page_id or "~", r.payload_bytes, r.record_type, r.refers_to) for r in archives.archive_round_trip(pages).collect()))
+    assert got == sorted([("None", 4, "response", None), ("~", 4, "revisit", "None"), ("!", 5, "response", None), ("~", 5, "revisit", "!"), ("~", 0, "revisit", "a b/c"), ("~", 5, "response", None), ("a b/c", 0, "response", None)])
