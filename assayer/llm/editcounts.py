@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -109,7 +110,8 @@ def edit_tree(text: bytes, leaves: int, sizes: np.ndarray, tokens: np.ndarray, e
     The region of an edit are the leaves it touches and at least one unchanged byte on either side, so that the cut at the region's edge, which
     depends on the two bytes beside it, is the same as before.
     """
-    encoded = 0
+    # What lies before ``cut`` is still the old text; the rest are pieces, the first one last. Slices are views, so an edit costs its region.
+    old, cut, pieces, encoded = memoryview(text), len(text), [], 0
     for start, length, replacement in sorted(edits, reverse=True):
         first, last = locate(sizes, start), locate(sizes, max(start + length - 1, start))
         while first > 0 and before(sizes, first) >= start:
@@ -117,7 +119,19 @@ def edit_tree(text: bytes, leaves: int, sizes: np.ndarray, tokens: np.ndarray, e
         while last < leaves - 1 and before(sizes, last + 1) <= start + length:
             last += 1
         low, high = before(sizes, first), before(sizes, last) + int(sizes[last + len(sizes) // 2])
-        region = text[low:start] + replacement + text[start + length:high]
+        base, near, reach = min(low, cut), [], cut
+        if base < cut:
+            near.append(old[base:min(high, cut)])
+            if high < cut:
+                pieces.append(old[high:cut])
+        while reach < high:
+            piece = pieces.pop()
+            near.append(piece[:high - reach])
+            if len(piece) > high - reach:
+                pieces.append(piece[high - reach:])
+            reach += len(near[-1])
+        around = b"".join(near)
+        region = around[low - base:start - base] + replacement + around[start + length - base:]
         data = np.frombuffer(region, dtype=np.uint8)
         begins, ends, _ = pre_tokens(data, np.array([0, len(data)]))
         counts = encoder.counts(data, begins, ends)
@@ -127,9 +141,9 @@ def edit_tree(text: bytes, leaves: int, sizes: np.ndarray, tokens: np.ndarray, e
         pad = np.zeros(slots - len(size), dtype=np.int64)
         replace(sizes, first, np.concatenate([size, pad]))
         replace(tokens, first, np.concatenate([count, pad]))
-        text = text[:low] + region + text[high:]
-        encoded += len(region)
-    return text, encoded
+        pieces += [memoryview(p) for p in (region, around[:low - base]) if p]
+        cut, encoded = base, encoded + len(region)
+    return b"".join([old[:cut], *reversed(pieces)]), encoded
 
 
 def apply_edits(trees: DataFrame, tokenizer: str) -> DataFrame:
@@ -190,12 +204,17 @@ def _redactions():
             has_phone = pc.fill_null(pc.match_substring_regex(column, r"[0-9][)]?[ .-][0-9]{3}"), False).to_numpy(zero_copy_only=False)
             edits: list = [None] * batch.num_rows
             for row in np.flatnonzero(has_email | has_phone).tolist():
-                value, taken = column[row].as_py(), []
-                for name, pattern in (("EMAIL_ADDRESS", email), ("PHONE_NUMBER", phone)):
-                    taken += [(m.start(), m.end(), f"<{name}>") for m in pattern.finditer(value) if all(m.end() <= a or m.start() >= b for a, b, _ in taken)]
-                if taken:
-                    at = lambda i: len(value[:i].encode())  # noqa: B023,E731
-                    edits[row] = [{"start": at(a), "length": at(b) - at(a), "replacement": tag} for a, b, tag in sorted(taken)]
+                value = column[row].as_py()
+                taken = [(m.start(), m.end(), "<EMAIL_ADDRESS>") for m in email.finditer(value)]
+                starts, ends = [a for a, _, _ in taken], [b for _, b, _ in taken]
+                # The finds of a pattern do not overlap and stand in order, so one place tells whether another find meets one of them.
+                phones = [(m.start(), m.end(), "<PHONE_NUMBER>") for m in phone.finditer(value) if bisect_right(ends, m.start()) == bisect_left(starts, m.end())]
+                if taken or phones:
+                    edits[row], at, size = [], 0, 0
+                    for a, b, tag in sorted(taken + phones):
+                        begin = size + len(value[at:a].encode())
+                        at, size = b, begin + len(value[a:b].encode())
+                        edits[row].append({"start": begin, "length": size - begin, "replacement": tag})
             shape = pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64()), ("replacement", pa.string())]))
             yield pa.RecordBatch.from_arrays([batch.column(0), column, pa.array(edits, shape)], names=["id", "text", "edits"])
     return run

@@ -65,3 +65,44 @@ def test_redaction_edits(spark):
 
 def test_empty_table(spark):
     assert editcounts.apply_edits(editcounts.token_trees(frame(spark, []), PATH), PATH).collect() == []
+
+
+def test_many_edits_at_once_equal_full_counts():
+    """Several edits of one text, also beside each other and in one leaf, against the plainly edited text."""
+    rng, encoder, tokenizer = random.Random(20), WordEncoder(PATH), Tokenizer.from_file(PATH)
+    for _ in range(200):
+        text = "".join(rng.choice("ab'é,. \n1-s") for _ in range(rng.randint(0, 200)))
+        raw = text.encode()
+        data = np.frombuffer(raw, dtype=np.uint8)
+        starts, ends, _ = editcounts.pre_tokens(data, np.array([0, len(data)]))
+        size, tokens = editcounts._leaf_sums(starts, encoder.counts(data, starts, ends), len(raw), np.arange(0, len(starts), 3))
+        leaves, size, tokens = len(size), editcounts.build_tree(size), editcounts.build_tree(tokens)
+        edits, at, want = [], 0, ""
+        while at < len(text):
+            a = at + rng.randint(0, 12)
+            b = a + rng.randint(0, 5)
+            if b > len(text):
+                break
+            new = "".join(rng.choice("ab'é,. \n1-s") for _ in range(rng.randint(0, 5)))
+            edits.append((len(text[:a].encode()), len(text[a:b].encode()), new.encode()))
+            want, at = want + text[at:a] + new, max(b, a + 1)
+            want += text[b:at]
+        want += text[at:]
+        got, _ = editcounts.edit_tree(raw, leaves, size, tokens, edits, encoder)
+        assert got.decode() == want and size[1] == len(got) and tokens[1] == len(tokenizer.encode(want, add_special_tokens=False).ids)
+
+
+def test_100_000_edits_in_one_text(spark):
+    import time
+
+    text = "".join(f"é a{i}@b.com, +1 555-123-{i % 10_000:04d};\n" for i in range(50_000))
+    started = time.time()
+    r = editcounts.redacted_counts(spark.createDataFrame([("a", text)], "id string, text string"), PATH).first()
+    want = "é <EMAIL_ADDRESS>, <PHONE_NUMBER>;\n" * 50_000
+    assert r.n_edits == 100_000 and r.text == want and r.n_tokens == count(want) and time.time() - started < 120
+
+
+def test_repeated_rows(spark):
+    rows = [("a", "mail bob@example.com"), ("a", "mail bob@example.com"), (None, "x +1 555-123-4567"), (None, "plain")]
+    found = editcounts.redacted_counts(frame(spark, rows), PATH).collect()
+    assert sorted((str(r.id), r.text, r.n_edits) for r in found) == [("None", "plain", 0), ("None", "x <PHONE_NUMBER>", 1), ("a", "mail <EMAIL_ADDRESS>", 1), ("a", "mail <EMAIL_ADDRESS>", 1)]
