@@ -45,8 +45,41 @@ def test_pipeline_stages(spark):
 
 
 def test_run_equals_the_stages(spark):
+    docs = corpus_pipeline.read(spark, SMALL, "documents")
+    for name, stage in corpus_pipeline.STAGES:
+        docs = corpus_pipeline.stored(stage(spark, docs, SMALL), f"test-{name}")
+    placed = lambda rows: sorted((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in rows.collect())
     found = corpus_pipeline.run(spark, SMALL)
-    assert found.count() > 100 and found.columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
+    assert found.columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
+    assert placed(found) == placed(docs) and found.count() > 100
+    # Seats are gapless and no sequence is longer than it may be; which piece sits where is arbitrary.
+    seats = {}
+    for r in found.collect():
+        seats.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for listed in seats.values():
+        ends = [0]
+        for offset, length in sorted(listed):
+            assert offset == ends[-1]
+            ends.append(offset + length)
+        assert ends[-1] <= 2048
+
+
+def test_stages_of_an_empty_table_a_long_text_and_more_columns(spark):
+    docs = corpus_pipeline.read(spark, SMALL, "documents")
+    none = docs.limit(0)
+    for _, stage in corpus_pipeline.STAGES:
+        none = stage(spark, none, SMALL)
+        assert none.count() == 0
+    words = " ".join(f"the rule {i} gives the number {i * i % 9973} and the letter {i % 26}" for i in range(30_000))
+    few = docs.where("doc_id < 12").unionByName(spark.createDataFrame([(77_777, words, "en", "s", len(words))], docs.schema))
+    wide = few.selectExpr("*", "'x' as id", "1 as n_words", "'y' as keeper", "2 as label", "'z' as bucket")
+    for name, stage in corpus_pipeline.STAGES:
+        wide = corpus_pipeline.stored(stage(spark, wide, SMALL), f"long-{name}")
+        assert wide.where("doc_id = 77777").count() > 0
+        if name != "packed":
+            assert wide.columns == docs.columns
+            wide = wide.selectExpr("*", "'x' as id", "1 as n_words", "'y' as keeper")
+    assert wide.where("doc_id = 77777").agg({"length": "sum"}).first()[0] > 300_000
 
 
 def test_pipeline_keeps_repeated_rows_once(spark):
