@@ -6,7 +6,7 @@ import random
 import pytest
 
 from assayer.llm import chatrepair
-from assayer.plans import derive
+from registry.text import long_eval
 from tests.conftest import SMALL
 
 MESSAGE = "id string, turn bigint, message struct<role string, content string>, key string, closed int, audit string, cost string"
@@ -111,7 +111,7 @@ def test_chat_records(spark):
     from assayer.sources.tables import CHAT_SCHEMA
 
     rows = [([("system", "You solve puzzles."), ("user", "What is x?"), ("assistant", "It is \\boxed{4}.")], None), ([("user", "Why?"), ("user", "Because.")], None), ([], None), (None, None)]
-    chats = spark.createDataFrame(rows, CHAT_SCHEMA).selectExpr("concat('c', coalesce(size(messages), -1), coalesce(messages[0].role, '')) as id", "*")
+    chats = spark.createDataFrame(rows, CHAT_SCHEMA).selectExpr("concat('c', coalesce(size(messages), -1), coalesce(get(messages, 0).role, '')) as id", "*")
     found = {r.id: ([tuple(m) for m in r.messages], r.audit) for r in chatrepair.repair_chats(chats).collect()}
     assert found["c3system"] == (rows[0][0], "KKK") and found["c2user"] == ([("user", "Why?"), ("assistant", "Because.")], "KR")
     assert found["c0"] == ([], "") and len(found) == 4
@@ -119,6 +119,6 @@ def test_chat_records(spark):
 
 def test_on_derived_chats(spark):
     """The project's own chats of the small tables: every repaired chat has the target structure."""
-    traces = derive.traces(spark, SMALL).where("text <> ''").limit(40).selectExpr("concat(row_id, ':', run) as id", "array(struct('user' as role, 'Solve it?' as content), struct('user' as role, text as content)) as messages")
+    traces = long_eval(spark, SMALL).where("text <> ''").limit(40).selectExpr("concat(row_id, ':', run) as id", "array(struct('user' as role, 'Solve it?' as content), struct('user' as role, text as content)) as messages")
     found = chatrepair.repair_chats(traces).collect()
     assert found and all([m.role for m in r.messages] in ([], ["user", "assistant"]) for r in found)

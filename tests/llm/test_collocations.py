@@ -7,7 +7,7 @@ from collections import Counter
 import pytest
 
 from assayer.llm import collocations
-from assayer.plans import derive
+from registry.text import long_eval
 from tests.conftest import SMALL
 
 
@@ -85,6 +85,6 @@ def test_long_text_without_piece_ends(spark, monkeypatch):
 
 
 def test_traces_of_runs(spark):
-    rows = derive.traces(spark, SMALL).select("run", "text")
-    got = sorted(tuple(r) for r in collocations.mine_phrases(derive.traces(spark, SMALL), least=10, keep=50).collect())
+    rows = long_eval(spark, SMALL).select("run", "text")
+    got = sorted(tuple(r) for r in collocations.mine_phrases(long_eval(spark, SMALL), least=10, keep=50).collect())
     assert got and got == brute([tuple(r) for r in rows.collect()], 10, 50)

@@ -7,7 +7,7 @@ import re
 import pytest
 
 from assayer.llm import licenses
-from assayer.plans import derive
+from registry.text import long_eval
 from tests.conftest import SMALL
 
 
@@ -100,7 +100,7 @@ def test_repeated_rows_null_keys_and_no_rows(spark):
 
 
 def test_traces_of_runs(spark):
-    rows = derive.traces(spark, SMALL)
+    rows = long_eval(spark, SMALL)
     texts = {(r.row_id, r.run): r.text for r in rows.collect()}
     got = licenses.license_scan(rows).collect()
     assert len(got) == len(texts) and any(r.labels for r in got)
