@@ -7,6 +7,8 @@ which one contains the other, that of the earlier rule stays. Everything happens
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 WORD = "[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
@@ -52,13 +54,22 @@ _NAMES = [
 ]
 _HINTS = [
     ("public-domain", "in|into the public domain"), ("proprietary", "proprietary and confidential"), ("proprietary", "unauthorized copying of this file"), ("no-redistribution", "redistribution is prohibited"),
-    ("no-warranty", "provided as is without warranty of any kind"), ("licensed", "licensed under the? terms? of? the?"), ("licensed", "released|distributed|available under the? terms? of? the?"), ("licensed", "license agreement"),
+    ("no-warranty", "provided as is without warranty of any kind"), ("licensed", "licensed under the? terms? of? the?"), ("licensed", "released|distributed|available under the? terms? of? the? license|licence"), ("licensed", "license agreement"),
     ("spdx", "spdx license identifier"), ("licensed", "see the? license|licence file"),
 ]
 _STEMS = ["licen", "public", "gpl", "clause", "bsd", "commons", "permission", "warranty", "reserved", "advertising", "neither", "unencumbered", "redistribution", "proprietary", "unauthorized"]
 _SEPARATOR = "\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F"
 # Stems anywhere, short words only whole. Every signature has a word of the gate that must be there (a test holds them against each other).
-GATE = f"(?i)(?:{'|'.join(_STEMS)}|(?:^|[{_SEPARATOR}])(?:cc|cc0|asl|evil|unlicense|wtfpl|{'|'.join(_PUBLIC)})(?:$|[{_SEPARATOR}]))"
+_SHORT = ["cc", "cc0", "asl", "evil", "unlicense", "wtfpl", *_PUBLIC]
+_WHOLE = f"(?:^|[{_SEPARATOR}])(?:{'|'.join(_SHORT)})(?:$|[{_SEPARATOR}])"
+GATE = f"(?i)(?:{'|'.join(_STEMS)}|{_WHOLE})"
+
+
+def may_hold(text: Column) -> Column:
+    """Whether ``GATE`` finds something, by plain searches first: only texts with the letters of a short word need the expression for whole ones."""
+    lowered = F.lower(text)
+    some = lambda parts: functools.reduce(lambda a, b: a | b, [F.contains(lowered, F.lit(p)) for p in parts])
+    return some(_STEMS) | (some(_SHORT) & text.rlike(f"(?i){_WHOLE}"))
 
 
 def pattern(signature: str) -> str:
@@ -157,7 +168,7 @@ def license_scan(traces: DataFrame, text: str = "text", keys: tuple[str, ...] =
                        for rank, label, key, regex, weight in table])
     source = F.coalesce(F.col(text), F.lit(""))
     gated = traces.select(*keys, F.regexp_count(source, F.lit(ANY_WORD)).cast("bigint").alias("n_words"),
-                          F.when(source.rlike(GATE), F.regexp_extract_all(F.translate(source, UPPER, LOWER), F.lit(WORD), F.lit(0))).alias("_words"))
+                          F.when(may_hold(source), F.regexp_extract_all(F.translate(source, UPPER, LOWER), F.lit(WORD), F.lit(0))).alias("_words"))
     present = F.array_intersect("_words", F.array(*[F.lit(k) for k in sorted({r[2] for r in table})]))
     lined = gated.select(*keys, "n_words", F.when(F.size(present) > 0, _numbered(F.col("_words"))).alias("_line"), present.alias("_present"))
     tried = F.filter(listed, lambda r: F.array_contains(F.col("_present"), r["keyword"]))
