@@ -53,7 +53,7 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without passages of 100 bytes that stand earlier in the corpus; a text of nothing else goes. Bytes of a cut character go with its passage."""
-    found = suffixes.drop_repeats(docs.withColumnRenamed("doc_id", "id"), carry=("lang", "source")).where("n_bytes = 0 or length(kept) > 0")
+    found = suffixes.drop_repeats(docs.select(F.col("doc_id").alias("id"), "text", "lang", "source"), carry=("lang", "source")).where("n_bytes = 0 or length(kept) > 0")
     whole = F.replace(F.make_valid_utf8(F.col("kept").cast("string")), F.lit("�"), F.lit(""))
     text = F.when(F.size("spans") > 0, whole).otherwise(F.col("kept").cast("string"))
     kept = found.select(F.col("id").alias("doc_id"), text.alias("text"), "lang", "source")
